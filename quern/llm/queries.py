@@ -43,13 +43,37 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination_digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op7_suffix_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quern.llm.suffixes import remove_repeats
+
+    return remove_repeats(table(spark, sf_dir, "documents"), digest=True)
+
+
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quern.llm.secrets import span_digest
 
     return span_digest(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_divergence, op2_pack_islands, op3_url_trees, op4_language_ranks, op5_token_files, op6_decontaminate, op8_secret_scan)}
+def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quern.llm.jaccard import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op10_toxicity_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quern.llm.toxicity import toxicity_predictions
+
+    return toxicity_predictions(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_divergence, op2_pack_islands, op3_url_trees, op4_language_ranks, op5_token_files, op6_decontaminate, op7_suffix_merge, op8_secret_scan, op9_ngram_jaccard, op10_toxicity_kernel, pipeline)}
 
 
 def oracles() -> dict[str, str]:
