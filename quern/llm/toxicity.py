@@ -30,14 +30,16 @@ SYMBOLS = 64
 WIDTH = 24
 #: Bounds of what is fitted: labelled rows, example words of either kind, landmarks.
 TRAIN_ROWS, POSITIVE, NEGATIVE, LANDMARKS = 20_000, 400, 4000, 96
-ENDS = "".join(chr(i) for i in range(33, 127) if not chr(i).isalnum())
+#: Signs put between letters, and digits written for letters.
+PLAIN = str.maketrans({c: None for c in map(chr, range(33, 127)) if not c.isalnum() and c not in "@$"} | dict(zip("013457@$", "oieastas")))
 
 
 def units(text: str) -> list[str]:
-    """Lower-case words without signs around them; a run of single letters is one word."""
+    """Lower-case words without signs in or around them, digits in words of letters read as letters; a run of single letters is one word."""
     out, run = [], []
     for w in text.lower().split():
-        w = w.strip(ENDS)
+        if not w.isalpha():
+            w = w.translate(PLAIN)
         if len(w) == 1:
             run.append(w)
             continue
@@ -109,14 +111,14 @@ class ToxicityModel:
         return 1 / (1 + np.exp(-np.clip(features @ self.text[:-1] + self.text[-1], -30, 30)))
 
 
-FEATURES = 4
+FEATURES = 9
 _held: dict[str, float] = {}
 _held_for: list[int] = []
 HELD_WORDS = 400_000
 
 
 def text_features(model: ToxicityModel, texts: list[str | None]) -> np.ndarray:
-    """For each text: the highest and the second highest margin, log of the number of margins above 0, log of the words."""
+    """For each text: the two highest margins, logs of the numbers and shares of margins above some levels, and of the words."""
     if _held_for != [id(model)]:
         _held.clear()
         _held_for[:] = [id(model)]
@@ -133,7 +135,18 @@ def text_features(model: ToxicityModel, texts: list[str | None]) -> np.ndarray:
         for i, w in enumerate(words, at):
             m = np.fromiter(map(_held.__getitem__, w), float, len(w))
             top = np.partition(m, len(m) - 2)[-2:] if len(m) > 1 else np.append(np.full(2 - len(m), -2.0), m)
-            out[i] = np.clip(top[1], -2, 2), np.clip(top[0], -2, 2), np.log1p((m > 0).sum()), np.log1p(len(m))
+            above = np.array([(m > x).sum() for x in (0, 0.5, 0.9)])
+            out[i] = [*np.clip(top[::-1], -2, 2), *np.log1p(above), *np.log((above + 0.2) / (len(m) + 20)), np.log1p(len(m))]
+    return out
+
+
+def variants(words: list[str], rng: np.random.Generator, letters: str) -> list[str]:
+    """Each word twice with a letter put in, once with a letter doubled, once with one left out."""
+    out = []
+    for w in words:
+        i, j, k, m = rng.integers(1, len(w), 4)
+        a, b = rng.integers(0, len(letters), 2)
+        out += [w[:i] + letters[a] + w[i:], w[:j] + letters[b] + w[j:], w[:k] + w[k - 1] + w[k:], w[:m] + w[m + 1 :] if len(w) > 4 else w]
     return out
 
 
@@ -148,6 +161,9 @@ def fit_machine(positive: list[str], negative: list[str], weights: np.ndarray, *
     for k, c in enumerate(sorted(letters, key=lambda c: (-letters[c], c))[: SYMBOLS - 1], 1):
         if ord(c) < len(alphabet) - 1:
             alphabet[ord(c)] = k
+    known = sorted(c for c in letters if c.isalpha())
+    positive = positive + variants(positive, rng, "".join(known))
+    weights = np.concatenate([weights[: len(positive) // 5], np.repeat(weights[: len(positive) // 5], 4) / 4, weights[len(positive) // 5 :]])
     words = [_windows(w)[0] for w in positive + negative]
     codes, n = _codes(words, alphabet)
     at = np.stack([np.concatenate([f.ravel() for _, f in _features(codes[i : i + 1])]) for i in range(len(words))])
@@ -234,11 +250,14 @@ def learn_toxicity(labelled: DataFrame, *, text_col: str = "text", label_col: st
         if not bad or not good:
             return empty
         words = known.mapInArrow(_unit_task, "units array<string>, y double").select(F.explode("units").alias("w"), "y").groupBy("w").agg(F.sum(F.when(F.col("y") > 0.5, 1).otherwise(0)).alias("a"), F.count("*").alias("n")).withColumn("b", F.col("n") - F.col("a")).where(F.length("w") > 2)
-        odds = ((F.col("a") + 0.3) / (bad + 0.6)) / ((F.col("b") + 0.3) / (good + 0.6))
-        out = words.where((F.col("a") >= 3) & (odds >= 6)).orderBy(F.desc(F.col("a") * F.log(odds)), "w").limit(POSITIVE).select("w", "a").collect()
+        words = words.persist()
+        share, rate = F.col("a") / F.col("n"), bad / (bad + good)
+        # how unlikely so many toxic texts among a word's texts are, against the number of words that could be so by chance
+        surprise = F.col("a") * F.log(share / rate) + F.when(F.col("b") > 0, F.col("b") * F.log((1 - share) / (1 - rate))).otherwise(0.0)
+        out = words.where((F.col("a") >= 3) & (share > 3 * rate) & (surprise > np.log(max(2, words.count())) + 1)).orderBy(F.desc(surprise), "w").limit(POSITIVE).select("w", "a").collect()
         if not out:
             return empty
-        plain = words.where((F.col("b") >= 1) & (odds < 2)).orderBy(F.desc(F.pow("b", F.lit(0.5)) * (1 + F.pmod(F.xxhash64("w"), F.lit(1000)) / 100)), "w").limit(NEGATIVE).select("w", "b").collect()
+        plain = words.where((F.col("b") >= 1) & (share < 1.5 * rate)).orderBy(F.desc(F.pow("b", F.lit(0.5)) * (1 + F.pmod(F.xxhash64("w"), F.lit(1000)) / 100)), "w").limit(NEGATIVE).select("w", "b").collect()
         positive, negative = [r["w"] for r in out], [r["w"] for r in plain]
         weights = np.array([np.sqrt(r["a"]) for r in out] + [np.sqrt(r["b"]) for r in plain])
         model = ToxicityModel(*fit_machine(positive, negative, weights), empty.text)
