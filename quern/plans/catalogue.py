@@ -1 +1,10 @@
-QUERIES, ORACLES = {}, {}
+"""All registered queries of the engine and their SQL twins."""
+
+from __future__ import annotations
+
+from quern.plans import retrieval
+
+_PARTS = (retrieval,)
+
+QUERIES = {name: f for part in _PARTS for name, f in part.QUERIES.items()}
+ORACLES = {name: sql for part in _PARTS for name, sql in part.ORACLES.items()}
