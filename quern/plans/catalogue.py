@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quern.plans import retrieval
+from quern.plans import content, ledgers, retrieval
 
-_PARTS = (retrieval,)
+_PARTS = (retrieval, ledgers, content)
 
 QUERIES = {name: f for part in _PARTS for name, f in part.QUERIES.items()}
 ORACLES = {name: sql for part in _PARTS for name, sql in part.ORACLES.items()}
