@@ -29,7 +29,7 @@ def pooled(df: DataFrame, key: str, vector: str = "vector", how: str = "mean") -
 
     Long form: a partial aggregate runs before the shuffle, so a key with many vectors sends few rows.
     """
-    each = df.select(key, F.posexplode(vector).alias("pos", "x"))
+    each = df.select(key, F.posexplode(vector).alias("pos", "x")).withColumn("pos", F.col("pos").cast("long"))
     value = (F.avg if how == "mean" else F.max)(F.col("x").cast("double")).alias("value")
     flat = each.groupBy(key, "pos").agg(value)
     length = flat.groupBy(key).agg(F.sqrt(F.sum(F.col("value") * F.col("value"))).alias("length"))

@@ -52,7 +52,7 @@ def class_tfidf(docs: DataFrame, top: int = 10) -> DataFrame:
     part = F.pmod(F.xxhash64("term"), F.lit(32)).alias("part")
     best = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("score"), "term"))
     some = scored.select("*", part).withColumn("rank", best("cluster_id", "part")).where(F.col("rank") <= top)
-    return some.withColumn("rank", best("cluster_id")).where(F.col("rank") <= top).select("cluster_id", "term", "score", "rank")
+    return some.withColumn("rank", best("cluster_id").cast("long")).where(F.col("rank") <= top).select("cluster_id", "term", "score", "rank")
 
 
 def label_of(keywords: DataFrame, n: int = 5) -> DataFrame:

@@ -28,9 +28,9 @@ def kendall_tau(a: DataFrame, b: DataFrame) -> DataFrame:
 
 def rank_biased_overlap(a: DataFrame, b: DataFrame, p: float = 0.9) -> DataFrame:
     """(query_id, rbo), extrapolated for lists of uneven length; both empty cannot occur, one empty gives 0.0."""
-    lengths = a.groupBy("query_id").agg(F.max("rank").alias("la")).join(b.groupBy("query_id").agg(F.max("rank").alias("lb")), "query_id", "full")
+    lengths = a.groupBy("query_id").agg(F.max("rank").cast("int").alias("la")).join(b.groupBy("query_id").agg(F.max("rank").cast("int").alias("lb")), "query_id", "full")
     hits = a.select("query_id", "item", F.col("rank").alias("ra")).join(b.select("query_id", "item", F.col("rank").alias("rb")), ["query_id", "item"])
-    depths = hits.groupBy("query_id").agg(F.collect_list(F.greatest("ra", "rb")).alias("at"))
+    depths = hits.groupBy("query_id").agg(F.collect_list(F.greatest("ra", "rb").cast("int")).alias("at"))
     r = lengths.join(depths, "query_id", "left").withColumns({"at": F.coalesce("at", F.array().cast("array<int>")), "s": F.least("la", "lb"), "l": F.greatest("la", "lb")})
     x = lambda d: F.size(F.filter("at", lambda q: q <= d)).cast("double")
     s, l = F.col("s"), F.col("l")

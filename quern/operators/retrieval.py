@@ -17,7 +17,7 @@ RRF_K, K1, B = 60, 1.2, 0.75
 
 def ranked(df: DataFrame, by: list[str], score: str, tie: str, limit: int | None = None) -> DataFrame:
     """df with rank, best score first within `by`."""
-    r = df.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc(score), F.asc(tie))))
+    r = df.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc(score), F.asc(tie))).cast("long"))
     return r.where(F.col("rank") <= limit) if limit else r
 
 
@@ -151,7 +151,7 @@ def pinned(scores: DataFrame, pins: DataFrame) -> DataFrame:
     rest = scores.join(pins, ["query_id", "page_id"], "left_anti").select("query_id", "page_id", "score", F.lit(False).alias("exact_match"), (F.col("rank") + 1_000_000).alias("pos"))
     first = pins.select("query_id", "page_id", F.lit(1.0).alias("score"), F.lit(True).alias("exact_match"), F.col("pin").cast("long").alias("pos"))
     both = first.unionByName(rest)
-    return both.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("pos", "page_id"))).drop("pos")
+    return both.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("pos", "page_id")).cast("long")).drop("pos")
 
 
 def page_slice(scores: DataFrame, offset: int, k: int) -> DataFrame:

@@ -80,7 +80,7 @@ def eval_rerank_lift(spark: SparkSession, d: str) -> DataFrame:
 
     c = _fused_chunks(spark, d)
     first = c.groupBy("query_id", "page_id").agg(F.min(F.struct(-F.col("fusion"), F.col("chunk_id"))).alias("at"))
-    pool = first.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("at"))).select("query_id", F.col("page_id").alias("item"), "rank")
+    pool = first.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("at")).cast("long")).select("query_id", F.col("page_id").alias("item"), "rank")
     sums = rollup(c, "sum_rrf").select("query_id", F.col("page_id").alias("item"), "rank")
     rel = _relevant(spark, d)
     a, b = K.relevance(sums, rel, 10).select("query_id", F.col("ndcg").alias("final_ndcg")), K.relevance(pool, rel, 10).select("query_id", F.col("ndcg").alias("pool_ndcg"))

@@ -44,7 +44,7 @@ def html_text(c: Column) -> Column:
     bare = F.regexp_replace(c, r"(?is)<(script|style|nav|head|noscript)\b.*?</\1\s*>|<!--.*?-->", " ")
     lined = F.regexp_replace(bare, r"(?i)</?(p|div|h[1-6]|li|ul|ol|br|tr|table|article|section)\b[^>]*>", "\n")
     tidy = F.regexp_replace(plain_markup(lined), r"[ \t\r\f]+", " ")
-    return F.trim(F.regexp_replace(tidy, r"\s*\n\s*", "\n"))
+    return F.regexp_replace(F.regexp_replace(tidy, r"\s*\n\s*", "\n"), r"^\s+|\s+$", "")
 
 
 def html_title(c: Column) -> Column:
