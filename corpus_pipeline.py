@@ -21,8 +21,8 @@ from quern.llm.secrets import redact_secrets
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
-    judged = quality_rules(docs.withColumn("_judged", F.col("text")), text_col="_judged", keep=docs.columns)
-    return judged.where("kept").select(*docs.columns)
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), "text", "lang")
+    return quality_rules(rows, keep=["_row"]).where("kept").select("_row.*")
 
 
 def duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -49,15 +49,17 @@ def _hashed_places(size: int) -> Column:
 def _hits(rows: DataFrame, windows: DataFrame, max_set: int) -> DataFrame:
     """(_row, keep..., n_words, at, size, key) of the places whose hash is in the set; a row with nulls where a document has none."""
     sizes = [r["size"] for r in windows.select("size").distinct().orderBy("size").collect()]  # 13 at most
-    kept = [c for c in rows.columns if c != "words"]
+    kept = [c for c in rows.columns if c not in ("words", "_t0", "_t1")]
     if windows.count() <= max_set:
         found = [_known_places(size, [r["hash"] for r in windows.where(F.col("size") == size).select("hash").collect()]) for size in sizes]
         hits = F.concat(*found) if found else F.array().cast("array<struct<at:int,size:int,key:string>>")
         return rows.select(*kept, F.explode_outer(hits).alias("h")).select(*kept, "h.at", "h.size", "h.key")
     hashed = F.concat(*map(_hashed_places, sizes))
-    each = rows.select("_row", F.explode(hashed).alias("h")).select("_row", "h.*").join(windows.select("size", "hash").distinct(), ["size", "hash"], "left_semi")
-    at = each.groupBy("_row").agg(F.collect_list(F.struct("at", "size")).alias("hits"))
-    return rows.join(at, "_row", "left").select(*kept, F.explode_outer(F.transform("hits", lambda h: F.struct(h["at"].alias("at"), h["size"].alias("size"), F.concat_ws(" ", F.slice("words", h["at"], h["size"])).alias("key")))).alias("h")).select(*kept, "h.at", "h.size", "h.key")
+    # the hits of a text are found by two hashes of it: row numbers need not be the same when the table is read twice
+    text = ["_t0", "_t1"]
+    each = rows.select(*text, F.explode(hashed).alias("h")).select(*text, "h.*").join(windows.select("size", "hash").distinct(), ["size", "hash"], "left_semi")
+    at = each.groupBy(*text).agg(F.collect_set(F.struct("at", "size")).alias("hits"))
+    return rows.join(at, text, "left").select(*kept, F.explode_outer(F.transform("hits", lambda h: F.struct(h["at"].alias("at"), h["size"].alias("size"), F.concat_ws(" ", F.slice("words", h["at"], h["size"])).alias("key")))).alias("h")).select(*kept, "h.at", "h.size", "h.key")
 
 
 def _covered(spans: Column) -> Column:
@@ -77,7 +79,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, keep: list[str] | No
     keep = keep or ["doc_id"]
     windows = benchmark_windows(benchmark, id_col=item_col, text_col=item_text_col, window=window)
     # the row number is made by the scan, whose splits are the same in each attempt of a task
-    rows = docs.select(F.monotonically_increasing_id().alias("_row"), *keep, words_of(F.col(text_col)).alias("words"))
+    t = F.col(text_col)
+    rows = docs.select(F.monotonically_increasing_id().alias("_row"), *keep, words_of(t).alias("words"), F.xxhash64(t).alias("_t0"), F.xxhash64(t, F.lit(1)).alias("_t1"))
     rows = rows.withColumn("n_words", F.size("words").cast("long"))
     hits = _hits(rows, windows, max_set).join(windows.select("size", "key", "items"), ["size", "key"], "left")
     span = F.when(F.col("items").isNotNull(), F.struct("at", "size"))
@@ -87,9 +90,17 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, keep: list[str] | No
     return n_hit.select(*keep, "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), "items", "spans", ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"))
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """docs without the contaminated documents; the others stay as they are."""
-    return contamination(docs, benchmark, keep=docs.columns, **options).where(~F.col("contaminated")).select(*docs.columns)
+def decontaminate(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """docs without the contaminated documents; the others stay as they are, whatever their columns are called.
+
+    Rows are told apart by two hashes of id and text, so that the texts themselves need not meet the verdicts; the
+    verdicts that go into the join are the few contaminated ones.
+    """
+    i, t = F.col(id_col), F.col(text_col)
+    both = [F.xxhash64(i, t), F.xxhash64(t, F.lit(1), i)]
+    keyed = docs.select(t.alias("text"), *(k.alias(f"_k{n}") for n, k in enumerate(both)))
+    bad = contamination(keyed, benchmark, keep=["_k0", "_k1"], **options).where("contaminated").select("_k0", "_k1").distinct()
+    return docs.join(bad, (both[0] == bad["_k0"]) & (both[1] == bad["_k1"]), "left_anti")
 
 
 def contamination_digest(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

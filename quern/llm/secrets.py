@@ -43,7 +43,7 @@ RULES = (
     Rule("hex", r"[0-9a-f]{32}", r"[0-9a-f]+", least=32, base=True),
     Rule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
     Rule("github", r"gh[pousr]_[A-Za-z0-9]{4}", r"gh[pousr]_[A-Za-z0-9]{36,}"),
-    Rule("slack", r"xox[abprs]-[A-Za-z0-9]", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
+    Rule("slack", r"xox[abprs]-", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("google", r"AIza[A-Za-z0-9_-]", r"AIza[A-Za-z0-9_-]{35,}"),
     Rule("stripe", r"[sr]k_live_[A-Za-z0-9]", r"[sr]k_live_[A-Za-z0-9]{20,}"),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{4}", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
@@ -265,12 +265,14 @@ def secret_spans(docs: DataFrame, *, text_col: str = "text", keep: list[str] | N
 
 
 def redact_secrets(docs: DataFrame, *, text_col: str = "text", mask: str = "[SECRET]") -> DataFrame:
-    """docs with every span replaced by the mask; texts without spans stay as they are. Needs no column named _text."""
+    """docs with every span replaced by the mask; texts without spans stay as they are, and so do all other columns."""
     bounded_batches(docs.sparkSession)
     names = [c for c in docs.columns if c != text_col]
-    rows = docs.select(*names, F.col(text_col).alias("_text"))
-    schema = ", ".join([*(f"`{docs.schema[c].name}` {docs.schema[c].dataType.simpleString()}" for c in names), f"`{text_col}` string"])
-    return rows.mapInArrow(_with_spans(compile_rules(), [*names, text_col], mask), schema).select(*docs.columns)
+    # the other columns travel as one, so that none can clash
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("_row"), F.col(text_col).alias("_text")) if names else docs.select(F.lit(1).alias("_row"), F.col(text_col).alias("_text"))
+    kind = rows.schema["_row"].dataType.simpleString()
+    out = rows.mapInArrow(_with_spans(compile_rules(), ["_row", "_masked"], mask), f"_row {kind}, _masked string")
+    return out.select(*(F.col("_masked").alias(c) if c == text_col else F.col(f"_row.`{c}`").alias(c) for c in docs.columns))
 
 
 def span_digest(docs: DataFrame) -> DataFrame:

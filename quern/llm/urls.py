@@ -121,7 +121,7 @@ class UrlFilter:
 
     def judge(self, urls: DataFrame, *, keep: list[str], rules=RULES) -> DataFrame:
         """keep, host, path, rule, verdict and score (the trees' 0 to 1, or the share of bad labels where they were all alike)."""
-        rows = lexical_features(urls.select(*keep, *([] if self.url_col in keep else [self.url_col])), self.url_col)
+        rows = lexical_features(urls.select(F.struct(*keep).alias("_keep"), self.url_col), self.url_col)
         if self.model is None:
             scored = rows.withColumn("score", F.lit(float(self.rate)))
         else:
@@ -131,7 +131,7 @@ class UrlFilter:
             scored = model.transform(self._assembled(rows)).withColumn("score", vector_to_array("probability")[1])
         by_rule = rule_of(F.col("host"), F.col("path"), rules)
         own = F.when(F.col("score") >= 0.5, "block").otherwise("allow")
-        return scored.withColumn("_rule", by_rule).select(*keep, "host", "path", F.col("_rule.rule").alias("rule"), F.coalesce("_rule.verdict", own).alias("verdict"), "score")
+        return scored.withColumn("_rule", by_rule).select("_keep.*", "host", "path", F.col("_rule.rule").alias("rule"), F.coalesce("_rule.verdict", own).alias("verdict"), "score")
 
 
 def filter_urls(pages: DataFrame, *, labelled: DataFrame | None = None, url_col: str = "url", keep: list[str] | None = None, rules=RULES) -> DataFrame:
