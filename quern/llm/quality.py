@@ -145,7 +145,7 @@ def repeat_words(words: list[bytes]) -> int:
     return int(hit.sum())
 
 
-def _judge_task(refs: References, max_class: float, max_word: float, min_chars: int, min_words: int):
+def _judge_task(refs: References, max_class: float, max_word: float, max_both: tuple[float, float], min_chars: int, min_words: int):
     def judge(data: bytes):
         n_words, word_chars, n_symbols, n_dup, n_rep, counts = describe(data)
         base_failed = n_words < 50 or 100 * n_rep > 50 * n_words
@@ -161,7 +161,10 @@ def _judge_task(refs: References, max_class: float, max_word: float, min_chars:
             by_word = js_distance(got / max(1, got.sum()), refs.words)
             best = int(np.argmin(by_word))
             lang, class_js, word_js = refs.langs[best], float(by_class.min()), float(by_word[best])
-        odd = class_js is not None and (word_chars >= min_chars and class_js > max_class or n_words >= min_words and word_js > max_word)
+        odd = False
+        if class_js is not None:
+            by_chars, by_words = word_chars >= min_chars, n_words >= min_words
+            odd = by_chars and class_js > max_class or by_words and word_js > max_word or by_chars and by_words and class_js > max_both[0] and word_js > max_both[1]
         return n_words, word_chars, n_symbols, n_dup, n_rep, base_failed, lang, class_js, word_js, not base_failed and not odd
 
     types = [pa.int64()] * 5 + [pa.bool_(), pa.string(), pa.float64(), pa.float64(), pa.bool_()]
@@ -179,11 +182,12 @@ def _judge_task(refs: References, max_class: float, max_word: float, min_chars:
 JUDGED = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, nearest_lang string, class_distance double, word_distance double, kept boolean"
 
 
-def quality_rules(docs: DataFrame, *, references: References | None = None, text_col: str = "text", lang_col: str = "lang", keep: list[str] | None = None, max_class: float = 0.25, max_word: float = 0.75, min_chars: int = 300, min_words: int = 80, common_share: float = 0.001) -> DataFrame:
+def quality_rules(docs: DataFrame, *, references: References | None = None, text_col: str = "text", lang_col: str = "lang", keep: list[str] | None = None, max_class: float = 0.25, max_word: float = 0.75, max_both: tuple[float, float] = (0.14, 0.38), min_chars: int = 300, min_words: int = 80, common_share: float = 0.001) -> DataFrame:
     """One row for each document: the columns of `keep` (default doc_id), base counts, distances and the verdict `kept`.
 
     A document is rejected if a base rule fails, or if a histogram that is long enough to be judged (min_chars word
-    characters, min_words words) is further than max_class or max_word from every language's reference. Null and empty
+    characters, min_words words) is further than max_class or max_word from every language's reference, or if both are
+    further than the pair max_both, as for lists and tables. Null and empty
     texts have no words and fail; with no language to learn from (empty table, all lang null) only the base rules judge;
     repeated rows are judged alike, and extra columns are ignored unless named in keep.
     """
@@ -192,4 +196,4 @@ def quality_rules(docs: DataFrame, *, references: References | None = None, text
     refs = references or language_references(docs, text_col=text_col, lang_col=lang_col, common_share=common_share)
     rows = docs.select(*keep, F.col(text_col).alias("_text"))
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "_text"] + [JUDGED])
-    return rows.mapInArrow(_judge_task(refs, max_class, max_word, min_chars, min_words), schema)
+    return rows.mapInArrow(_judge_task(refs, max_class, max_word, max_both, min_chars, min_words), schema)
