@@ -97,10 +97,13 @@ def phrase_match(queries: DataFrame, docs: DataFrame) -> DataFrame:
     q = queries.select("query_id", word_tokens(F.col("phrase")).alias("words")).where(F.size("words") > 0)
     longest = F.sort_array(F.transform("words", lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))), asc=False)[0]["w"]
     q = q.select("query_id", F.concat(F.lit(" "), F.array_join("words", " "), F.lit(" ")).alias("phrase"), longest.alias("term"))
-    d = docs.select("chunk_id", word_tokens(F.col("text")).alias("tokens"))
-    holders = d.select("chunk_id", F.explode(F.array_distinct("tokens")).alias("term")).join(q, "term")
-    bodies = d.select("chunk_id", F.concat(F.lit(" "), F.array_join("tokens", " "), F.lit(" ")).alias("body"))
-    return holders.join(bodies, "chunk_id").where(F.contains("body", F.col("phrase"))).select("query_id", "chunk_id").distinct()
+    # the queries' words are one row, so a document is read once and its body only travels where a word is found
+    terms = q.agg(F.collect_set("term").alias("terms"))
+    d = docs.select("chunk_id", word_tokens(F.col("text")).alias("tokens")).crossJoin(terms)
+    holders = d.select("chunk_id", "tokens", F.array_intersect("tokens", "terms").alias("found")).where(F.size("found") > 0)
+    body = F.concat(F.lit(" "), F.array_join("tokens", " "), F.lit(" "))
+    hits = holders.select("chunk_id", body.alias("body"), F.explode("found").alias("term")).join(q, "term")
+    return hits.where(F.contains("body", F.col("phrase"))).select("query_id", "chunk_id").distinct()
 
 
 def rrf_fuse(arms: list[DataFrame], k: int = RRF_K, limit: int | None = None) -> DataFrame:
