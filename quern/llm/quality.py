@@ -106,7 +106,7 @@ def language_references(docs: DataFrame, *, text_col: str = "text", lang_col: st
 
     counts = stored(counts, "quality-counts")
     totals = counts.where("key LIKE 'w%'").groupBy("lang").agg(F.sum("n").alias("total"))
-    common = counts.join(F.broadcast(totals), "lang").where((F.substring("key", 1, 1) == "w") & (F.col("n") >= F.col("total") * common_share) & (F.octet_length("key") <= WORD_BYTES + 1)).select("lang", "key", "n")
+    common = counts.join(totals, "lang").where((F.substring("key", 1, 1) == "w") & (F.col("n") >= F.col("total") * common_share) & (F.octet_length("key") <= WORD_BYTES + 1)).select("lang", "key", "n")
     classes = counts.where("key LIKE 'c%'")
     return References([tuple(r) for r in common.unionByName(classes).unionByName(totals.select("lang", F.lit("t").alias("key"), F.col("total").alias("n"))).collect()])
 
