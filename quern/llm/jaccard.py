@@ -215,7 +215,12 @@ def near_duplicates(docs: DataFrame, *, n: int = N, similarity: float = SIMILARI
     return out.select("doc_id", F.when(lone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.when(lone, F.col("doc_id")).otherwise(F.col("copy_of")).alias("copy_of"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
-def one_of_each(docs: DataFrame, **options) -> DataFrame:
-    """docs with the first document (least doc_id) of each near-duplicate class; of equal rows one stays."""
-    heads = near_duplicates(docs, **options).where("doc_id = class_id").select("doc_id").distinct()
-    return docs.join(heads, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]).select(*docs.columns)
+def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """docs with the first document (least id) of each near-duplicate class; of rows with the same id and text one stays.
+
+    Documents without an id stay if no class that has one holds them all; they are told apart by their texts alone.
+    """
+    found = near_duplicates(docs, id_col=id_col, text_col=text_col, **options)
+    heads = found.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("_head")).distinct()
+    kept = docs.join(heads, docs[id_col].cast("long").eqNullSafe(heads["_head"]), "left_semi")
+    return kept.dropDuplicates([id_col, text_col]).select(*docs.columns)

@@ -122,6 +122,7 @@ def test_link_edges(edge, none):
     assert J.near_duplicates(none).count() == 0
     left = J.one_of_each(edge)
     assert left.columns == edge.columns and sorted(r.doc_id for r in left.collect() if r.doc_id in (1, 5, 9)) == [1]
+    assert left.where("doc_id IS NULL").count() == 1
 
 
 def test_bands_meet_the_recall():
