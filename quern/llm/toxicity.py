@@ -161,33 +161,40 @@ def fit_machine(positive: list[str], negative: list[str], weights: np.ndarray, *
     for k, c in enumerate(sorted(letters, key=lambda c: (-letters[c], c))[: SYMBOLS - 1], 1):
         if ord(c) < len(alphabet) - 1:
             alphabet[ord(c)] = k
-    known = sorted(c for c in letters if c.isalpha())
+    known, n_base = sorted(c for c in letters if c.isalpha()), len(positive)
     positive = positive + variants(positive, rng, "".join(known))
-    weights = np.concatenate([weights[: len(positive) // 5], np.repeat(weights[: len(positive) // 5], 4) / 4, weights[len(positive) // 5 :]])
+    weights = np.concatenate([weights[:n_base], np.repeat(weights[:n_base], 4) / 4, weights[n_base:]])
     words = [_windows(w)[0] for w in positive + negative]
     codes, n = _codes(words, alphabet)
     at = np.stack([np.concatenate([f.ravel() for _, f in _features(codes[i : i + 1])]) for i in range(len(words))])
     value = np.concatenate([np.full(WIDTH - b, w) for (_, b), w in zip(PAIRS, WEIGHTS)])
     used, where = np.unique(at, return_inverse=True)
     where = where.reshape(at.shape)
-    phi = np.zeros((len(words), len(used)), np.float32)
-    np.add.at(phi, (np.arange(len(words))[:, None], where), value[None, :])
-    phi[:, used == 0] = 0
-    phi /= _norms(n)[:, None]
-    # landmarks: half of the examples that stand out, each unlike those before it, and a draw of the others
+    norms = _norms(n)
+
+    def phi(rows) -> np.ndarray:
+        """Weights of all subsequences of some words; for a few words at a time, as there are many subsequences."""
+        out = np.zeros((len(rows), len(used)), np.float32)
+        np.add.at(out, (np.arange(len(rows))[:, None], where[rows]), value[None, :])
+        out[:, used == 0] = 0
+        return out / norms[rows][:, None].astype(np.float32)
+
+    # landmarks: two thirds of the words that stand out, each unlike those before it, and a draw of the others
     chosen: list[int] = []
-    near = np.zeros(len(positive))
-    for _ in range(min(landmarks * 2 // 3, len(positive))):
-        i = int(np.argmax((1 - near) * (1 + np.linspace(1, 0, len(positive)))))
+    base = phi(np.arange(n_base))
+    near = np.zeros(n_base)
+    for _ in range(min(landmarks * 2 // 3, n_base)):
+        i = int(np.argmax((1 - near) * (1 + np.linspace(1, 0, n_base))))
         chosen.append(i)
-        near = np.maximum(near, phi[: len(positive)] @ phi[i])
+        near = np.maximum(near, base @ base[i])
         near[i] = 2
+    del base
     rest = len(words) - len(positive)
     chosen += (len(positive) + rng.permutation(rest)[: min(rest, landmarks - len(chosen))]).tolist()
-    marks = phi[chosen]
+    marks = phi(np.array(chosen))
     values, vectors = np.linalg.eigh((marks @ marks.T).astype(float))
     root = vectors[:, values > 1e-6] / np.sqrt(values[values > 1e-6])
-    z = (phi @ marks.T) @ root
+    z = np.concatenate([phi(np.arange(i, min(i + 256, len(words)))) @ marks.T for i in range(0, len(words), 256)]) @ root
     y = np.where(np.arange(len(words)) < len(positive), 1.0, -1.0)
     w, bias = np.zeros(z.shape[1]), -0.5
     weights = weights / np.where(y > 0, weights[y > 0].sum(), weights[y < 0].sum() / 2)
@@ -255,9 +262,15 @@ def learn_toxicity(labelled: DataFrame, *, text_col: str = "text", label_col: st
         # how unlikely so many toxic texts among a word's texts are, against the number of words that could be so by chance
         surprise = F.col("a") * F.log(share / rate) + F.when(F.col("b") > 0, F.col("b") * F.log((1 - share) / (1 - rate))).otherwise(0.0)
         out = words.where((F.col("a") >= 3) & (share > 3 * rate) & (surprise > np.log(max(2, words.count())) + 1)).orderBy(F.desc(surprise), "w").limit(POSITIVE).select("w", "a").collect()
+        # frequent words first, with a draw of the rare ones: those above a cut that leaves about NEGATIVE
+        weight = F.sqrt("b") * (1 + F.pmod(F.xxhash64("w"), F.lit(1009)) / 100)
+        plain = words.where((F.col("b") >= 1) & (share < 1.5 * rate)).select("w", "b", weight.alias("weight"))
+        size = plain.count()
+        cut = plain.agg(F.percentile_approx("weight", F.lit(max(0.0, 1 - NEGATIVE / max(1, size))), F.lit(100_000))).first()[0] if size > NEGATIVE else 0.0
+        plain = plain.where(F.col("weight") > cut).orderBy("w").select("w", "b").collect() if out else []
+        words.unpersist()
         if not out:
             return empty
-        plain = words.where((F.col("b") >= 1) & (share < 1.5 * rate)).orderBy(F.desc(F.pow("b", F.lit(0.5)) * (1 + F.pmod(F.xxhash64("w"), F.lit(1000)) / 100)), "w").limit(NEGATIVE).select("w", "b").collect()
         positive, negative = [r["w"] for r in out], [r["w"] for r in plain]
         weights = np.array([np.sqrt(r["a"]) for r in out] + [np.sqrt(r["b"]) for r in plain])
         model = ToxicityModel(*fit_machine(positive, negative, weights), empty.text)
