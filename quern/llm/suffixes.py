@@ -4,8 +4,8 @@ Every string of LENGTH bytes holds the least K-gram of its own LENGTH - K + 1 (b
 the same place. So it is enough to sort the suffixes that begin at such anchors, one in some 35: two strings are equal
 only if two anchors agree on the bytes before and after.
 
-1. Each task finds its texts' anchors and deals their K-gram hashes out by value; an anchor whose hash is seen nowhere
-   else begins no repeat and is dropped.
+1. Each task finds its texts' anchors and deals their K-gram hashes out by value, each once a block; an anchor whose hash
+   is seen nowhere else begins no repeat and is dropped. A gram of a third of all texts is one entry for each block.
 2. The other anchors' suffixes, cut at LENGTH bytes, are sorted into runs where their texts are. Anchors whose whole
    surroundings are equal leave only the first of them in the run, so a group of copies costs a task one suffix.
 3. Runs are exchanged front-coded (length of the prefix shared with the one before, and the rest), dealt by K-gram, and
@@ -21,15 +21,16 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import bounded_batches, stored, text_bytes
+from quern.llm.common import bounded_batches, text_bytes
 
 LENGTH, K = 100, 32
 WINDOW = LENGTH - K + 1
 #: Bytes of texts joined for one pass, anchors of a block, and suffixes of a run.
-JOINED, BLOCK, RUN = 150_000, 400_000, 150_000
+JOINED, BLOCK, RUN = 150_000, 400_000, 60_000
 _LOWEST = -(2**63)
 
 
@@ -85,21 +86,24 @@ def _anchor_task(buckets: int):
             at, h, own = at[inside], h[inside], own[inside]
             held.append((np.array(docs, np.int64)[own], (at - (ends - [len(t) for t in texts])[own]).astype(np.int32), h))
 
-        def dealt():
+        def rows():
             d, p, h = (np.concatenate(x) for x in zip(*held))
             held.clear()
-            b = (h % np.uint64(buckets)).astype(np.int32)
-            h = h // np.uint64(buckets)
-            order = np.argsort(b, kind="stable")
-            cuts = np.flatnonzero(np.diff(b[order])) + 1
-            for part in np.split(order, cuts):
-                if len(part):
-                    yield b[part[0]], d[part], p[part], h[part]
-
-        def rows():
-            got = list(dealt())
+            order = np.argsort(h, kind="stable")
+            first = np.concatenate([[True], h[order[1:]] != h[order[:-1]]])
+            alone = first & np.concatenate([first[1:], [True]])
+            known, lead = np.sort(order[~alone]), order[first]
+            out = []
+            if len(known):  # repeats within the block need no answer; one of each stands for them elsewhere
+                out.append((int(h[known[0]] % np.uint64(buckets)), d[known].tobytes(), p[known].tobytes(), None, None))
+            b = (h[lead] % np.uint64(buckets)).astype(np.int32)
             # 40 bits beside the bucket: a false hit only makes one more suffix to sort
-            return pa.RecordBatch.from_arrays([pa.array([int(b) for b, *_ in got], pa.int32()), *(pa.array([f(x) for x in got], pa.binary()) for f in (lambda x: x[1].tobytes(), lambda x: x[2].tobytes(), lambda x: (x[3] & 0xFFFFFFFF).astype(np.uint32).tobytes(), lambda x: (x[3] >> np.uint64(32)).astype(np.uint8).tobytes()))], names=["bucket", "docs", "places", "low", "high"])
+            rest = h[lead] // np.uint64(buckets)
+            by = np.argsort(b, kind="stable")
+            for part in np.split(by, np.flatnonzero(np.diff(b[by])) + 1):
+                at = lead[part]
+                out.append((int(b[part[0]]), d[at].tobytes(), p[at].tobytes(), (rest[part] & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes(), (rest[part] >> np.uint64(32)).astype(np.uint8).tobytes()))
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int32(), *[pa.binary()] * 4))], names=["bucket", "docs", "places", "low", "high"])
 
         for batch in batches:
             for d, t in zip(_doc_key(batch.column(0)), text_bytes(batch.column(1))):
@@ -114,16 +118,27 @@ def _anchor_task(buckets: int):
                             yield rows()
         if texts:
             joined()
-        if held:
+        if sum(len(x[0]) for x in held):
             yield rows()
 
     return task
 
 
+def _pairs(docs: np.ndarray, values: np.ndarray, name: str):
+    """A row for each value, so that their number follows the anchors and not the partitions."""
+    for at in range(0, len(docs), 100_000):
+        yield pa.RecordBatch.from_arrays([pa.array(docs[at : at + 100_000]), pa.array(values[at : at + 100_000])], names=["doc", name])
+
+
 def _twice_task(batches):
-    """Anchors whose K-gram hash another anchor has, one row a document and bucket."""
-    got = [b for b in batches]
-    parts = {c: [x for b in got for x in b.column(c).to_pylist()] for c in ("bucket", "docs", "places", "low", "high")}
+    """(doc, place) of the anchors whose K-gram hash another anchor has."""
+    parts: dict[str, list] = {c: [] for c in ("bucket", "docs", "places", "low", "high")}
+    for b in batches:
+        for r in b.filter(pc.is_null(b.column("low"))).to_pylist():
+            yield from _pairs(np.frombuffer(r["docs"], np.int64), np.frombuffer(r["places"], np.int32), "place")
+        asked = b.filter(pc.is_valid(b.column("low")))
+        for c, x in parts.items():
+            x += asked.column(c).to_pylist()
     if not parts["docs"]:
         return
     d, p = np.frombuffer(b"".join(parts["docs"]), np.int64), np.frombuffer(b"".join(parts["places"]), np.int32)
@@ -134,7 +149,7 @@ def _twice_task(batches):
     twice = np.zeros(len(h), bool)
     twice[order[1:][same]] = True
     twice[order[:-1][same]] = True
-    yield from _by_doc(d[twice], p[twice], "places")
+    yield from _pairs(d[twice], p[twice], "place")
 
 
 def _by_doc(docs: np.ndarray, values: np.ndarray, name: str):
@@ -228,7 +243,7 @@ def _bounds(before: int, after: int) -> tuple[int, int]:
 
 
 def _run_task(buckets: int):
-    """Rows of two kinds: runs of a bucket, and spans of texts that are known to be repeats of earlier ones."""
+    """Rows of two kinds: runs of a bucket, and spans of texts that are known to be repeats of earlier ones, which go with any bucket."""
     names = ["bucket", "doc", "spans", "shared", "rests", "rest_sizes", "befores", "before_sizes", "docs", "places"]
     types = [pa.int32(), pa.int64(), *[pa.binary()] * 8]
 
@@ -253,8 +268,8 @@ def _run_task(buckets: int):
 
         for b in batches:
             late: list[tuple[int, int, int]] = []
-            for d, data, blobs in zip(_doc_key(b.column("doc")), text_bytes(b.column("text")), b.column("places").to_pylist()):
-                for x in np.unique(np.frombuffer(b"".join(blobs), np.int32)).tolist():
+            for d, data, places in zip(_doc_key(b.column("doc")), text_bytes(b.column("text")), b.column("places").to_pylist()):
+                for x in sorted(set(places)):
                     if x + K > len(data):
                         continue  # another row has the same id
                     before, after = data[max(0, x - WINDOW + 1) : x], data[x : x + LENGTH]
@@ -275,7 +290,7 @@ def _run_task(buckets: int):
             if late:
                 found = np.array(late, np.int64)
                 for r in _by_doc(found[:, 0], found[:, 1:].astype(np.int32), "spans"):
-                    yield batch([[None, d, s, *[None] * 7] for d, s in zip(r.column(0).to_pylist(), r.column(1).to_pylist())])
+                    yield batch([[d % buckets, d, s, *[None] * 7] for d, s in zip(r.column(0).to_pylist(), r.column(1).to_pylist())])
             if len(entries) >= RUN:
                 for r in runs():
                     yield batch([r])
@@ -311,10 +326,20 @@ def earlier_spans(suffix_shared: np.ndarray, befores: np.ndarray, before_sizes:
     return most, least
 
 
+def _packed(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Spans as one number each."""
+    return starts.astype(np.int64) << 32 | ends.astype(np.int64)
+
+
 def _merge_task(batches):
     runs, befores, before_sizes, docs, places = [], [], [], [], []
     for b in batches:
-        for r in b.to_pylist():
+        late = b.filter(pc.is_valid(b.column("spans")))
+        if late.num_rows:
+            found = [np.frombuffer(x, np.int32).reshape(-1, 2) for x in late.column("spans").to_pylist()]
+            own = np.repeat(np.array(late.column("doc").to_pylist(), np.int64), [len(x) for x in found])
+            yield from _pairs(own, _packed(*np.concatenate(found).T), "span")
+        for r in b.filter(pc.is_valid(b.column("docs"))).to_pylist():
             sizes, at, rests = r["rest_sizes"], 0, []
             for n in sizes:
                 rests.append(r["rests"][at : at + n])
@@ -353,32 +378,32 @@ def _merge_task(batches):
     most, least = earlier_spans(lead, matrix, sizes, after_sizes[keep], rank)
     hit = most >= 0
     at = place[keep][hit]
-    yield from _by_doc(doc[keep][hit], np.column_stack([at - most[hit], at - least[hit] + LENGTH]).astype(np.int32), "spans")
+    yield from _pairs(doc[keep][hit], _packed(at - most[hit], at - least[hit] + LENGTH), "span")
+
+
+def keyed_texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc, text) with a key that is never null. Both joins on it have this as their one side, so that Spark deals the texts out once."""
+    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_LOWEST)).alias("doc"), F.col(text_col).alias("text"))
 
 
-def repeated_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", buckets: int | None = None) -> DataFrame:
-    """(doc, spans): for documents with repeats, arrays of int32 (start, end) byte pairs, unsorted and overlapping, as binary values."""
-    spark = docs.sparkSession
+def repeated_spans(texts: DataFrame, *, buckets: int | None = None) -> DataFrame:
+    """Of (doc, text): (doc, spans) for documents with repeats; a span is start * 2^32 + end in bytes, and spans are unsorted and overlap."""
+    spark = texts.sparkSession
     bounded_batches(spark)
     n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
-    dealt = texts.mapInArrow(_anchor_task(n), "bucket int, docs binary, places binary, low binary, high binary").repartition(n, "bucket")
-    twice = dealt.mapInArrow(_twice_task, "doc long, places binary").groupBy("doc").agg(F.collect_list("places").alias("places"))
-    wanted = texts.withColumn("doc", F.coalesce("doc", F.lit(_LOWEST))).join(twice, "doc")
+    dealt = texts.mapInArrow(_anchor_task(n), "bucket int, docs binary, places binary, low binary, high binary").repartitionById(n, "bucket")
+    twice = dealt.mapInArrow(_twice_task, "doc long, place int").groupBy("doc").agg(F.collect_list("place").alias("places"))
     kinds = "bucket int, doc long, spans binary, shared binary, rests binary, rest_sizes binary, befores binary, before_sizes binary, docs binary, places binary"
-    found = stored(wanted.mapInArrow(_run_task(n), kinds), "runs")
-    runs = found.where("bucket IS NOT NULL").drop("doc", "spans").repartition(n, "bucket")
-    late = runs.mapInArrow(_merge_task, "doc long, spans binary")
-    return found.where("bucket IS NULL").select("doc", "spans").unionByName(late).groupBy("doc").agg(F.collect_list("spans").alias("spans"))
+    runs = texts.join(twice, "doc").mapInArrow(_run_task(n), kinds).repartitionById(n, "bucket")
+    return runs.mapInArrow(_merge_task, "doc long, span long").groupBy("doc").agg(F.collect_list("span").alias("spans"))
 
 
-def _removed(n: int, blobs: list[bytes] | None) -> list[tuple[int, int]]:
+def _removed(n: int, packed: list[int] | None) -> list[tuple[int, int]]:
     """Maximal runs of bytes that the spans cover, within a text of n bytes."""
     out: list[tuple[int, int]] = []
-    if blobs:
-        spans = np.frombuffer(b"".join(blobs), np.int32).reshape(-1, 2)
-        for a, b in spans[np.argsort(spans[:, 0], kind="stable")].tolist():
-            b = min(b, n)
+    if packed:
+        for span in sorted(packed):
+            a, b = span >> 32, min(span & 0xFFFFFFFF, n)
             if out and a <= out[-1][1]:
                 out[-1] = (out[-1][0], max(b, out[-1][1]))
             elif a < b:
@@ -418,10 +443,13 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     each other's same places.
     """
     bounded_batches(docs.sparkSession)
-    keep = keep or [id_col]
-    spans = repeated_spans(docs, id_col=id_col, text_col=text_col)
-    rows = docs.select(*keep, F.coalesce(F.col(id_col).cast("long"), F.lit(_LOWEST)).alias("_doc"), F.col(text_col).alias("_text"))
-    joined = rows.join(spans.select(F.col("doc").alias("_doc"), F.col("spans").alias("_spans")), "_doc", "left").drop("_doc")
+    texts = keyed_texts(docs, id_col, text_col)
+    spans = repeated_spans(texts).select("doc", F.col("spans").alias("_spans"))
+    if keep and keep != [id_col]:
+        rows = docs.select(*keep, F.coalesce(F.col(id_col).cast("long"), F.lit(_LOWEST)).alias("doc"), F.col(text_col).alias("_text"))
+        joined = rows.join(spans, "doc", "left").select(*keep, "_text", "_spans")
+    else:
+        joined = texts.join(spans, "doc", "left").select(F.when(F.col("doc") != _LOWEST, F.col("doc")).alias(id_col), F.col("text").alias("_text"), "_spans")
     fields = [f for f in joined.schema if f.name not in ("_text", "_spans")]
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), "n_bytes long, n_removed long, n_spans long", ("kept_sha256" if digest else "kept") + " string"])
     return joined.mapInArrow(_result_task(digest), schema)
