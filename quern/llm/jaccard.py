@@ -30,8 +30,8 @@ N, SIMILARITY, RECALL, ROWS = 5, 0.8, 0.9998, 6
 #: Classes of a chunk; a block compares two chunks.
 CHUNK = 512
 #: Distinct n-grams taken at a time when a block is compared.
-SLAB = 4096
-_WORDS_HELD = 500_000
+SLAB = 2048
+_WORDS_HELD = 200_000
 
 
 def bands_for(similarity: float = SIMILARITY, recall: float = RECALL, rows: int = ROWS) -> int:

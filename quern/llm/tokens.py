@@ -29,7 +29,7 @@ CHUNK_BITS = 8
 RANK_BLOCK = 512
 MAGIC = b"DAC1"
 #: Pieces kept by a Python worker; a bound on its memory, the cache starts anew beyond it.
-CACHE_PIECES = 700_000
+CACHE_PIECES = 450_000
 
 
 #: Lower-case words for which NFC, lower-casing and the split before the merges change nothing.
