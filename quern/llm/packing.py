@@ -16,9 +16,8 @@ import random
 import zlib
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from quern.llm.common import bounded_batches, stored, text_bytes
 from quern.llm.tokens import encoder, vocabulary_path
@@ -170,15 +169,15 @@ def best_solutions(groups: DataFrame, *, capacity: int = CAPACITY, islands: int
 def _round(pieces: DataFrame, groups: int, capacity: int, base: int) -> DataFrame:
     """pieces with bin (unique over groups) and the bin's fill."""
     item = F.struct("length", "doc_id", "piece", "start", "ids_crc32")
-    dealt = pieces.groupBy(F.pmod(F.xxhash64("doc_id", "piece", "start"), F.lit(groups)).alias("grp")).agg(F.sort_array(F.collect_list(item), asc=False).alias("items"))
+    # the row number spreads rows that share an id (or have none); groups are written once, as two plans read them
+    group = F.pmod(F.xxhash64("doc_id", "piece", "start", F.monotonically_increasing_id()), F.lit(groups))
+    numbered = pieces.withColumn("grp", group)
+    dealt = stored(numbered.groupBy("grp").agg(F.sort_array(F.collect_list(item), asc=False).alias("items")), "groups")
     packed = dealt.join(best_solutions(dealt.select("grp", F.transform("items", lambda x: x["length"]).alias("lengths")), capacity=capacity), "grp")
     # bins are laid out inside a group's own arrays: no other shuffle
     each = packed.select("grp", F.explode(F.arrays_zip("items", "solution")).alias("x"))
-    from pyspark.sql import Window
-
-    key = [F.col("grp"), F.col("bin")]
     flat = each.select("grp", F.col("x.solution").alias("bin"), "x.items.*")
-    w = Window.partitionBy(*key)
+    w = Window.partitionBy("grp", "bin")
     before = F.sum("length").over(w.orderBy(F.desc("length"), "doc_id", "piece", "start").rowsBetween(Window.unboundedPreceding, -1))
     return flat.select("doc_id", "piece", "start", "length", "ids_crc32", (F.lit(base) + F.col("grp") * (1 << 20) + F.col("bin")).alias("sequence_id"), F.coalesce(before, F.lit(0)).alias("offset"), F.sum("length").over(w).alias("fill"))
 

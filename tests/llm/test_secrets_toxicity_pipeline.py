@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from quern.llm import secrets as S
 from quern.llm import toxicity as T
-from quern.llm.jaccard import shingles
 from quern.llm.queries import QUERIES
 
 BASE = {"assign": (re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A), 2, 8), "access": (re.compile(r"AKIA[A-Z0-9]+"), 0, 16), "hex": (re.compile(r"[0-9a-f]+"), 0, 32)}
