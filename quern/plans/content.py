@@ -10,7 +10,6 @@ from quern.functions import url as U
 from quern.functions.vector import pooled
 from quern.operators import clustering as C
 from quern.operators import similarity as S
-from quern.operators.retrieval import ranked
 from quern.sources import captions as P
 from quern.sources import model as M
 from quern.sources.store import saved
