@@ -7,8 +7,8 @@ where a linear machine is fitted by hinge loss. Its weights then collapse into o
 scoring a word is a sum of table look-ups and costs the same for any number of landmarks.
 
 Labels belong to texts, not to words: word examples are the words that stand out in toxic sentences of a bounded sample
-of labelled rows, against words of clean ones. A logistic fit on the same sample turns the words' margins into a text's
-score. The words of every text are all scored; words written letter by letter are put together first.
+of labelled texts, against words of clean ones; copies of a text count once. A logistic fit on the same sample turns the
+words' margins into a text's score. The words of every text are all scored; words written letter by letter are put together first.
 """
 
 from __future__ import annotations
@@ -30,6 +30,8 @@ SYMBOLS = 64
 WIDTH = 24
 #: Bounds of what is fitted: labelled rows, example words of either kind, landmarks.
 TRAIN_ROWS, POSITIVE, NEGATIVE, LANDMARKS = 20_000, 400, 4000, 96
+#: Odds of being toxic against those of the sample: an example word has STANDS_OUT times them at least, a plain one less than PLAIN_ODDS times. Odds have no upper bound, so a word can stand out at any share of toxic labels.
+STANDS_OUT, PLAIN_ODDS = 4.0, 1.6
 #: Signs put between letters, and digits written for letters.
 PLAIN = str.maketrans({c: None for c in map(chr, range(33, 127)) if not c.isalnum() and c not in "@$"} | dict(zip("013457@$", "oieastas")))
 
@@ -238,33 +240,44 @@ def _feature_task(model: ToxicityModel, name: str, types: list[str]):
     return task
 
 
-def learn_toxicity(labelled: DataFrame, *, text_col: str = "text", label_col: str = "toxic", train_rows: int = TRAIN_ROWS) -> ToxicityModel:
-    """Fit on (text, label) rows: at most train_rows of them, in order of a hash of the text; nulls are left out.
+def sampled_texts(labelled: DataFrame, most: int) -> DataFrame:
+    """(text, y) of (text, label, h): each different text once with the share of label 1 among its rows, the `most` least by h, its hash.
 
-    With no labelled rows, or only one label, every text's score is the smoothed share of label 1.
+    The cut is the hash that many texts reach, so that copies change neither the number of texts nor the draw.
+    """
+    known = labelled.select("text", "h", (F.col("label").cast("double") > 0.5).cast("double").alias("y")).where("text IS NOT NULL AND y IS NOT NULL")
+    last = known.select("h").distinct().orderBy("h").limit(most).agg(F.max("h")).first()[0]
+    return known.where(F.col("h") <= F.lit(last)).groupBy("text").agg(F.avg("y").alias("y"))
+
+
+def learn_toxicity(labelled: DataFrame, *, text_col: str = "text", label_col: str = "toxic", hash_col: str | None = None, train_rows: int = TRAIN_ROWS) -> ToxicityModel:
+    """Fit on (text, label) rows: at most train_rows different texts, in order of a hash of the text; nulls are left out.
+
+    A text counts once, with the share of label 1 among its rows. With no labelled rows, only one label, or no word that
+    stands out beyond chance, every text's score is the smoothed share of label 1 over the texts. hash_col: xxhash64 of
+    the text, for rows that come of a join, which then deals out no text that is not fitted on.
     """
     spark = labelled.sparkSession
     bounded_batches(spark)
-    known = labelled.select(F.col(text_col).alias("text"), F.col(label_col).cast("double").alias("y")).where("text IS NOT NULL AND y IS NOT NULL")
-    n = known.count()
-    if n > train_rows:
-        known = known.where(F.pmod(F.xxhash64("text"), F.lit(1_000_003)) < 1_000_003 * train_rows / n)
+    known = sampled_texts(labelled.select(F.col(text_col).alias("text"), F.col(label_col).alias("label"), (F.col(hash_col) if hash_col else F.xxhash64(text_col)).alias("h")), train_rows)
     known = known.persist()
     try:
-        totals = {r["y"]: r["n"] for r in known.groupBy((F.col("y") > 0.5).alias("y")).agg(F.count("*").alias("n")).collect()}
-        bad, good = totals.get(True, 0), totals.get(False, 0)
+        bad, n = known.agg(F.coalesce(F.sum("y"), F.lit(0.0)), F.count("*")).first()
+        good = n - bad
         empty = ToxicityModel(np.zeros(0x3000, np.int32), np.zeros(SYMBOLS**3, np.float32), 0.0, np.append(np.zeros(FEATURES), np.log((bad + 0.5) / (good + 0.5)) if bad + good else -4.0))
         if not bad or not good:
             return empty
-        words = known.mapInArrow(_unit_task, "units array<string>, y double").select(F.explode("units").alias("w"), "y").groupBy("w").agg(F.sum(F.when(F.col("y") > 0.5, 1).otherwise(0)).alias("a"), F.count("*").alias("n")).withColumn("b", F.col("n") - F.col("a")).where(F.length("w") > 2)
+        words = known.mapInArrow(_unit_task, "units array<string>, y double").select(F.explode("units").alias("w"), "y").groupBy("w").agg(F.sum("y").alias("a"), F.sum(1 - F.col("y")).alias("b"), F.count("*").alias("n")).where(F.length("w") > 2)
         words = words.persist()
-        share, rate = F.col("a") / F.col("n"), bad / (bad + good)
+        share, rate = F.col("a") / F.col("n"), bad / n
+        # odds above some multiple of the sample's, without a division by no clean texts
+        beyond = lambda times: F.col("a") * good > times * F.col("b") * bad
         # how unlikely so many toxic texts among a word's texts are, against the number of words that could be so by chance
-        surprise = F.col("a") * F.log(share / rate) + F.when(F.col("b") > 0, F.col("b") * F.log((1 - share) / (1 - rate))).otherwise(0.0)
-        out = words.where((F.col("a") >= 3) & (share > 3 * rate) & (surprise > np.log(max(2, words.count())) + 1)).orderBy(F.desc(surprise), "w").limit(POSITIVE).select("w", "a").collect()
+        surprise = F.col("a") * F.log(F.when(F.col("a") > 0, share / rate).otherwise(1.0)) + F.when(F.col("b") > 0, F.col("b") * F.log(F.col("b") / F.col("n") / (1 - rate))).otherwise(0.0)
+        out = words.where((F.col("a") >= 3) & beyond(STANDS_OUT) & (surprise > np.log(max(2, words.count())) + 1)).orderBy(F.desc(surprise), "w").limit(POSITIVE).select("w", "a").collect()
         # frequent words first, with a draw of the rare ones: those above a cut that leaves about NEGATIVE
         weight = F.sqrt("b") * (1 + F.pmod(F.xxhash64("w"), F.lit(1009)) / 100)
-        plain = words.where((F.col("b") >= 1) & (share < 1.5 * rate)).select("w", "b", weight.alias("weight"))
+        plain = words.where((F.col("b") > 0) & ~beyond(PLAIN_ODDS)).select("w", "b", weight.alias("weight"))
         size = plain.count()
         cut = plain.agg(F.percentile_approx("weight", F.lit(max(0.0, 1 - NEGATIVE / max(1, size))), F.lit(100_000))).first()[0] if size > NEGATIVE else 0.0
         plain = plain.where(F.col("weight") > cut).orderBy("w").select("w", "b").collect() if out else []
@@ -276,7 +289,7 @@ def learn_toxicity(labelled: DataFrame, *, text_col: str = "text", label_col: st
         model = ToxicityModel(*fit_machine(positive, negative, weights), empty.text)
         names = [f"f{k}" for k in range(FEATURES)]
         got = known.select(F.col("text").alias("_text"), "y").mapInArrow(_feature_task(model, "features", names), ", ".join(["y double", *(f"{x} double" for x in names)])).toPandas()
-        return ToxicityModel(model.alphabet, model.table, model.bias, _logistic(got[names].to_numpy(), (got["y"] > 0.5).to_numpy(float)))
+        return ToxicityModel(model.alphabet, model.table, model.bias, _logistic(got[names].to_numpy(), got["y"].to_numpy(float)))
     finally:
         known.unpersist()
 
@@ -295,5 +308,5 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, *, text_col: str = "te
 def toxicity_predictions(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """A model from the labelled documents that are not held out, scores for all."""
     marked = docs.select("doc_id", "text", held_out(5, 0).alias("held_out"))
-    labelled = marked.where(~F.col("held_out")).join(labels.select("doc_id", "toxic"), "doc_id").select("text", "toxic")
-    return score_toxicity(marked, learn_toxicity(labelled), keep=["doc_id", "held_out"])
+    labelled = marked.where(~F.col("held_out")).withColumn("h", F.xxhash64("text")).join(labels.select("doc_id", "toxic"), "doc_id").select("text", "toxic", "h")
+    return score_toxicity(marked, learn_toxicity(labelled, hash_col="h"), keep=["doc_id", "held_out"])

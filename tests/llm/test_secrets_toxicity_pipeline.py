@@ -88,6 +88,25 @@ def test_gapped_insults_score_above_plain_words(spark):
     assert scores[1] > 0.5 > scores[2] and scores[3] < 0.5 and scores[4] < 0.5
 
 
+@pytest.mark.parametrize(("toxic", "copies"), [(0.4, 0), (0.6, 0), (0.25, 400)])
+def test_insults_stand_out_at_any_share_of_labels(spark, toxic, copies):
+    """Balanced labels, and one toxic text whose copies are half of the rows."""
+    rnd = random.Random(3)
+    word = lambda: "".join(rnd.choice(["th", "er", "on", "an", "re", "he"]) for _ in range(rnd.randint(1, 4)))
+    rows = []
+    for i in range(400):
+        words, bad = [word() for _ in range(40)], i < 400 * toxic
+        if bad:
+            words[5], words[9] = rnd.choice(["idiot", "worthless", "moron"]), rnd.choice(["idiot", "moron", "pathetic"])
+        rows.append((" ".join(words), int(bad)))
+    df = spark.createDataFrame(rows + rows[:1] * copies, "text string, toxic int").repartition(3)
+    model = T.learn_toxicity(df)
+    m = dict(zip(names := ["idiot", "idxiot", "worthlesss", "mooron", "therhe", "anre"], model.margins(names)))
+    assert min(m[x] for x in names[:4]) > max(m[x] for x in names[4:])
+    scores = {r.doc_id: r.score for r in T.score_toxicity(spark.createDataFrame([(1, "you i d i o t and w*orthless mor-on"), (2, "the on an re he thon")], "doc_id long, text string"), model).collect()}
+    assert scores[1] > 0.5 > scores[2]
+
+
 def test_toxicity_edges(edge, none):
     labels = edge.select("doc_id", F.lit(1).alias("toxic"))
     got = T.toxicity_predictions(edge, labels).collect()
