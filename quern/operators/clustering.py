@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -127,25 +128,93 @@ def lineage(old: DataFrame, new: DataFrame, *, persist: float = 0.5, parent: flo
     return old.sparkSession.createDataFrame(rows, "event string, cluster_id long, other string, jaccard double")
 
 
-def density_clusters(vectors: DataFrame, eps: float, min_samples: int, save, *, cell: float | None = None) -> DataFrame:
+def _unit_blocks(rows: int):
+    """(id, vector, weight) to blocks of at most `rows`: ids, weights and one matrix scaled to unit length."""
+
+    def task(batches):
+        for b in batches:
+            for at in range(0, b.num_rows, rows):
+                part = b.slice(at, rows)
+                m = np.array(part.column(1).to_pylist(), float)
+                n = np.linalg.norm(m, axis=1, keepdims=True)
+                lists = [pa.array([part.column(c).to_pylist()], pa.list_(pa.int64())) for c in (0, 2)]
+                yield pa.RecordBatch.from_arrays([*lists, pa.array([(m / np.where(n == 0, 1, n)).tobytes()], pa.binary())], names=["ids", "weights", "matrix"])
+
+    return task
+
+
+def _counted(near: np.ndarray, ids: np.ndarray, others: np.ndarray, weights: np.ndarray):
+    """Of each row: the weight of the others near it, without itself."""
+    n = near @ weights - (near & (ids[:, None] == others)).any(axis=1)
+    return ids[n > 0], n[n > 0]
+
+
+def _least(near: np.ndarray, ids: np.ndarray, others: np.ndarray, weights: np.ndarray):
+    """Of each row: the least of the others near it."""
+    some = near.any(axis=1)
+    return ids[some], np.where(near[some], others, np.iinfo(np.int64).max).min(axis=1)
+
+
+def _forest(near: np.ndarray, ids: np.ndarray, others: np.ndarray, weights: np.ndarray):
+    """Links, fewer than there are rows on both sides, that connect what the near pairs connect."""
+    here, there, out = np.zeros(len(ids), bool), np.zeros(len(others), bool), ([], [])
+    for start in np.flatnonzero(near.any(axis=1)):
+        front = np.zeros(0, int) if here[start] else np.array([start])
+        here[front] = True
+        while len(front):
+            across = np.flatnonzero(near[front].any(axis=0) & ~there)
+            there[across] = True
+            front = np.flatnonzero(near[:, across].any(axis=1) & ~here)
+            here[front] = True
+            found = np.concatenate([others[across], ids[front]])
+            found = found[found != ids[start]]
+            out[0].append(np.full(len(found), ids[start]))
+            out[1].append(found)
+    return tuple(np.concatenate([np.zeros(0, np.int64), *x]) for x in out)
+
+
+def _near_task(reach: float, how):
+    """`how` of each pair of blocks, as rows (a, b)."""
+
+    def task(batches):
+        for batch in batches:
+            for r in batch.to_pylist():
+                q, c = (np.frombuffer(r[k]).reshape(len(r[i]), -1) for k, i in (("q_matrix", "q_ids"), ("matrix", "ids")))
+                a, b = how(np.round(q @ c.T, 9) >= reach, np.array(r["q_ids"]), np.array(r["ids"]), np.array(r["weights"]))
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return task
+
+
+def density_clusters(vectors: DataFrame, eps: float, min_samples: int, save, *, cell: float | None = None, block: int = 2048) -> DataFrame:
     """page_id, cluster_id (-1: noise): density clusters of unit vectors whose cosine distance is eps or less.
 
     Pages with min_samples neighbours are cores; cores that are near each other make a cluster, named by its least core;
-    other pages go with the least near core. Neighbours come from blocks of exact products, so the graph and not the
-    matrix is what is kept. A variable-density hierarchy has no distributed form here; this is its cut at one distance.
+    other pages go with the least near core. All neighbours within eps count: equal vectors are one row of their number,
+    and from each pair of blocks go on counts, then links that connect the same cores as all near pairs do, and not the
+    pairs. A variable-density hierarchy has no distributed form here; this is its cut at one distance.
     """
     from quern.operators.entities import components
-    from quern.operators.retrieval import dense_topk
-
-    v = vectors.select(F.col("page_id").alias("chunk_id"), "vector")
-    # nearest min_samples + 1 tell cores; edges among the nearest keep each core's own density
-    near = save(dense_topk(v.withColumnRenamed("chunk_id", "query_id"), v, min_samples + 1).where(F.col("score") >= 1 - eps).select(F.col("query_id").alias("a"), F.col("chunk_id").alias("b")).where("a <> b"))
-    cores = near.groupBy("a").agg(F.count("*").alias("n")).where(F.col("n") >= min_samples).select(F.col("a").alias("entity_id"))
-    edges = near.join(cores.withColumnRenamed("entity_id", "a"), "a", "left_semi").join(cores.withColumnRenamed("entity_id", "b"), "b", "left_semi")
-    names = components(edges, cores, save)
-    border = near.join(names.withColumnRenamed("entity_id", "b"), "b").groupBy("a").agg(F.min("component").alias("c"))
-    out = vectors.select("page_id").join(names.withColumnRenamed("entity_id", "page_id"), "page_id", "left").join(border.withColumnRenamed("a", "page_id"), "page_id", "left")
-    return out.select("page_id", F.coalesce("component", "c", F.lit(-1)).alias("cluster_id"))
+
+    v = vectors.select(F.col("page_id").cast("long").alias("page_id"), "vector")
+    groups = save(v.where(F.size("vector") > 0).groupBy("vector").agg(F.min("page_id").alias("id"), F.count("*").alias("n")).select("id", "vector", "n"))
+
+    def blocks(rows: DataFrame) -> DataFrame:
+        # kept, so that both sides of a pair are cut alike
+        return save(rows.select("id", "vector", "n").mapInArrow(_unit_blocks(block), "ids array<long>, weights array<long>, matrix binary"))
+
+    def near(asked: DataFrame, among: DataFrame, how, where: str = "true") -> DataFrame:
+        q = asked.select(F.col("ids").alias("q_ids"), F.col("matrix").alias("q_matrix"))
+        return among.crossJoin(q).where(where).mapInArrow(_near_task(1 - eps, how), "a long, b long")
+
+    every = blocks(groups)
+    cores = save(near(every, every, _counted).groupBy("a").agg(F.sum("b").alias("near")).where(F.col("near") >= min_samples).select(F.col("a").alias("id")))
+    inner = blocks(groups.join(cores, "id", "left_semi"))
+    names = components(near(inner, inner, _forest, "q_ids[0] <= ids[0]"), cores.select(F.col("id").alias("entity_id")), save)
+    border = near(blocks(groups.join(cores, "id", "left_anti")), inner, _least).groupBy("a").agg(F.min("b").alias("entity_id"))
+    owned = names.select(F.col("entity_id").alias("id"), "component").unionByName(border.join(names, "entity_id").select(F.col("a").alias("id"), "component"))
+    of_vector = groups.join(owned, "id").select("vector", "component")
+    return v.join(of_vector, "vector", "left").select("page_id", F.coalesce("component", F.lit(-1)).alias("cluster_id"))
 
 
 def idle_threshold_s(runs: DataFrame) -> DataFrame:

@@ -194,6 +194,29 @@ def test_density_clusters(spark):
     assert {got[i] for i in range(20)} == {0} and {got[i] for i in range(20, 40)} == {20} and got[40] == -1
 
 
+@pytest.mark.parametrize("block", [7, 2048])
+def test_density_clusters_match_brute_force(spark, block):
+    """Groups of copies, blobs that touch, a bridge of copies between two blobs, and pages without a vector."""
+    rng = np.random.default_rng(4)
+    at = lambda angle: [math.cos(angle), math.sin(angle), 0.0]
+    v = [at(a) for a in [*rng.normal(0, 0.002, 15), *rng.normal(0.1, 0.002, 15), *[0.2] * 9, *[0.295] * 9, *rng.normal(1, 0.05, 20), *rng.uniform(1.5, 3, 25)]]
+    v = [v[i] for i in rng.permutation(len(v))]
+    df = spark.createDataFrame([*enumerate(v), (900, None), (901, [])], "page_id long, vector array<double>").repartition(3)
+    eps, least = 1 - math.cos(0.11), 5
+    near = np.round(np.array(v) @ np.array(v).T, 9) >= 1 - eps
+    core, want = near.sum(axis=1) - 1 >= least, {}
+    for i in np.flatnonzero(core):
+        todo = [] if i in want else [i]
+        while todo:
+            if (k := todo.pop()) not in want:
+                want[k] = i
+                todo += np.flatnonzero(near[k] & core).tolist()
+    want |= {i: want[np.flatnonzero(near[i] & core)[0]] if (near[i] & core).any() else -1 for i in np.flatnonzero(~core)}
+    got = {r.page_id: r.cluster_id for r in C.density_clusters(df, eps, least, saved(spark), block=block).collect()}
+    assert got == {**{int(k): int(x) for k, x in want.items()}, 900: -1, 901: -1}
+    assert len(set(got.values()) - {-1}) < 6
+
+
 def test_entry_without_the_llm_subpackage(tmp_path):
     """The entry module imports and lists the engine's queries when quern.llm is gone."""
     root = Path(__file__).resolve().parent.parent
