@@ -21,9 +21,9 @@ def event_stream(spark: SparkSession, path: str, *, files_a_batch: int = 4) -> D
     return s.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def ingest_dedup(stream: DataFrame, key: str, delay: str = "40 days") -> DataFrame:
-    """The first row of each key; state is kept as long as the watermark's delay."""
-    return stream.withWatermark("ts", delay).dropDuplicatesWithinWatermark([key])
+def ingest_dedup(stream: DataFrame, key: str, delay: str | None = None) -> DataFrame:
+    """The first row of each key, in whatever order rows land; a delay bounds the state to keys that repeat within it, and drops later rows."""
+    return stream.withWatermark("ts", delay).dropDuplicatesWithinWatermark([key]) if delay else stream.dropDuplicates([key])
 
 
 def tumbling_metrics(stream: DataFrame, step: str = "6 hours", delay: str = "1 day") -> DataFrame:
@@ -36,9 +36,9 @@ def latest_state(stream: DataFrame) -> DataFrame:
     return stream.groupBy(F.col("user_id").alias("job_id")).agg(F.max_by(F.struct("event_type", "ts"), F.struct("ts", "event_id")).alias("x"), F.count("*").alias("transitions")).select("job_id", F.col("x.event_type").alias("status"), "transitions")
 
 
-def idle_sessions(stream: DataFrame, gap: str = "12 hours", delay: str = "1 day") -> DataFrame:
-    """Runs of a user's events without a pause of `gap`."""
-    return stream.withWatermark("ts", delay).groupBy(F.session_window("ts", gap).alias("w"), "user_id").agg(F.count("*").alias("n")).select("user_id", F.col("w.start").alias("start"), "n")
+def idle_sessions(stream: DataFrame, gap: str = "12 hours", delay: str | None = None) -> DataFrame:
+    """Runs of a user's events without a pause of `gap`, in whatever order rows land; a delay bounds the state, and drops later rows in any output mode."""
+    return (stream.withWatermark("ts", delay) if delay else stream).groupBy(F.session_window("ts", gap).alias("w"), "user_id").agg(F.count("*").alias("n")).select("user_id", F.col("w.start").alias("start"), "n")
 
 
 def with_feedback(runs: DataFrame, feedback: DataFrame, within: str = "INTERVAL 7 DAYS") -> DataFrame:

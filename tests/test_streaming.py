@@ -55,3 +55,28 @@ def test_late_feedback(spark, landed):
     v, c = e.where("event_type = 'view'").alias("v"), e.where("event_type = 'click'").alias("c")
     want = v.join(c, F.expr("v.user_id = c.user_id AND c.ts >= v.ts AND c.ts <= v.ts + INTERVAL 7 DAYS")).count()
     assert got == want > 0
+
+
+@pytest.fixture(scope="module")
+def scattered(spark, tmp_path_factory):
+    """Two hundred days of three users' events as seven files, of which the newest lands first."""
+    out = tmp_path_factory.mktemp("scattered")
+    e = spark.range(2400).select(F.col("id").alias("event_id"), F.timestamp_seconds(1_704_067_200 + F.col("id") * 7200 + F.pmod(F.xxhash64("id"), F.lit(5000))).cast("timestamp_ntz").alias("ts"), F.pmod(F.xxhash64("id", F.lit(1)), F.lit(3)).alias("user_id"), F.concat(F.lit("t"), F.pmod("id", F.lit(4))).alias("event_type"), F.lit(1.0).alias("value"), F.lit("").alias("props"))
+    e = e.where("event_id % 40 < 25")
+    for i in range(7):
+        e.where(F.floor(F.col("event_id") / 350) == 6 - i).coalesce(1).write.mode("append").parquet(f"file://{out}/events")
+    return f"file://{out}/events", e
+
+
+def test_dedup_of_files_out_of_order(spark, scattered):
+    s = stream(spark, scattered).withColumn("key", F.concat_ws("/", "event_type", "user_id"))
+    got = W.finished(W.ingest_dedup(s, "key"), "append").select("key")
+    assert plain(got) == plain(scattered[1].select(F.concat_ws("/", "event_type", "user_id")).distinct())
+
+
+def test_sessions_of_files_out_of_order(spark, scattered):
+    got = W.finished(W.idle_sessions(stream(spark, scattered)), "complete").select("user_id", F.col("start").cast("timestamp_ntz"), "n")
+    by = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    new = scattered[1].withColumn("new", F.when(F.col("ts") - F.lag("ts").over(by) < F.expr("INTERVAL 12 HOURS"), 0).otherwise(1))
+    want = new.withColumn("s", F.sum("new").over(by)).groupBy("user_id", "s").agg(F.min("ts").alias("start"), F.count("*").alias("n")).drop("s")
+    assert plain(got) == plain(want) and got.count() > 100
