@@ -23,19 +23,55 @@ def bounded_batches(spark: SparkSession, rows: int = 2000) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset (local tests)."""
+    """This application's folder in the one that driver and executors share, spark.checkpoint.dir.
+
+    Where that is unset, a local master (as in tests) gets a temporary folder; a cluster gets an error, since its machines
+    don't share one.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not found:
-        found = "file://" + os.path.join(tempfile.gettempdir(), f"quern-{spark.sparkContext.applicationId}")
-    return found.rstrip("/")
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        found = "file://" + tempfile.gettempdir()
+    return os.path.join(found.rstrip("/"), f"quern-{spark.sparkContext.applicationId}")
+
+
+def dropped(spark: SparkSession, path: str) -> None:
+    """Remove a folder of this application, in whatever store it is."""
+    jvm = spark.sparkContext._jvm
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Remove all tables that the operators wrote for this application; call it when their results have been used."""
+    dropped(spark, shared_dir(spark))
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: later plans start from files that outlive any executor."""
+    return stored_at(df, name)[0]
+
+
+def stored_at(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """As stored(), with the path, for tables that are dropped when the next one is written."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def packed_rows(docs: DataFrame, keep: list[str] | None, text_col: str, *more) -> DataFrame:
+    """(_keep, _text, more...): the kept columns (default doc_id) travel as one, so that no name can clash with an operator's own."""
+    bounded_batches(docs.sparkSession)
+    return docs.select(F.struct(*(F.col(f"`{c}`") for c in keep or ["doc_id"])).alias("_keep"), F.col(text_col).alias("_text"), *more)
+
+
+def unpacked_rows(rows: DataFrame, *results) -> DataFrame:
+    """The kept columns and the results; where both have a name, the result's counts."""
+    own = set(rows.select(*results).columns)
+    kept = [f.name for f in rows.schema["_keep"].dataType if f.name not in own]
+    return rows.select(*(F.col(f"_keep.`{c}`").alias(c) for c in kept), *results)
 
 
 def ascii_lower(c):

@@ -1,18 +1,23 @@
-"""Toxicity by a support vector machine over a gapped subsequence kernel, with Nystrom landmarks.
-
-The kernel of two words counts the three-letter subsequences they share, gaps allowed within SPAN letters and weighted by
-DECAY for each letter spanned, so an insult with gaps or letters put in still looks like itself. A start mark is part of
-each word. Landmarks are words of labelled training texts; the Nystrom map sends a word to K_LL^(-1/2) k(word, landmarks),
-where a linear machine is fitted by hinge loss. Its weights then collapse into one weight for each subsequence, so that
-scoring a word is a sum of table look-ups and costs the same for any number of landmarks.
-
-Labels belong to texts, not to words: word examples are the words that stand out in toxic sentences of a bounded sample
-of labelled texts, against words of clean ones; copies of a text count once. A logistic fit on the same sample turns the
-words' margins into a text's score. The words of every text are all scored; words written letter by letter are put together first.
+"""Toxicity by a support vector machine over a gapped subsequence kernel of sentences, with Nystrom landmarks.
+
+The kernel of two words counts the subsequences of three and of five letters that they share, gaps allowed within SPAN
+letters and weighted by DECAY for each letter skipped, so an insult with gaps or letters put in still looks like itself; a
+start mark is part of each word, subsequences of any script are hashed into BUCKETS numbers, and rare ones weigh more. The
+kernel of two sentences is the sum over their different words, over a root that grows with the words' numbers. Landmarks
+are sentences of labelled texts; the Nystrom map sends a sentence to k(sentence, landmarks) K_LL^(-1/2), where a linear
+machine is fitted by squared hinge loss. Its weights then collapse into one weight for each subsequence, so that scoring
+costs the same for any number of landmarks.
+
+Labels belong to texts, which are bags of sentences: a text is as toxic as its worst sentence. Training goes in rounds:
+each labelled text hands on its worst sentence by the machine so far (at first: by the odds of subsequences in toxic texts
+against clean ones), and the machine is fitted on those sentences. A text's score is a logistic function of the three
+greatest margins of its sentences and of their number. Every sentence of every text is scored.
 """
 
 from __future__ import annotations
 
+import itertools
+import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -20,25 +25,46 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import bounded_batches
+from quern.llm.common import bounded_batches, packed_rows, stored, unpacked_rows
 from quern.llm.language import held_out
 
 SPAN, DECAY = 6, 0.8
-PAIRS = [(a, b) for b in range(2, SPAN) for a in range(1, b)]
-WEIGHTS = np.array([DECAY ** (b - 2) for _, b in PAIRS], np.float32)
-SYMBOLS = 64
-WIDTH = 24
-#: Bounds of what is fitted: labelled rows, example words of either kind, landmarks.
-TRAIN_ROWS, POSITIVE, NEGATIVE, LANDMARKS = 20_000, 400, 4000, 96
-#: Odds of being toxic against those of the sample: an example word has STANDS_OUT times them at least, a plain one less than PLAIN_ODDS times. Odds have no upper bound, so a word can stand out at any share of toxic labels.
-STANDS_OUT, PLAIN_ODDS = 4.0, 1.6
+#: Places of a subsequence's letters after its first.
+PATTERNS = [p for n in (2, 4) for p in itertools.combinations(range(1, SPAN), n)]
+WEIGHTS = np.array([DECAY ** (p[-1] - len(p)) for p in PATTERNS], np.float32)
+#: Hashed subsequences; number 0 stands for none.
+BUCKETS = 1 << 17
+#: Letters of a unit with its start mark, and units of a sentence; longer words and sentences are several.
+WIDTH, SENTENCE = 24, 24
+#: Defaults of learn_toxicity: labelled texts that are fitted on, landmarks, rounds of choosing sentences.
+TRAIN_ROWS, LANDMARKS, ROUNDS = 20_000, 384, 3
+#: Added to the number of a sentence's words under the root, so that one odd word alone is no stronger than in a sentence.
+SHORT = 8
+#: Numbers that a text's score is made of, and the margin of a sentence that is not there.
+EVIDENCE, NONE = 4, -2.0
+#: Sentences that a toxic text hands on in a round.
+WORST = 3
+#: Words whose margins a task keeps; a bound on its memory, the cache starts anew beyond it.
+HELD_WORDS = 300_000
 #: Signs put between letters, and digits written for letters.
 PLAIN = str.maketrans({c: None for c in map(chr, range(33, 127)) if not c.isalnum() and c not in "@$"} | dict(zip("013457@$", "oieastas")))
+_END = re.compile(r"(?<=[.!?])\s+|[\n\r]+")
 
 
 def units(text: str) -> list[str]:
-    """Lower-case words without signs in or around them, digits in words of letters read as letters; a run of single letters is one word."""
+    """Lower-case words with a start mark and without signs in or around them, digits in words of letters read as letters.
+
+    A run of three or more single letters is one word; a word longer than WIDTH is several overlapping parts.
+    """
     out, run = [], []
+
+    def add(word: str) -> None:
+        word = "^" + word
+        if len(word) <= WIDTH:
+            out.append(word)
+        else:
+            out.extend(word[i : i + WIDTH] for i in range(0, len(word) - SPAN, WIDTH - SPAN))
+
     for w in text.lower().split():
         if not w.isalpha():
             w = w.translate(PLAIN)
@@ -46,196 +72,242 @@ def units(text: str) -> list[str]:
             run.append(w)
             continue
         if len(run) > 2:
-            out.append("".join(run))
+            add("".join(run))
         if run:
             run = []
-        if w:
-            out.append(w)
+        if len(w) < WIDTH:
+            if w:
+                out.append("^" + w)
+        else:
+            add(w)
     if len(run) > 2:
-        out.append("".join(run))
+        add("".join(run))
     return out
 
 
-def _windows(word: str) -> list[str]:
-    """The word with its start mark, in overlapping parts if it is long."""
-    word = "^" + word
-    return [word] if len(word) <= WIDTH else [word[i : i + WIDTH] for i in range(0, len(word) - SPAN, WIDTH - SPAN)]
-
-
-def _codes(words: list[str], alphabet: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A matrix of letters' numbers (0: none of the alphabet, -1: beyond the end) and the lengths."""
-    n = np.array([len(w) for w in words])
-    flat = np.frombuffer("".join(w.ljust(WIDTH, "\x00") for w in words).encode("utf-32-le", "replace"), np.uint32).reshape(len(words), WIDTH)
-    codes = alphabet[np.minimum(flat, len(alphabet) - 1)].astype(np.int32)
-    return codes, n
-
-
-def _features(codes: np.ndarray):
-    """For each pair of gaps: its weight and the subsequences' numbers, 0 where a letter is unknown or there is none."""
-    for (a, b), w in zip(PAIRS, WEIGHTS):
-        x, y, z = codes[:, :-b], codes[:, a : WIDTH - b + a], codes[:, b:]
-        yield w, np.where((x > 0) & (y > 0) & (z > 0), (x * SYMBOLS + y) * SYMBOLS + z, 0)
-
-
-def _norms(n: np.ndarray) -> np.ndarray:
-    """Of a word of n letters: the root of the summed squared weights of its subsequences."""
-    total = np.zeros(len(n))
-    for (_, b), w in zip(PAIRS, WEIGHTS):
-        total += np.maximum(n - b, 0) * float(w) ** 2
-    return np.sqrt(np.maximum(total, 1e-9))
+def sentences(text: str | None) -> list[list[str]]:
+    """The different units of each sentence, at most SENTENCE at a time."""
+    out = []
+    for part in _END.split(text or ""):
+        found = list(dict.fromkeys(units(part)))
+        out.extend(found[i : i + SENTENCE] for i in range(0, len(found), SENTENCE))
+    return out
 
 
-def _sums(table: np.ndarray, words: list[str], alphabet: np.ndarray) -> np.ndarray:
-    codes, n = _codes(words, alphabet)
-    out = np.zeros(len(words))
-    for w, f in _features(codes):
-        out += w * table[f].sum(axis=1)
-    return out / _norms(n)
+def subsequences(words: list[str], most: int = 2048):
+    """For parts of the units, of like lengths: their places, the numbers of their subsequences (a column for each pattern and place, 0: none), the columns' weights and the roots of the summed squared weights."""
+    sizes = np.array([len(w) for w in words])
+    for width in range(4, WIDTH + 4, 4):
+        chosen = np.flatnonzero((sizes <= width) & (sizes > width - 4))
+        for k in range(0, len(chosen), most):
+            part = chosen[k : k + most]
+            flat = np.frombuffer("".join(words[i].ljust(width, "\0") for i in part).encode("utf-32-le", "replace"), np.uint32).reshape(len(part), width)
+            columns, weights, total = [], [], np.full(len(part), 1e-9)
+            for pattern, w in zip(PATTERNS, WEIGHTS):
+                last = pattern[-1]
+                if last >= width:
+                    continue
+                h = flat[:, :-last] * np.uint32(0x9E3779B1)
+                for at in pattern:
+                    h = (h + flat[:, at : width - last + at]) * np.uint32(0x85EBCA77)
+                h = (h ^ (h >> np.uint32(15))) * np.uint32(0x2C1B3C6D)
+                columns.append(np.where(flat[:, last:] > 0, 1 + ((h >> np.uint32(8)) & np.uint32(BUCKETS - 2)), 0))
+                weights.append(np.full(width - last, w))
+                total += np.maximum(sizes[part] - last, 0) * float(w) ** 2
+            yield part, np.concatenate(columns, axis=1).astype(np.int32), np.concatenate(weights), np.sqrt(total)
 
 
 @dataclass(frozen=True)
 class ToxicityModel:
-    """alphabet: letter to number; table: a weight for each subsequence; bias: of a word's margin; text: weights of a text's features."""
+    """table: a weight for each subsequence; bias: of a sentence's margin; text: weights of a text's evidence, the constant last."""
 
-    alphabet: np.ndarray
     table: np.ndarray
     bias: float
     text: np.ndarray
 
     def margins(self, words: list[str]) -> np.ndarray:
-        parts = [(i, p) for i, w in enumerate(words) for p in _windows(w)]
-        found = _sums(self.table, [p for _, p in parts], self.alphabet)
-        out = np.full(len(words), -1e9)
-        np.maximum.at(out, [i for i, _ in parts], found)
-        return out + self.bias
-
-    def score(self, features: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(features @ self.text[:-1] + self.text[-1], -30, 30)))
-
-
-FEATURES = 9
-_held: dict[str, float] = {}
-_held_for: list[int] = []
-HELD_WORDS = 400_000
-
-
-def text_features(model: ToxicityModel, texts: list[str | None]) -> np.ndarray:
-    """For each text: the two highest margins, logs of the numbers and shares of margins above some levels, and of the words."""
-    if _held_for != [id(model)]:
-        _held.clear()
-        _held_for[:] = [id(model)]
-    out = np.zeros((len(texts), FEATURES))
-    for at in range(0, len(texts), 256):
-        words = [units(t or "") for t in texts[at : at + 256]]
-        new = set().union(*words).difference(_held)
-        if len(_held) + len(new) > HELD_WORDS:
-            _held.clear()
-            new = set().union(*words)
-        new = list(new)
-        for k in range(0, len(new), 4096):
-            _held.update(zip(new[k : k + 4096], model.margins(new[k : k + 4096]).tolist()))
-        for i, w in enumerate(words, at):
-            m = np.fromiter(map(_held.__getitem__, w), float, len(w))
-            top = np.partition(m, len(m) - 2)[-2:] if len(m) > 1 else np.append(np.full(2 - len(m), -2.0), m)
-            above = np.array([(m > x).sum() for x in (0, 0.5, 0.9)])
-            out[i] = [*np.clip(top[::-1], -2, 2), *np.log1p(above), *np.log((above + 0.2) / (len(m) + 20)), np.log1p(len(m))]
+        """What each unit adds to the margin of its sentence."""
+        out = np.zeros(len(words))
+        for part, columns, weights, norms in subsequences(words):
+            out[part] = (self.table[columns] @ weights) / norms
+        return out
+
+    def score(self, evidence: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(evidence @ self.text[:-1] + self.text[-1], -30, 30)))
+
+
+class Scorer:
+    """Margins of texts by one model; a task has its own, with its own cache of words."""
+
+    def __init__(self, model: ToxicityModel):
+        self.model, self.held = model, {}
+
+    def texts(self, texts: list[str | None]):
+        """For each text: its sentences and their margins."""
+        for at in range(0, len(texts), 64):
+            parts = [sentences(t) for t in texts[at : at + 64]]
+            words = {w for p in parts for s in p for w in s}
+            new = words.difference(self.held)
+            if len(self.held) + len(new) > HELD_WORDS:
+                self.held.clear()
+                new = words
+            new = sorted(new)
+            self.held.update(zip(new, self.model.margins(new).tolist()))
+            get = self.held.__getitem__
+            for p in parts:
+                n = np.array([len(s) for s in p])
+                if not len(n):
+                    yield p, np.zeros(0)
+                    continue
+                m = np.fromiter((get(w) for s in p for w in s), float, int(n.sum()))
+                yield p, np.add.reduceat(m, np.cumsum(n) - n) / np.sqrt(n + SHORT) + self.model.bias
+
+    def evidence(self, texts: list[str | None]) -> np.ndarray:
+        """Of each text: the greatest three margins of its sentences (NONE for one that is not there) and the log of their number."""
+        out = np.full((len(texts), EVIDENCE), NONE)
+        for i, (_, m) in enumerate(self.texts(texts)):
+            top = -np.sort(-m)[: EVIDENCE - 1]
+            out[i, : len(top)] = top
+            out[i, -1] = np.log1p(len(m))
+        return out
+
+
+def kernel(a: list[str], b: list[str], rarity: np.ndarray) -> float:
+    """The kernel of two sentences, written out; `rarity` weighs each subsequence."""
+
+    def features(sentence):
+        out = np.zeros(BUCKETS)
+        for _, columns, weights, norms in subsequences(sentence):
+            np.add.at(out, columns, weights[None, :] / norms[:, None])
+        out[0] = 0
+        return out * rarity / np.sqrt(len(sentence) + SHORT)
+
+    return float(features(a) @ features(b))
+
+
+def _landmark_table(marks: list[list[str]], rarity: np.ndarray) -> np.ndarray:
+    """A row of subsequence weights for each landmark."""
+    out = np.zeros((len(marks), BUCKETS), np.float32)
+    for i, s in enumerate(marks):
+        for _, columns, weights, norms in subsequences(s):
+            np.add.at(out[i], columns, weights[None, :] / norms[:, None] / np.sqrt(len(s) + SHORT))
+    out[:, 0] = 0
+    return out * rarity.astype(np.float32)
+
+
+def _kernel_rows(some: list[list[str]], weighed: np.ndarray) -> np.ndarray:
+    """The kernel of each sentence with all landmarks, whose subsequence weights times rarity are `weighed` (a row for each subsequence)."""
+    words = sorted({w for s in some for w in s})
+    number = {w: i for i, w in enumerate(words)}
+    by_word = np.zeros((len(words), weighed.shape[1]), np.float32)
+    for part, columns, weights, norms in subsequences(words, 64):
+        by_word[part] = np.tensordot(weights, weighed[columns], axes=(0, 1)) / norms[:, None]
+    n = np.array([len(s) for s in some])
+    flat = np.array([number[w] for s in some for w in s])
+    out = np.zeros((len(some), weighed.shape[1]))
+    ends = np.cumsum(n)
+    for k in range(0, len(some), 1024):
+        a, b = (ends[k] - n[k], ends[min(k + 1024, len(some)) - 1])
+        out[k : k + 1024] = np.add.reduceat(by_word[flat[a:b]], ends[k : k + 1024] - n[k : k + 1024] - a) / np.sqrt(n[k : k + 1024] + SHORT)[:, None]
     return out
 
 
-def variants(words: list[str], rng: np.random.Generator, letters: str) -> list[str]:
-    """Each word twice with a letter put in, once with a letter doubled, once with one left out."""
-    out = []
-    for w in words:
-        i, j, k, m = rng.integers(1, len(w), 4)
-        a, b = rng.integers(0, len(letters), 2)
-        out += [w[:i] + letters[a] + w[i:], w[:j] + letters[b] + w[j:], w[:k] + w[k - 1] + w[k:], w[:m] + w[m + 1 :] if len(w) > 4 else w]
-    return out
-
-
-def fit_machine(positive: list[str], negative: list[str], weights: np.ndarray, *, landmarks: int = LANDMARKS, seed: int = 5) -> tuple[np.ndarray, np.ndarray, float]:
-    """alphabet, table and bias of a linear machine on the Nystrom map of example words."""
+def squared_hinge(z: np.ndarray, y: np.ndarray, weights: np.ndarray, ridge: float = 1e-3) -> tuple[np.ndarray, float]:
+    """Weights and bias of least ridge * |w|^2 + sum of weights * max(0, 1 - y(zw + b))^2, by Newton's steps."""
+    x = np.column_stack([z, np.ones(len(z))])
+    w, weights = np.zeros(x.shape[1]), weights / weights.sum()
+    penalty = np.append(np.full(z.shape[1], ridge), 1e-9)
+    loss = lambda v: float(penalty @ (v * v) + weights @ np.maximum(0, 1 - y * (x @ v)) ** 2)
+    for _ in range(40):
+        slack = 1 - y * (x @ w)
+        inside = slack > 0
+        xi, wi = x[inside], weights[inside]
+        gradient = 2 * penalty * w - 2 * xi.T @ (wi * y[inside] * slack[inside])
+        step = np.linalg.solve(2 * (xi.T * wi) @ xi + np.diag(2 * penalty + 1e-9), gradient)
+        before, size = loss(w), 1.0
+        while loss(w - size * step) > before and size > 1e-4:
+            size /= 2
+        w = w - size * step
+        if np.abs(size * step).max() < 1e-6:
+            break
+    return w[:-1], float(w[-1])
+
+
+def fit_machine(toxic: list[list[str]], clean: list[list[str]], rarity: np.ndarray, *, landmarks: int = LANDMARKS, seed: int = 5) -> tuple[np.ndarray, float]:
+    """table and bias of a linear machine on the Nystrom map of labelled sentences."""
     rng = np.random.default_rng(seed)
-    letters = {}
-    for w in positive + negative:
-        for c in "^" + w:
-            letters[c] = letters.get(c, 0) + 1
-    alphabet = np.zeros(0x3000, np.int32)
-    for k, c in enumerate(sorted(letters, key=lambda c: (-letters[c], c))[: SYMBOLS - 1], 1):
-        if ord(c) < len(alphabet) - 1:
-            alphabet[ord(c)] = k
-    known, n_base = sorted(c for c in letters if c.isalpha()), len(positive)
-    positive = positive + variants(positive, rng, "".join(known))
-    weights = np.concatenate([weights[:n_base], np.repeat(weights[:n_base], 4) / 4, weights[n_base:]])
-    words = [_windows(w)[0] for w in positive + negative]
-    codes, n = _codes(words, alphabet)
-    at = np.stack([np.concatenate([f.ravel() for _, f in _features(codes[i : i + 1])]) for i in range(len(words))])
-    value = np.concatenate([np.full(WIDTH - b, w) for (_, b), w in zip(PAIRS, WEIGHTS)])
-    used, where = np.unique(at, return_inverse=True)
-    where = where.reshape(at.shape)
-    norms = _norms(n)
-
-    def phi(rows) -> np.ndarray:
-        """Weights of all subsequences of some words; for a few words at a time, as there are many subsequences."""
-        out = np.zeros((len(rows), len(used)), np.float32)
-        np.add.at(out, (np.arange(len(rows))[:, None], where[rows]), value[None, :])
-        out[:, used == 0] = 0
-        return out / norms[rows][:, None].astype(np.float32)
-
-    # landmarks: two thirds of the words that stand out, each unlike those before it, and a draw of the others
-    chosen: list[int] = []
-    base = phi(np.arange(n_base))
-    near = np.zeros(n_base)
-    for _ in range(min(landmarks * 2 // 3, n_base)):
-        i = int(np.argmax((1 - near) * (1 + np.linspace(1, 0, n_base))))
-        chosen.append(i)
-        near = np.maximum(near, base @ base[i])
-        near[i] = 2
-    del base
-    rest = len(words) - len(positive)
-    chosen += (len(positive) + rng.permutation(rest)[: min(rest, landmarks - len(chosen))]).tolist()
-    marks = phi(np.array(chosen))
+    half = landmarks // 2
+    some = [toxic[i] for i in rng.permutation(len(toxic))[:half]]
+    some += [clean[i] for i in rng.permutation(len(clean))[: landmarks - len(some)]]
+    marks = _landmark_table(some, rarity)
     values, vectors = np.linalg.eigh((marks @ marks.T).astype(float))
-    root = vectors[:, values > 1e-6] / np.sqrt(values[values > 1e-6])
-    z = np.concatenate([phi(np.arange(i, min(i + 256, len(words)))) @ marks.T for i in range(0, len(words), 256)]) @ root
-    y = np.where(np.arange(len(words)) < len(positive), 1.0, -1.0)
-    w, bias = np.zeros(z.shape[1]), -0.5
-    weights = weights / np.where(y > 0, weights[y > 0].sum(), weights[y < 0].sum() / 2)
-    for step in range(1, 1500):
-        inside = y * (z @ w + bias) < 1
-        push = weights * y * inside
-        rate = 8 / (1 + step / 60)
-        w += rate * (z.T @ push - 2e-3 * w)
-        bias += rate * 0.2 * push.sum()
-    table = np.zeros(SYMBOLS**3, np.float32)
-    table[used] = (root @ w) @ marks
-    table[0] = 0
-    return alphabet, table, float(bias)
-
-
-def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
+    fit = values > 1e-4 * values.max()
+    root = vectors[:, fit] / np.sqrt(values[fit])
+    weighed = np.ascontiguousarray((marks * rarity.astype(np.float32)).T)
+    z = _kernel_rows(toxic + clean, weighed) @ root
+    y = np.concatenate([np.ones(len(toxic)), -np.ones(len(clean))])
+    weights = np.where(y > 0, 0.5 / len(toxic), 0.5 / len(clean))
+    w, bias = squared_hinge(z, y, weights)
+    return (weighed @ (root @ w)).astype(np.float32), bias
+
+
+def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> np.ndarray:
     x = np.column_stack([x, np.ones(len(x))])
     w = np.zeros(x.shape[1])
-    for _ in range(25):
+    for _ in range(30):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        g = x.T @ (p - y) + ridge * np.append(w[:-1], 0)
+        g = x.T @ (p - y) + ridge * w
         h = (x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w))
-        w -= np.linalg.solve(h, g)
+        w = w - np.linalg.solve(h, g)
     return w
 
 
-def _unit_task(batches):
+def _presence_task(batches):
+    """How many texts of either label have each subsequence."""
+    counts = np.zeros((2, BUCKETS), np.int64)
     for b in batches:
-        yield pa.RecordBatch.from_arrays([pa.array([sorted(set(units(t or ""))) for t in b.column(0).to_pylist()], pa.list_(pa.string())), b.column(1)], names=["units", "y"])
+        for t, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            words = sorted({w for s in sentences(t) for w in s})
+            seen = np.zeros(BUCKETS, bool)
+            for _, columns, _, _ in subsequences(words):
+                seen[columns.ravel()] = True
+            counts[int(y > 0.5)] += seen
+    at = np.flatnonzero(counts.sum(axis=0))
+    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[0][at]), pa.array(counts[1][at])], names=["bucket", "clean", "toxic"])
+
+
+def _choose_task(model: ToxicityModel):
+    """Of each text: its worst sentence, of a toxic one WORST at most that are found toxic, and of a clean one another by chance, so that plain sentences are seen too."""
+
+    def task(batches):
+        scorer = Scorer(model)
+        for b in batches:
+            rows = []
+            for (parts, margins), y in zip(scorer.texts(b.column(0).to_pylist()), b.column(1).to_pylist()):
+                if parts:
+                    worst = np.argsort(-margins, kind="stable")[: WORST if y > 0.5 else 1]
+                    rows += [(y, parts[i]) for k, i in enumerate(worst) if not k or margins[i] > 0]
+                    if y <= 0.5:
+                        rows.append((y, parts[sum(map(len, parts[0])) % len(parts)]))
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.float64()), pa.array([r[1] for r in rows], pa.list_(pa.string()))], names=["y", "sentence"])
+
+    return task
+
+
+def _evidence_task(model: ToxicityModel):
+    def task(batches):
+        scorer = Scorer(model)
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(scorer.evidence(b.column(0).to_pylist()).tolist(), pa.list_(pa.float64())), b.column(1)], names=["evidence", "y"])
+
+    return task
 
 
-def _feature_task(model: ToxicityModel, name: str, types: list[str]):
+def _score_task(model: ToxicityModel):
     def task(batches):
+        scorer = Scorer(model)
         for b in batches:
-            f = text_features(model, b.column("_text").to_pylist())
-            rest = [c for c, s in zip(b.columns, b.schema) if s.name != "_text"]
-            names = [s.name for s in b.schema if s.name != "_text"]
-            cols = [pa.array(f[:, k]) for k in range(FEATURES)] if name == "features" else [pa.array(model.score(f))]
-            yield pa.RecordBatch.from_arrays(rest + cols, names=names + types)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(model.score(scorer.evidence(b.column(1).to_pylist())), pa.float64())], names=["_keep", "score"])
 
     return task
 
@@ -250,59 +322,46 @@ def sampled_texts(labelled: DataFrame, most: int) -> DataFrame:
     return known.where(F.col("h") <= F.lit(last)).groupBy("text").agg(F.avg("y").alias("y"))
 
 
-def learn_toxicity(labelled: DataFrame, *, text_col: str = "text", label_col: str = "toxic", hash_col: str | None = None, train_rows: int = TRAIN_ROWS) -> ToxicityModel:
+def learn_toxicity(labelled: DataFrame, *, text_col: str = "text", label_col: str = "toxic", hash_col: str | None = None, train_rows: int = TRAIN_ROWS, landmarks: int = LANDMARKS, rounds: int = ROUNDS) -> ToxicityModel:
     """Fit on (text, label) rows: at most train_rows different texts, in order of a hash of the text; nulls are left out.
 
-    A text counts once, with the share of label 1 among its rows. With no labelled rows, only one label, or no word that
-    stands out beyond chance, every text's score is the smoothed share of label 1 over the texts. hash_col: xxhash64 of
-    the text, for rows that come of a join, which then deals out no text that is not fitted on.
+    A text counts once, as toxic if more than half of its rows are. With no labelled rows, or only one label, every
+    text's score is the smoothed share of label 1 over the texts. WORST sentences a text come to the driver at most.
+    hash_col: xxhash64 of the text, for rows that come of a join, which then deals out no text that is not fitted on.
     """
     spark = labelled.sparkSession
     bounded_batches(spark)
-    known = sampled_texts(labelled.select(F.col(text_col).alias("text"), F.col(label_col).alias("label"), (F.col(hash_col) if hash_col else F.xxhash64(text_col)).alias("h")), train_rows)
-    known = known.persist()
-    try:
-        bad, n = known.agg(F.coalesce(F.sum("y"), F.lit(0.0)), F.count("*")).first()
-        good = n - bad
-        empty = ToxicityModel(np.zeros(0x3000, np.int32), np.zeros(SYMBOLS**3, np.float32), 0.0, np.append(np.zeros(FEATURES), np.log((bad + 0.5) / (good + 0.5)) if bad + good else -4.0))
-        if not bad or not good:
-            return empty
-        words = known.mapInArrow(_unit_task, "units array<string>, y double").select(F.explode("units").alias("w"), "y").groupBy("w").agg(F.sum("y").alias("a"), F.sum(1 - F.col("y")).alias("b"), F.count("*").alias("n")).where(F.length("w") > 2)
-        words = words.persist()
-        share, rate = F.col("a") / F.col("n"), bad / n
-        # odds above some multiple of the sample's, without a division by no clean texts
-        beyond = lambda times: F.col("a") * good > times * F.col("b") * bad
-        # how unlikely so many toxic texts among a word's texts are, against the number of words that could be so by chance
-        surprise = F.col("a") * F.log(F.when(F.col("a") > 0, share / rate).otherwise(1.0)) + F.when(F.col("b") > 0, F.col("b") * F.log(F.col("b") / F.col("n") / (1 - rate))).otherwise(0.0)
-        out = words.where((F.col("a") >= 3) & beyond(STANDS_OUT) & (surprise > np.log(max(2, words.count())) + 1)).orderBy(F.desc(surprise), "w").limit(POSITIVE).select("w", "a").collect()
-        # frequent words first, with a draw of the rare ones: those above a cut that leaves about NEGATIVE
-        weight = F.sqrt("b") * (1 + F.pmod(F.xxhash64("w"), F.lit(1009)) / 100)
-        plain = words.where((F.col("b") > 0) & ~beyond(PLAIN_ODDS)).select("w", "b", weight.alias("weight"))
-        size = plain.count()
-        cut = plain.agg(F.percentile_approx("weight", F.lit(max(0.0, 1 - NEGATIVE / max(1, size))), F.lit(100_000))).first()[0] if size > NEGATIVE else 0.0
-        plain = plain.where(F.col("weight") > cut).orderBy("w").select("w", "b").collect() if out else []
-        words.unpersist()
-        if not out:
-            return empty
-        positive, negative = [r["w"] for r in out], [r["w"] for r in plain]
-        weights = np.array([np.sqrt(r["a"]) for r in out] + [np.sqrt(r["b"]) for r in plain])
-        model = ToxicityModel(*fit_machine(positive, negative, weights), empty.text)
-        names = [f"f{k}" for k in range(FEATURES)]
-        got = known.select(F.col("text").alias("_text"), "y").mapInArrow(_feature_task(model, "features", names), ", ".join(["y double", *(f"{x} double" for x in names)])).toPandas()
-        return ToxicityModel(model.alphabet, model.table, model.bias, _logistic(got[names].to_numpy(), got["y"].to_numpy(float)))
-    finally:
-        known.unpersist()
+    known = stored(sampled_texts(labelled.select(F.col(text_col).alias("text"), F.col(label_col).alias("label"), (F.col(hash_col) if hash_col else F.xxhash64(text_col)).alias("h")), train_rows), "toxicity-texts")
+    bad, n = known.agg(F.coalesce(F.sum((F.col("y") > 0.5).cast("long")), F.lit(0)), F.count("*")).first()
+    if not bad or bad == n:
+        return ToxicityModel(np.zeros(BUCKETS, np.float32), 0.0, np.append(np.zeros(EVIDENCE), np.log((bad + 0.5) / (n - bad + 0.5)) if n else -4.0))
+    counts = np.zeros((2, BUCKETS))
+    for r in known.mapInArrow(_presence_task, "bucket long, clean long, toxic long").groupBy("bucket").agg(F.sum("clean"), F.sum("toxic")).collect():
+        counts[:, r[0]] = r[1], r[2]
+    rarity = np.log((n - bad + 2.0) / (counts[0] + 1.0))
+    odds = np.log((counts[1] + 1) / (bad + 2)) - np.log((counts[0] + 1) / (n - bad + 2))
+    sure = odds / np.sqrt(1 / (counts[1] + 1) + 1 / (counts[0] + 1))
+    model = ToxicityModel((rarity * np.where(sure > 3, odds, 0)).astype(np.float32), 0.0, np.zeros(EVIDENCE + 1))
+    for _ in range(rounds):
+        chosen = known.mapInArrow(_choose_task(model), "y double, sentence array<string>").toPandas()
+        parts = [[list(s) for s in chosen["sentence"][rows]] for rows in (chosen["y"] > 0.5, chosen["y"] <= 0.5)]
+        if not all(parts):
+            break
+        # in one order whatever the tasks' order was
+        model = ToxicityModel(*fit_machine(*map(sorted, parts), rarity, landmarks=landmarks), np.zeros(EVIDENCE + 1))
+    got = sorted((*r["evidence"], float(r["y"] > 0.5)) for r in known.mapInArrow(_evidence_task(model), "evidence array<double>, y double").collect())
+    return ToxicityModel(model.table, model.bias, _logistic(np.array(got)[:, :-1], np.array(got)[:, -1]))
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, *, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """keep (default doc_id), score (0 to 1) and predicted (1 from 0.5 on).
 
-    Null and empty texts have the score of a text without words; repeated rows are scored alike.
+    Null and empty texts have the score of a text without words; repeated rows are scored alike; the names in keep may be
+    any.
     """
-    bounded_batches(docs.sparkSession)
-    rows = docs.select(*(keep or ["doc_id"]), F.col(text_col).alias("_text"))
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "_text"), "score double"])
-    return rows.mapInArrow(_feature_task(model, "score", ["score"]), schema).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    rows = packed_rows(docs, keep, text_col)
+    scored = rows.mapInArrow(_score_task(model), f"_keep {rows.schema['_keep'].dataType.simpleString()}, score double")
+    return unpacked_rows(scored, F.col("score").alias("score"), (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def toxicity_predictions(docs: DataFrame, labels: DataFrame) -> DataFrame:
