@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import stored
+from quern.llm.common import dropped, stored_at
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -28,16 +28,19 @@ def _small_star(edges: DataFrame) -> DataFrame:
 def components(edges: DataFrame, *, most_rounds: int = 50) -> DataFrame:
     """(node, component) for every node of the edges (u, v); component is the least node of its own.
 
-    Loops and repeated edges do no harm; no edges, no rows. Each round starts from a table written to the shared folder.
+    Loops and repeated edges do no harm; no edges, no rows. Each round starts from a table written to the shared folder,
+    which goes when the next one is there.
     """
-    now = stored(edges.where("u <> v").distinct(), "edges")
+    now, path = stored_at(edges.where("u <> v").distinct(), "edges")
     before = None
     for _ in range(most_rounds):
         state = _state(now)
         if state == before or not state[0]:
             break
         before = state
-        now = stored(_small_star(_large_star(now).where("u <> v").distinct()).where("u <> v").distinct(), "edges")
+        old = path
+        now, path = stored_at(_small_star(_large_star(now).where("u <> v").distinct()).where("u <> v").distinct(), "edges")
+        dropped(edges.sparkSession, old)
     else:
         raise RuntimeError(f"components did not settle in {most_rounds} rounds")
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()

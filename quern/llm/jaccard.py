@@ -5,9 +5,12 @@
 2. Bands: as many rows and bands of MinHash values as the target recall at the least similarity needs. Classes shuffle on
    their band hashes as two numbers a band. Each bucket ties its classes to its least one, which keeps every class that
    shares a band with another in one candidate component, with as many ties as classes and not as many as pairs.
-3. Within a candidate component all classes are compared on their full n-gram sets, in blocks: a component is cut into
-   chunks, each pair of chunks is one bounded group, and a group gives back one row a class (the documents it links to,
-   and the least class that it is linked with), never its pairs.
+3. Classes are compared on their full n-gram sets, in blocks: a candidate component, or each band's bucket, is cut into
+   chunks of bounded number and size, each pair of chunks is one group of rows, and a group gives back one row a class
+   (the documents it links to, and the least class that it is linked with), never its pairs. Which of the two ways sends
+   fewer rows is counted for each component: one whole component where its classes share most of their bands, as true
+   copies do; its buckets where chance ties many unlike classes into one. A pair that shares several buckets counts in
+   that of its first common band alone, so both ways give the same links.
 4. The linked classes' components are the near-duplicate classes.
 """
 
@@ -27,8 +30,10 @@ from quern.llm.common import bounded_batches, plain_words, stored, text_bytes
 from quern.llm.components import components
 
 N, SIMILARITY, RECALL, ROWS = 5, 0.8, 0.9998, 6
-#: Classes of a chunk; a block compares two chunks.
-CHUNK = 512
+#: Classes of a chunk and n-grams that it is meant to hold; a block compares two chunks.
+CHUNK, CHUNK_GRAMS = 512, 2_000_000
+#: Stands for no id where ids are ordered.
+_LAST = 2**63 - 1
 #: Distinct n-grams taken at a time when a block is compared.
 SLAB = 2048
 _WORDS_HELD = 200_000
@@ -99,25 +104,25 @@ def _signature_task(n: int, bands: int, rows: int):
     def task(batches):
         for b in batches:
             fps, sizes, keys = [], [], []
-            for data in text_bytes(b.column(1)):
+            for data in text_bytes(b.column(2)):
                 grams = shingles(data, n)
                 fps.append(_class_of(grams))
                 sizes.append(len(grams))
                 keys.append(band_keys(grams, bands, rows).tolist() if len(grams) else [])
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.binary()), pa.array(sizes, pa.int32()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "fp", "n", "bands"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fps, pa.binary()), pa.array(sizes, pa.int32()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "th", "fp", "n", "bands"])
 
     return task
 
 
 def _shingle_task(n: int):
-    """Rows whose text has the wanted class, with the class's n-grams."""
+    """Rows whose text has the wanted class, with the class's n-grams in place of text and class."""
 
     def task(batches):
         for b in batches:
             grams = [shingles(data, n) for data in text_bytes(b.column("text"))]
             right = pa.array([_class_of(g) == w for g, w in zip(grams, b.column("fp").to_pylist())], pa.bool_())
-            cols = [*(b.column(c) for c in ("node", "component", "docs", "parts")), pa.array([g.tobytes() for g in grams], pa.binary())]
-            yield pa.RecordBatch.from_arrays(cols, names=["node", "component", "docs", "parts", "grams"]).filter(right)
+            cols = [*(b.column(c) for c in ("node", "docs", "bands", "groups")), pa.array([g.tobytes() for g in grams], pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, names=["node", "docs", "bands", "groups", "grams"]).filter(right)
 
     return task
 
@@ -156,10 +161,19 @@ def _least_linked(nodes: np.ndarray, a: np.ndarray, b: np.ndarray, links: np.nda
             return label
 
 
+def earlier_band(left: np.ndarray, right: np.ndarray, band: int) -> np.ndarray:
+    """Boolean matrix of the pairs that share a band before this one; left and right hold the band keys of each side's rows."""
+    out = np.zeros((len(left), len(right)), bool)
+    at = int(np.argmax((left == band).all(axis=0)))
+    for k in range(at):
+        out |= left[:, k][:, None] == right[:, k][None, :]
+    return out
+
+
 def _block_task(similarity: float):
     def task(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["side", "node"], ignore_index=True)
-        i, j = int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0])
+        i, j, by_band, grp = (int(pdf[c].iloc[0]) for c in ("i", "j", "by_band", "grp"))
         nodes, docs, side = pdf["node"].to_numpy(np.int64), pdf["docs"].to_numpy(np.int64), pdf["side"].to_numpy()
         sets = [np.frombuffer(g, np.uint64) for g in pdf["grams"]]
         a = np.flatnonzero(side == i)
@@ -168,6 +182,9 @@ def _block_task(similarity: float):
         label = nodes
         if len(a) and len(b):
             links = compare_block(sets, a, b, similarity)
+            if by_band:
+                keys = np.stack(pdf["bands"].to_numpy())
+                links &= ~earlier_band(keys[a], keys[b], grp)
             if i == j:
                 np.fill_diagonal(links, False)
                 linked[a] += links @ docs[b]
@@ -180,47 +197,99 @@ def _block_task(similarity: float):
     return task
 
 
-def near_duplicates(docs: DataFrame, *, n: int = N, similarity: float = SIMILARITY, recall: float = RECALL, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK) -> DataFrame:
-    """One row for each document: doc_id, class_id, copy_of, n_links.
+def _parts(count, grams, chunk: int):
+    """Chunks for so many classes and n-grams."""
+    return F.greatest(F.ceil(count / chunk), F.ceil(grams / CHUNK_GRAMS), F.lit(1)).cast("int")
 
-    class_id: least doc_id of the documents that chains of links lead to, itself included; copy_of: least doc_id of the
-    documents with the same n-gram set; n_links: other documents whose n-gram sets have this Jaccard similarity or more.
-    Texts without words (null, empty) are alone in a class; repeated rows count as documents of one class.
+
+def comparison_groups(classes: DataFrame, *, chunk: int = CHUNK) -> DataFrame:
+    """(node, groups) for each class (node, n, bands) that shares a band with another: the groups it is compared in, as (by_band, grp, parts).
+
+    A group is a candidate component (named by its least class), or one band's bucket (named by its key); parts are its
+    chunks. Each class is sent once for each part of its groups.
     """
+    banded = classes.select("node", "n", F.explode("bands").alias("band"))
+    buckets = stored(banded.groupBy("band").agg(F.min("node").alias("hub"), F.max("node").alias("last"), F.count("*").alias("size"), F.sum("n").alias("grams")).where("hub < last").drop("last"), "buckets")
+    ties = banded.join(buckets.select("band", "hub"), "band").where("node <> hub").select(F.col("node").alias("u"), F.col("hub").alias("v"))
+    near = components(ties)
+    bucket = buckets.withColumn("parts", _parts(F.col("size"), F.col("grams"), chunk))
+    by_bucket = bucket.join(near.withColumnRenamed("node", "hub"), "hub").groupBy("component").agg(F.sum(F.col("size") * F.col("parts")).alias("sent"))
+    whole = near.join(classes.select("node", "n"), "node").groupBy("component").agg(F.count("*").alias("size"), F.sum("n").alias("grams")).withColumn("parts", _parts(F.col("size"), F.col("grams"), chunk))
+    ways = stored(whole.join(by_bucket, "component").select("component", "parts", (F.col("sent") < F.col("size") * F.col("parts")).alias("split")), "ways")
+    group = lambda by_band, name: F.struct(F.lit(by_band).alias("by_band"), F.col(name).alias("grp"), F.col("parts"))
+    out = near.join(ways.where("NOT split"), "component").select("node", F.array(group(0, "component")).alias("groups"))
+    if ways.where("split").isEmpty():
+        return out
+    loose = near.join(ways.where("split").select("component"), "component").select("node")
+    split = banded.join(loose, "node").join(bucket.select("band", "parts"), "band").groupBy("node").agg(F.collect_list(group(1, "band")).alias("groups"))
+    return out.unionByName(split)
+
+
+def _numbered(classes: DataFrame) -> DataFrame:
+    """classes with node, a number for each fingerprint: half of it, or a hash of all of it for halves that two have."""
+    half = F.conv(F.hex(F.substring("fp", 1, 8)), 16, -10).cast("long")
+    out = stored(classes.withColumn("node", half), "classes")
+    twice = out.groupBy("node").agg(F.count("*").alias("n_same")).where("n_same > 1").select("node")
+    if twice.isEmpty():
+        return out
+    return stored(out.join(twice.withColumn("same", F.lit(True)), "node", "left").withColumn("node", F.when(F.col("same"), F.xxhash64("fp")).otherwise(F.col("node"))).drop("same"), "classes")
+
+
+def _classified(docs: DataFrame, n: int, similarity: float, recall: float, rows: int, id_col: str, text_col: str, chunk: int) -> DataFrame:
+    """For each document: doc_id, th (hash of its text), class_id, class_key, copy_of, n_links, and head_id and head_th of the one document that stands for its class."""
     bounded_batches(docs.sparkSession)
     bands = bands_for(similarity, recall, rows)
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    signed = stored(texts.mapInArrow(_signature_task(n, bands, rows), "doc_id long, fp binary, n int, bands array<long>"), "signatures")
-    node = F.conv(F.hex(F.substring("fp", 1, 8)), 16, -10).cast("long")
-    classes = stored(signed.where("n > 0").groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("docs"), F.first("bands").alias("bands")).withColumn("node", node), "classes")
-    banded = classes.select("node", F.explode("bands").alias("band"))
-    hubs = banded.groupBy("band").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub < last").select("band", "hub")
-    ties = banded.join(hubs, "band").where("node <> hub").select(F.col("node").alias("u"), F.col("hub").alias("v"))
-    near = components(ties)
-    sizes = near.groupBy("component").agg(F.ceil(F.count("*") / chunk).cast("int").alias("parts"))
-    wanted = classes.join(near, "node").join(sizes, "component").select("rep", "fp", "node", "component", "docs", "parts")
-    with_text = texts.join(wanted, texts["doc_id"] == wanted["rep"]).select("text", "fp", "node", "component", "docs", "parts")
-    sets = with_text.mapInArrow(_shingle_task(n), "node long, component long, docs long, parts int, grams binary")
-    # a document id that belongs to several texts, or a repeated row, gives a class more than once
-    side = sets.dropDuplicates(["node"]).withColumn("side", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-    blocks = side.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("component", F.least("side", "k").alias("i"), F.greatest("side", "k").alias("j"), "side", "node", "docs", "grams")
-    found = stored(blocks.groupBy("component", "i", "j").applyInPandas(_block_task(similarity), "node long, label long, linked long"), "links")
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))
+    signed = stored(texts.mapInArrow(_signature_task(n, bands, rows), "doc_id long, th long, fp binary, n int, bands array<long>"), "signatures")
+    own = F.struct(F.coalesce("doc_id", F.lit(_LAST)).alias("id"), F.col("th"))
+    classes = _numbered(signed.where("n > 0").groupBy("fp").agg(F.min(own).alias("own"), F.count("*").alias("docs"), F.first("n").alias("n"), F.first("bands").alias("bands")))
+    wanted = classes.join(comparison_groups(classes, chunk=chunk), "node").select(F.col("own.id").alias("_id"), F.col("own.th").alias("_th"), "fp", "node", "docs", "bands", "groups")
+    with_text = texts.join(wanted, (F.coalesce("doc_id", F.lit(_LAST)) == F.col("_id")) & (F.col("th") == F.col("_th"))).select("text", "fp", "node", "docs", "bands", "groups")
+    sets = with_text.mapInArrow(_shingle_task(n), "node long, docs long, bands array<long>, groups array<struct<by_band:int,grp:bigint,parts:int>>, grams binary")
+    # a repeated row gives a class more than once
+    one = sets.dropDuplicates(["node"]).withColumn("g", F.explode("groups")).select("node", "docs", "grams", F.when(F.col("g.by_band") == 1, F.col("bands")).alias("bands"), "g.*")
+    sides = one.withColumn("side", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).withColumn("k", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    blocks = sides.select("by_band", "grp", F.least("side", "k").alias("i"), F.greatest("side", "k").alias("j"), "side", "node", "docs", "bands", "grams")
+    found = stored(blocks.groupBy("by_band", "grp", "i", "j").applyInPandas(_block_task(similarity), "node long, label long, linked long"), "links")
     linked = found.groupBy("node").agg(F.sum("linked").alias("linked"))
     groups = components(found.select(F.col("node").alias("u"), F.col("label").alias("v")))
-    heads = classes.select("node", "rep").join(groups, "node").groupBy("component").agg(F.min("rep").alias("class_id"))
-    by_node = linked.join(groups, "node", "left").join(heads, "component", "left").select("node", "linked", "class_id")
-    by_class = classes.select("fp", "rep", "docs", "node").join(by_node, "node", "left").select("fp", F.coalesce("class_id", "rep").alias("class_id"), F.col("rep").alias("copy_of"), (F.col("docs") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"))
+    heads = classes.select("node", "own").join(groups, "node").groupBy("component").agg(F.min("own").alias("head"))
+    by_node = linked.join(groups, "node", "left").join(heads, "component", "left").select("node", "linked", "component", "head")
+    by_class = classes.select("fp", "own", "docs", "node").join(by_node, "node", "left").select(
+        "fp", F.coalesce("head", "own").alias("head"), F.coalesce("component", "node").alias("class_key"), "own", (F.col("docs") - 1 + F.coalesce("linked", F.lit(0))).alias("linked")
+    )
+    known = lambda c: F.when(F.col(c) != _LAST, F.col(c))
     lone = F.col("n") == 0
-    out = signed.select("doc_id", "fp", "n").join(by_class, "fp", "left")
-    return out.select("doc_id", F.when(lone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.when(lone, F.col("doc_id")).otherwise(F.col("copy_of")).alias("copy_of"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    return signed.select("doc_id", "th", "fp", "n").join(by_class, "fp", "left").select(
+        "doc_id",
+        "th",
+        F.when(lone, F.col("doc_id")).otherwise(known("head.id")).alias("class_id"),
+        "class_key",
+        F.when(lone, F.col("doc_id")).otherwise(known("own.id")).alias("copy_of"),
+        F.coalesce("linked", F.lit(0)).cast("long").alias("n_links"),
+        F.when(lone, F.coalesce("doc_id", F.lit(_LAST))).otherwise(F.col("head.id")).alias("head_id"),
+        F.when(lone, F.col("th")).otherwise(F.col("head.th")).alias("head_th"),
+    )
+
+
+def near_duplicates(docs: DataFrame, *, n: int = N, similarity: float = SIMILARITY, recall: float = RECALL, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK) -> DataFrame:
+    """One row for each document: doc_id, class_id, copy_of, n_links, class_key.
+
+    class_id: least doc_id of the documents that chains of links lead to, itself included; copy_of: least doc_id of the
+    documents with the same n-gram set; both are null if none of them has an id. n_links: other documents whose n-gram
+    sets have this Jaccard similarity or more. class_key: a number of the class, whether its documents have ids or not.
+    Texts without words (null, empty) are alone in a class and have no class_key; repeated rows count as documents of one
+    class; an empty table gives no rows. Components that don't settle in 50 rounds raise an error.
+    """
+    return _classified(docs, n, similarity, recall, rows, id_col, text_col, chunk).select("doc_id", "class_id", "copy_of", "n_links", "class_key")
 
 
-def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """docs with the first document (least id) of each near-duplicate class; of rows with the same id and text one stays.
+def one_of_each(docs: DataFrame, *, n: int = N, similarity: float = SIMILARITY, recall: float = RECALL, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK) -> DataFrame:
+    """docs with one document of each near-duplicate class: that of the least id, those without an id last and by a hash of their text.
 
-    Documents without an id stay if no class that has one holds them all; they are told apart by their texts alone.
+    Of rows with the same id and text one stays, and so does each different text without words under its id.
     """
-    found = near_duplicates(docs, id_col=id_col, text_col=text_col, **options)
-    heads = found.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("_head")).distinct()
-    kept = docs.join(heads, docs[id_col].cast("long").eqNullSafe(heads["_head"]), "left_semi")
-    return kept.dropDuplicates([id_col, text_col]).select(*docs.columns)
+    found = _classified(docs, n, similarity, recall, rows, id_col, text_col, chunk)
+    heads = found.where((F.coalesce("doc_id", F.lit(_LAST)) == F.col("head_id")) & F.col("th").eqNullSafe(F.col("head_th"))).select("head_id", "head_th").distinct()
+    same = (F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(_LAST)) == heads["head_id"]) & (F.xxhash64(text_col) == heads["head_th"])
+    return docs.join(heads, same, "left_semi").dropDuplicates([id_col, text_col]).select(*(F.col(f"`{c}`") for c in docs.columns))

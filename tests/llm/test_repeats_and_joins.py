@@ -114,6 +114,60 @@ def test_links_of_the_table(spark, data):
     assert got == {r.doc_id: (rows[roots[i]].doc_id, n[i]) for i, r in enumerate(rows)}
 
 
+def test_documents_without_an_id_are_linked(spark):
+    words = [f"w{i}" for i in range(60)]
+    near = lambda k: " ".join(words[:k] + [f"x{k}"] + words[k + 1 :])
+    rows = [(None, near(3)), (None, near(3)), (None, near(50)), (5, " ".join(words)), (None, "others " * 3), (None, "and others still"), (None, "and others still")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = J.near_duplicates(df).collect()
+    # near(3) and near(50) each share 0.8 or more with the whole text, not with each other
+    assert sorted((r.class_id or 0, r.n_links) for r in got) == [(0, 0), (0, 1), (0, 1), (5, 1), (5, 2), (5, 2), (5, 3)]
+    assert len({r.class_key for r in got}) == 3
+    assert sorted((r.doc_id or 0, r.text) for r in J.one_of_each(df).collect()) == [(0, "and others still"), (0, "others others others "), (5, " ".join(words))]
+
+
+def test_one_id_for_all_rows(spark):
+    df = spark.createDataFrame([(1, f"text number {i % 40} of some words that differ {i % 40}") for i in range(120)], "doc_id long, text string").repartition(3)
+    assert {(r.class_id, r.n_links) for r in J.near_duplicates(df).collect()} == {(1, 2)}
+    # the id and the text of a class's document make it one row
+    assert J.one_of_each(df).count() == 40
+
+
+def loose_texts(rnd, n):
+    """A chain of texts whose neighbours are alike at 0.7: bands tie nearly all of them, none is linked but to its copy at the end."""
+    words = [f"v{i}" for i in range(20 * n + 160)]
+    texts = [" ".join(words[20 * i : 20 * i + 120]) for i in range(n)]
+    return texts + [t.replace(" ", " q ", 1) for t in texts[:20]]
+
+
+@pytest.mark.parametrize("chunk", [16, 64])
+def test_loose_components_are_compared_by_bucket(spark, chunk):
+    """One candidate component that chance holds together; what is compared follows its buckets and not its square."""
+    from pyspark.sql import functions as F
+
+    texts = loose_texts(random.Random(4), 600)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    # rows of one value make bands that half-alike texts share
+    got = {r.doc_id: (r.class_id, r.n_links) for r in J.near_duplicates(df, rows=2, recall=0.99, chunk=chunk).collect()}
+    roots, n = brute_links(texts)
+    assert got == {i: (roots[i], n[i]) for i in range(len(texts))}
+    bands = J.bands_for(0.8, 0.99, 2)
+    grams = [J.shingles(t.encode()) for t in texts]
+    classes = spark.createDataFrame([(i, len(g), J.band_keys(g, bands, 2).tolist()) for i, g in enumerate(grams)], "node long, n int, bands array<long>")
+    groups = J.comparison_groups(classes, chunk=chunk)
+    per = groups.select("node", F.explode("groups").alias("g")).groupBy("g.by_band", "g.grp").agg(F.count("*").alias("m"), F.max("g.parts").alias("parts")).collect()
+    sent = sum(r.m * r.parts for r in per)
+    buckets = Counter(k for g in grams for k in J.band_keys(g, bands, 2).tolist())
+    assert chunk == 64 or any(r.by_band for r in per) and not any(r.m > 300 for r in per if not r.by_band)
+    assert sent <= 2 * sum(m for m in buckets.values() if m > 1)
+
+
+def test_two_classes_may_share_half_a_fingerprint(spark):
+    rows = [(b"a" * 8 + b"b" * 8, 1), (b"a" * 8 + b"c" * 8, 2), (b"d" * 16, 3)]
+    got = J._numbered(spark.createDataFrame(rows, "fp binary, x int")).collect()
+    assert len({r.node for r in got}) == 3
+
+
 def test_link_edges(edge, none):
     got = J.near_duplicates(edge).collect()
     assert len(got) == 12

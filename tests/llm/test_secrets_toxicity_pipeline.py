@@ -1,6 +1,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -27,22 +28,37 @@ def test_base_spans_of_the_table(spark, data):
         assert [x for x in r.spans.split(",") if x.split(":")[0] in BASE] == [f"{k}:{s}:{e}" for k, s, e in want]
 
 
-def test_one_pass_finds_what_all_regexes_find():
-    scan, rnd = S.Scanner(S.compile_rules()), random.Random(1)
-    bits = ["token", "Secret", "api_key", " ", "=", ":", '"', "abc", "a1" * 8, "AKIA", "ABCD1234", "0123456789abcdef", "é", "ghp_", "eyJ", ".", "-----BEGIN ", "RSA ", "PRIVATE KEY-----", "sk_live_", "x" * 20, "xoxb-", "K"]
-    for _ in range(3000):
-        text = "".join(rnd.choice(bits) for _ in range(14))
-        want = sorted((m.start(), i, m.end()) for i, r in enumerate(S.RULES) for m in scan.checks[i].finditer(text) if len(m[r.group]) >= r.least)
-        assert scan.spans(text) == want
-        assert [(S.RULES[i].kind, s, e) for s, i, e in want if S.RULES[i].base] == base_spans(text)
+CHECKS = [(re.compile(r.match, re.A | (re.I if r.any_case else 0)), re.compile(r.head, re.A | (re.I if r.any_case else 0)), r.least) for r in S.RULES]
+
+
+def all_spans(text):
+    """Every rule's spans by Python's regex engine."""
+    return sorted((m.start(), i, m.end()) for i, (match, head, least) in enumerate(CHECKS) for m in match.finditer(text) if m.end() - head.match(text, m.start()).end() >= least)
+
+
+def test_automata_find_what_regexes_find():
+    scan, rnd = S.scanner(), random.Random(1)
+    bits = ["token", "Secret", "api_key", " ", "=", ":", '"', "abc", "a1" * 8, "AKIA", "ABCD1234", "0123456789abcdef", "é", "ghp_", "eyJ", ".", "-----BEGIN ", "RSA ", "PRIVATE KEY-----", "sk_live_", "x" * 20, "xoxb-", "K", "AIza", "\n"]
+    for _ in range(6000):
+        text = "".join(rnd.choice(bits) for _ in range(rnd.randint(0, 16)))
+        assert scan.spans(text) == all_spans(text)
+        assert [(S.RULES[i].kind, s, e) for s, i, e in all_spans(text) if S.RULES[i].base] == base_spans(text)
+
+
+def test_a_long_run_shows_its_beginning_once():
+    text = "ab12" * 20_000
+    assert S.scanner().places(text.encode()) == [(0, 2)] and S.scanner().spans(text) == [(0, 2, len(text))]
 
 
 def test_automaton_is_minimal_and_total():
-    a = S.compile_rules((S.Rule("a", "ab|cb", "ab|cb"), S.Rule("b", "x{2}", "x{2}")))
+    a = S.deterministic((("ab|cb", False), ("x{2}", False)), anywhere=True)
     assert all(len(r) == len(set(a.classes)) for r in a.rows)
     assert len(a.rows) == 5  # start, after a or c, after x, and the two marks
+    for bad in ("^a", "a.b", "(a", "a)"):
+        with pytest.raises((ValueError, IndexError)):
+            S.deterministic(((bad, False),), anywhere=True)
     with pytest.raises(ValueError):
-        S.compile_rules((S.Rule("c", r"^a", r"^a"),))
+        S.Scanner((S.Rule("c", ("a+",), "a+b"),))
 
 
 def test_secret_edges(edge, none):
@@ -53,6 +69,7 @@ def test_secret_edges(edge, none):
     assert [r.text for r in masked.collect() if r.doc_id is None] == ["A document without a number, [SECRET]"] or "[SECRET]" in masked.where("doc_id IS NULL").first().text
     assert masked.where("doc_id = 2").first().text is None
     assert S.redact_secrets(none).count() == 0 and S.secret_spans(none).count() == 0
+    assert S.secret_spans(edge, keep=["doc_id", "spans", "_row"]).columns == ["doc_id", "_row", "spans"]
 
 
 def test_masks_cover_overlaps():
@@ -61,50 +78,89 @@ def test_masks_cover_overlaps():
 
 
 def test_units_join_letters_and_drop_signs():
-    assert T.units("You i d i o t, wor*th-less M0RON a the") == ["you", "idiot", "worthless", "moron", "the"]
+    assert T.units("You i d i o t, wor*th-less M0RON a the") == ["^you", "^idiot", "^worthless", "^moron", "^the"]
     assert T.units("") == []
+    long = "x" * 100 + "insult"
+    assert all(len(u) <= T.WIDTH for u in T.units(long)) and T.units(long)[-1].endswith("insult")
+    assert T.sentences("One two. Two two three!\nfour") == [["^one", "^two"], ["^two", "^three"], ["^four"]]
+
+
+def invented(rnd, rows, share, insults=("idiot", "worthless", "moron", "pathetic")):
+    word = lambda: "".join(rnd.choice(["th", "er", "on", "an", "re", "he"]) for _ in range(rnd.randint(1, 4)))
+    out = []
+    for i in range(rows):
+        words, bad = [word() + ("." if k % 10 == 9 else "") for k in range(40)], i < rows * share
+        if bad:
+            words[5], words[19] = rnd.choice(insults), rnd.choice(insults)
+        out.append((" ".join(words), int(bad)))
+    return out
+
+
+def test_table_gives_the_kernel_machine():
+    """The collapsed weights give what a machine on the explicit kernel k(x, y) gives."""
+    rnd = random.Random(7)
+    rows = invented(rnd, 40, 0.5)
+    toxic, clean = ([s for t, y in rows if y == k for s in T.sentences(t)] for k in (1, 0))
+    rarity = np.random.default_rng(0).uniform(0.5, 2, T.BUCKETS)
+    table, bias = T.fit_machine(toxic, clean, rarity, landmarks=24, seed=3)
+    rng = np.random.default_rng(3)
+    marks = [toxic[i] for i in rng.permutation(len(toxic))[:12]]
+    marks += [clean[i] for i in rng.permutation(len(clean))[:12]]
+    k = np.array([[T.kernel(a, b, rarity) for b in marks] for a in marks])
+    values, vectors = np.linalg.eigh(k)
+    fit = values > 1e-4 * values.max()
+    root = vectors[:, fit] / np.sqrt(values[fit])
+    z = np.array([[T.kernel(a, b, rarity) for b in marks] for a in toxic + clean]) @ root
+    y = np.concatenate([np.ones(len(toxic)), -np.ones(len(clean))])
+    w, b = T.squared_hinge(z, y, np.where(y > 0, 0.5 / len(toxic), 0.5 / len(clean)))
+    assert abs(b - bias) < 0.02
+    model = T.ToxicityModel(table, bias, np.zeros(T.EVIDENCE + 1))
+    got = [model.margins(s).sum() / np.sqrt(len(s) + T.SHORT) + bias for s in toxic + clean]
+    assert np.abs(np.array(got) - (z @ w + b)).max() < 0.05
+
+
+def test_models_in_turn_keep_their_own_scores():
+    rng = np.random.default_rng(1)
+    texts = ["some words in a row", "others. and more of them", None]
+    models = [T.ToxicityModel(rng.normal(size=T.BUCKETS).astype(np.float32), 0.1, rng.normal(size=T.EVIDENCE + 1)) for _ in range(2)]
+    alone = [m.score(T.Scorer(m).evidence(texts)).tolist() for m in models]
+    for _ in range(20):
+        for m, want in zip(models, alone):
+            assert m.score(T.Scorer(m).evidence(texts)).tolist() == want
+    assert alone[0] != alone[1]
 
 
 def test_toxicity_held_out(spark, data):
     sf = data.replace("sf0.001", "sf0.01")
     r = QUERIES["op10_toxicity_kernel"](spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("held_out").collect()
-    assert sum(x.predicted == x.toxic for x in r) >= 0.9 * len(r)
+    assert sum(x.predicted == x.toxic for x in r) >= 0.93 * len(r)
     assert all(0 <= x.score <= 1 and x.predicted == (x.score >= 0.5) for x in r)
 
 
-def test_gapped_insults_score_above_plain_words(spark):
-    rnd = random.Random(2)
-    word = lambda: "".join(rnd.choice(["th", "er", "on", "an", "re", "he"]) for _ in range(rnd.randint(1, 4)))
-    rows = []
-    for i in range(400):
-        words = [word() for _ in range(40)]
-        if i % 4 == 0:
-            words[5], words[9] = rnd.choice(["idiot", "worthless", "moron"]), rnd.choice(["idiot", "moron", "pathetic"])
-        rows.append((" ".join(words), int(i % 4 == 0)))
-    model = T.learn_toxicity(spark.createDataFrame(rows, "text string, toxic int"))
-    m = dict(zip(names := ["idiot", "idxiot", "worthlesss", "mooron", "therhe", "anre"], model.margins(names)))
+@pytest.mark.parametrize(("toxic", "copies"), [(0.25, 0), (0.4, 0), (0.6, 0), (0.25, 400)])
+def test_gapped_insults_stand_out(spark, toxic, copies):
+    """At several shares of labels, and with one toxic text whose copies are half of the rows."""
+    rows = invented(random.Random(3), 400, toxic)
+    model = T.learn_toxicity(spark.createDataFrame(rows + rows[:1] * copies, "text string, toxic int").repartition(3))
+    m = dict(zip(names := ["idiot", "idxiot", "worthlesss", "mooron", "therhe", "anre"], model.margins([f"^{w}" for w in names])))
     assert min(m[x] for x in names[:4]) > max(m[x] for x in names[4:])
-    scores = {r.doc_id: r.score for r in T.score_toxicity(spark.createDataFrame([(1, "you i d i o t and w*orthless mor-on"), (2, "the on an re he thon"), (3, ""), (4, None)], "doc_id long, text string"), model).collect()}
-    assert scores[1] > 0.5 > scores[2] and scores[3] < 0.5 and scores[4] < 0.5
+    asked = [(1, "you i d i o t and w*orthless mor-on"), (2, "the on an re he thon"), (3, ""), (4, None), (5, "thon erre an he re ther an idiot heer. " + "on the an re. " * 60)]
+    scores = {r.doc_id: r.score for r in T.score_toxicity(spark.createDataFrame(asked, "doc_id long, text string"), model).collect()}
+    assert scores[1] > 0.5 > scores[2] and scores[3] < 0.5 and scores[4] < 0.5 and scores[5] > scores[2]
 
 
-@pytest.mark.parametrize(("toxic", "copies"), [(0.4, 0), (0.6, 0), (0.25, 400)])
-def test_insults_stand_out_at_any_share_of_labels(spark, toxic, copies):
-    """Balanced labels, and one toxic text whose copies are half of the rows."""
-    rnd = random.Random(3)
-    word = lambda: "".join(rnd.choice(["th", "er", "on", "an", "re", "he"]) for _ in range(rnd.randint(1, 4)))
-    rows = []
-    for i in range(400):
-        words, bad = [word() for _ in range(40)], i < 400 * toxic
-        if bad:
-            words[5], words[9] = rnd.choice(["idiot", "worthless", "moron"]), rnd.choice(["idiot", "moron", "pathetic"])
-        rows.append((" ".join(words), int(bad)))
-    df = spark.createDataFrame(rows + rows[:1] * copies, "text string, toxic int").repartition(3)
-    model = T.learn_toxicity(df)
-    m = dict(zip(names := ["idiot", "idxiot", "worthlesss", "mooron", "therhe", "anre"], model.margins(names)))
-    assert min(m[x] for x in names[:4]) > max(m[x] for x in names[4:])
-    scores = {r.doc_id: r.score for r in T.score_toxicity(spark.createDataFrame([(1, "you i d i o t and w*orthless mor-on"), (2, "the on an re he thon")], "doc_id long, text string"), model).collect()}
-    assert scores[1] > 0.5 > scores[2]
+def test_insults_of_other_scripts_and_within_long_words(spark):
+    rows = invented(random.Random(5), 300, 0.4, ("馬鹿野郎", "тупица"))
+    model = T.learn_toxicity(spark.createDataFrame(rows, "text string, toxic int"))
+    asked = [(1, "the on 馬鹿野郎 an re he. thon 馬鹿野郎"), (2, "the on an тупица. тупица re he"), (3, "the on an re he thon"), (4, "re on. " + "anheth" * 30 + "тупица" + " the. " + "ontherre" * 9 + "馬鹿野郎")]
+    scores = {r.doc_id: r.score for r in T.score_toxicity(spark.createDataFrame(asked, "doc_id long, text string"), model).collect()}
+    assert min(scores[1], scores[2]) > 0.5 > scores[3] and scores[4] > scores[3]
+
+
+def test_the_bound_on_training_texts_holds(spark):
+    rows = invented(random.Random(6), 60, 0.5)
+    df = spark.createDataFrame([(t, y, i) for i, (t, y) in enumerate(rows * 30)], "text string, label int, h long").withColumn("h", F.xxhash64("text"))
+    assert T.sampled_texts(df, 20).count() == 20 and T.sampled_texts(df, 500).count() == 60
 
 
 def test_toxicity_edges(edge, none):
@@ -112,6 +168,8 @@ def test_toxicity_edges(edge, none):
     got = T.toxicity_predictions(edge, labels).collect()
     assert len(got) == 12 and {r.held_out for r in got if r.doc_id is None} == {False}
     assert T.toxicity_predictions(none, labels).count() == 0
+    model = T.ToxicityModel(np.zeros(T.BUCKETS, np.float32), 0.0, np.zeros(T.EVIDENCE + 1))
+    assert T.score_toxicity(edge, model, keep=["doc_id", "_text", "score", "words"]).columns == ["doc_id", "_text", "words", "score", "predicted"]
     assert T.toxicity_predictions(edge, labels.where("false")).where("score > 0.5").count() == 0
 
 
@@ -152,5 +210,5 @@ def test_pipeline_stages_against_plain_code(spark, data):
         else:
             assert set(after) == set(before)
             assert not [d for d, r in after.items() if base_spans(r.text)]
-            assert all(after[d].text == before[d].text for d in after if not S.Scanner(S.compile_rules()).spans(before[d].text)) if len(after) < 20 else True
+            assert all((after[d].text == before[d].text) == (not all_spans(before[d].text)) for d in after)
             assert all(r.n_chars == len(r.text) for r in after.values())
