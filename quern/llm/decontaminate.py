@@ -1,22 +1,28 @@
 """Benchmark decontamination: a hash set of the benchmark's word windows, scanned over every window of every document.
 
 All steps are DataFrame functions. The words of a text become an array; each window of 13 words (or of a short item's own
-length) becomes one 64-bit hash, and only places whose hash is in the set are ever made into rows. Those are verified by
-the window's words and carry the items they belong to. The set goes to the tasks inside the plan if it is within
-`max_set` windows, which is counted first; a larger one is matched by a shuffled join on the hash.
+length) becomes one 64-bit hash, and only places whose hash is in the set are ever made into rows. The set is a packed one,
+a bitmap with some sixteen bits a window (2 kB to 4 MB), which goes to the tasks as one literal of the plan, for a benchmark
+of any size. Its hits are verified by the window's words in a join with the benchmark's windows. Contaminated documents are
+dropped, or the hit words are cut out of them.
 """
 
 from __future__ import annotations
 
+import json
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import ascii_lower
+from quern.llm.common import ascii_lower, packed_rows, stored, unpacked_rows
 
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: Words and what is between them, in a text whose A-Z have not been lowered.
+PIECES = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+|[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 WINDOW = 13
-#: Windows of the benchmark that a plan may carry, some 10 MB of hashes and nodes.
-MAX_SET = 20_000
+#: Least and most bits of the bitmap, as powers of two. With more windows than it has room for, more places are verified.
+LEAST_BITS, MOST_BITS = 14, 25
 
 
 def words_of(text: Column) -> Column:
@@ -25,41 +31,37 @@ def words_of(text: Column) -> Column:
 
 
 def benchmark_windows(benchmark: DataFrame, *, id_col: str = "item_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
-    """One row for each distinct window: size, hash, key (its words) and the sorted ids, as strings, of the items that have it."""
+    """One row for each distinct window: size, hash, key (its words), the sorted ids, as strings, of the items that have it, and owners, a hash of those."""
     items = benchmark.select(F.col(id_col).cast("string").alias("item"), words_of(F.col(text_col)).alias("words")).where(F.size("words") > 0)
     size = F.least(F.size("words"), F.lit(window))
     each = items.select("item", size.alias("size"), F.explode(F.transform(F.sequence(F.lit(1), F.size("words") - size + 1), lambda i: F.slice("words", i, size))).alias("w"))
-    return each.groupBy("size", F.xxhash64("w").alias("hash"), F.concat_ws(" ", "w").alias("key")).agg(F.array_sort(F.collect_set("item")).alias("items"))
-
-
-def _places(words: Column, size: int) -> Column:
-    return F.when(F.size(words) >= size, F.sequence(F.lit(1), F.size(words) - (size - 1))).otherwise(F.array().cast("array<int>"))
+    found = each.groupBy("size", F.xxhash64("w").alias("hash"), F.concat_ws(" ", "w").alias("key")).agg(F.array_sort(F.collect_set("item")).alias("items"))
+    return found.withColumn("owners", F.sha2(F.to_json("items"), 256))
 
 
-def _known_places(size: int, hashes: list[int]) -> Column:
-    """(at, size, key) of the windows whose hash is in the set."""
-    places = F.filter(_places(F.col("words"), size), lambda i: F.xxhash64(F.slice("words", i, size)).isin(hashes))
-    return F.transform(places, lambda i: F.struct(i.alias("at"), F.lit(size).alias("size"), F.concat_ws(" ", F.slice("words", i, size)).alias("key")))
+def packed_set(windows: DataFrame, *, most_bits: int = MOST_BITS):
+    """A function that tells of a hash whether it may be one of the windows', and the windows' sizes (13 at most)."""
+    sizes = windows.groupBy("size").agg(F.count("*").alias("n")).collect()
+    n = sum(r["n"] for r in sizes)
+    bits = min(most_bits, max(LEAST_BITS, math.ceil(math.log2(16 * max(1, n)))))
+    longs = [0] * (1 << (bits - 6))
+    at = lambda h: F.shiftrightunsigned(h, 64 - (bits - 6)).cast("int")
+    place = lambda h: F.pmod(h, F.lit(64)).cast("int")
+    for r in windows.groupBy(at(F.col("hash")).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(pmod(hash, 64) AS INT))")).alias("x")).collect():
+        longs[r["at"]] = r["x"]
+    literal = F.from_json(F.lit(json.dumps(longs)), "array<bigint>")
+    return lambda h: F.getbit(literal[at(h)], place(h)) == 1, sorted(r["size"] for r in sizes)
 
 
-def _hashed_places(size: int) -> Column:
-    return F.transform(_places(F.col("words"), size), lambda i: F.struct(i.alias("at"), F.lit(size).alias("size"), F.xxhash64(F.slice("words", i, size)).alias("hash")))
+def _hits(words: Column, known, sizes: list[int]) -> Column:
+    """(at, size, key) of the windows whose hash may be in the set."""
 
+    def of(size: int) -> Column:
+        places = F.when(F.size(words) >= size, F.sequence(F.lit(1), F.size(words) - (size - 1))).otherwise(F.array().cast("array<int>"))
+        found = F.filter(places, lambda i: known(F.xxhash64(F.slice(words, i, size))))
+        return F.transform(found, lambda i: F.struct(i.alias("at"), F.lit(size).alias("size"), F.concat_ws(" ", F.slice(words, i, size)).alias("key")))
 
-def _hits(rows: DataFrame, windows: DataFrame, max_set: int) -> DataFrame:
-    """(_row, keep..., n_words, at, size, key) of the places whose hash is in the set; a row with nulls where a document has none."""
-    sizes = [r["size"] for r in windows.select("size").distinct().orderBy("size").collect()]  # 13 at most
-    kept = [c for c in rows.columns if c not in ("words", "_t0", "_t1")]
-    if windows.count() <= max_set:
-        found = [_known_places(size, [r["hash"] for r in windows.where(F.col("size") == size).select("hash").collect()]) for size in sizes]
-        hits = F.concat(*found) if found else F.array().cast("array<struct<at:int,size:int,key:string>>")
-        return rows.select(*kept, F.explode_outer(hits).alias("h")).select(*kept, "h.at", "h.size", "h.key")
-    hashed = F.concat(*map(_hashed_places, sizes))
-    # the hits of a text are found by two hashes of it: row numbers need not be the same when the table is read twice
-    text = ["_t0", "_t1"]
-    each = rows.select(*text, F.explode(hashed).alias("h")).select(*text, "h.*").join(windows.select("size", "hash").distinct(), ["size", "hash"], "left_semi")
-    at = each.groupBy(*text).agg(F.collect_set(F.struct("at", "size")).alias("hits"))
-    return rows.join(at, text, "left").select(*kept, F.explode_outer(F.transform("hits", lambda h: F.struct(h["at"].alias("at"), h["size"].alias("size"), F.concat_ws(" ", F.slice("words", h["at"], h["size"])).alias("key")))).alias("h")).select(*kept, "h.at", "h.size", "h.key")
+    return F.concat(*map(of, sizes)) if sizes else F.array().cast("array<struct<at:int,size:int,key:string>>")
 
 
 def _covered(spans: Column) -> Column:
@@ -69,38 +71,66 @@ def _covered(spans: Column) -> Column:
     return F.aggregate(F.array_sort(spans), start, add, lambda s: s["n"])
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, *, keep: list[str] | None = None, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", max_set: int = MAX_SET, window: int = WINDOW) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, *, keep: list[str] | None = None, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, most_bits: int = MOST_BITS) -> DataFrame:
     """One row for each document: keep (default doc_id), n_words, n_hit, n_items, items (sorted strings), spans and contaminated.
 
     spans are (at, size) of verified windows, in words from 1. contaminated: some words are hit, and a twentieth or more
     of all. Null and empty texts have no words and are clean, as is everything beside an empty benchmark; items without
-    words have no windows; repeated rows are counted on their own.
+    words have no windows; repeated rows are counted on their own; a kept column with a result's name gives way to it.
     """
-    keep = keep or ["doc_id"]
-    windows = benchmark_windows(benchmark, id_col=item_col, text_col=item_text_col, window=window)
+    windows = stored(benchmark_windows(benchmark, id_col=item_col, text_col=item_text_col, window=window), "windows")
+    known, sizes = packed_set(windows, most_bits=most_bits)
     # the row number is made by the scan, whose splits are the same in each attempt of a task
-    t = F.col(text_col)
-    rows = docs.select(F.monotonically_increasing_id().alias("_row"), *keep, words_of(t).alias("words"), F.xxhash64(t).alias("_t0"), F.xxhash64(t, F.lit(1)).alias("_t1"))
-    rows = rows.withColumn("n_words", F.size("words").cast("long"))
-    hits = _hits(rows, windows, max_set).join(windows.select("size", "key", "items"), ["size", "key"], "left")
-    span = F.when(F.col("items").isNotNull(), F.struct("at", "size"))
-    # a map side sum leaves one row a task for each document; the window's items are sets of one benchmark
-    by_row = hits.groupBy("_row", *keep, "n_words").agg(F.collect_list(span).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
-    n_hit = by_row.withColumn("n_hit", _covered(F.col("spans")))
-    return n_hit.select(*keep, "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), "items", "spans", ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"))
+    rows = packed_rows(docs, keep, text_col, F.monotonically_increasing_id().alias("row")).select("row", "_keep", words_of(F.col("_text")).alias("words"))
+    hits = rows.select("row", "_keep", F.size("words").cast("long").alias("n_words"), F.explode_outer(_hits(F.col("words"), known, sizes)).alias("h")).select("row", "_keep", "n_words", "h.*")
+    verified = hits.join(windows.select("size", "key", "owners"), ["size", "key"], "left")
+    span = F.when(F.col("owners").isNotNull(), F.struct("at", "size"))
+    # a map side sum leaves one row a task for each document; owners stand for the lists of items, which travel once a document
+    by_row = stored(verified.groupBy("row", "_keep", "n_words").agg(F.collect_list(span).alias("spans"), F.collect_set("owners").alias("owners")), "hits")
+    lists = windows.select("owners", "items").dropDuplicates(["owners"])
+    items = by_row.where(F.size("owners") > 0).select("row", F.explode("owners").alias("owners")).join(lists, "owners").groupBy("row").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    out = by_row.join(items, "row", "left").withColumn("n_hit", _covered(F.col("spans"))).withColumn("items", F.coalesce("items", F.array().cast("array<string>")))
+    return unpacked_rows(out, "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), "items", "spans", ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"))
+
+
+def _keys(id_col: str, text_col: str) -> list[Column]:
+    """Two hashes of id and text, by which rows are told apart, so that the texts themselves need not meet the verdicts."""
+    i, t = F.col(f"`{id_col}`"), F.col(f"`{text_col}`")
+    return [F.xxhash64(i, t), F.xxhash64(t, F.lit(1), i)]
+
+
+def _judged(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, options: dict) -> DataFrame:
+    keyed = docs.select(F.col(f"`{text_col}`").alias("text"), *(k.alias(f"_k{n}") for n, k in enumerate(_keys(id_col, text_col))))
+    return contamination(keyed, benchmark, keep=["_k0", "_k1"], **options)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """docs without the contaminated documents; the others stay as they are, whatever their columns are called.
+    """docs without the contaminated documents; the others stay as they are, whatever their columns are called."""
+    bad = _judged(docs, benchmark, id_col, text_col, options).where("contaminated").select("_k0", "_k1").distinct()
+    k0, k1 = _keys(id_col, text_col)
+    return docs.join(bad, (k0 == bad["_k0"]) & (k1 == bad["_k1"]), "left_anti")
+
+
+def cut_spans(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", contaminated_only: bool = False, **options) -> DataFrame:
+    """docs with the hit words cut out, from the first word of a run of hit words to the last; all bytes outside stay.
 
-    Rows are told apart by two hashes of id and text, so that the texts themselves need not meet the verdicts; the
-    verdicts that go into the join are the few contaminated ones.
+    All documents stay, those without hits as they are; contaminated_only leaves documents below the threshold whole too.
     """
-    i, t = F.col(id_col), F.col(text_col)
-    both = [F.xxhash64(i, t), F.xxhash64(t, F.lit(1), i)]
-    keyed = docs.select(t.alias("text"), *(k.alias(f"_k{n}") for n, k in enumerate(both)))
-    bad = contamination(keyed, benchmark, keep=["_k0", "_k1"], **options).where("contaminated").select("_k0", "_k1").distinct()
-    return docs.join(bad, (both[0] == bad["_k0"]) & (both[1] == bad["_k1"]), "left_anti")
+    found = _judged(docs, benchmark, id_col, text_col, options).where("contaminated" if contaminated_only else F.size("spans") > 0)
+    spans = found.select(F.col("_k0").alias("_h0"), F.col("_k1").alias("_h1"), F.array_sort("spans").alias("_spans")).dropDuplicates(["_h0", "_h1"])
+    k0, k1 = _keys(id_col, text_col)
+    columns = [F.col(f"_row.`{c}`") for c in docs.columns]
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), k0.alias("_k0"), k1.alias("_k1"))
+    joined = rows.join(spans, (F.col("_k0") == F.col("_h0")) & (F.col("_k1") == F.col("_h1")), "left")
+    text = F.col(f"_row.`{text_col}`")
+    pieces = F.regexp_extract_all(text, F.lit(f"({PIECES})"), 1)
+    # words and what is between them take turns: of piece i, the word it is, or the one before it
+    first = F.when(pieces[0].rlike(f"^(?:{PIECES.split('|')[0]})$"), 1).otherwise(0)
+    word = lambda i: F.floor((i + 1 + first) / 2)
+    is_word = lambda i: F.pmod(i + first, F.lit(2)) == 1
+    covered = lambda i: F.exists("_spans", lambda s: (s["at"] <= word(i)) & (word(i) + F.when(is_word(i), 0).otherwise(1) < s["at"] + s["size"]))
+    cut = F.when(F.col("_spans").isNull(), text).otherwise(F.array_join(F.filter(pieces, lambda x, i: ~covered(i)), ""))
+    return joined.select(*((cut if c == text_col else col).alias(c) for c, col in zip(docs.columns, columns)))
 
 
 def contamination_digest(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
