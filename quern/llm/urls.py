@@ -2,7 +2,7 @@
 
 Everything is DataFrame functions and Spark's own tree learner; no Python runs on the executors. Labels for training come
 with the labelled URLs; `seed_labels` makes them from a list of words known from abuse lists. The trees see only lexical
-features, none of the words.
+features, none of the words, so what they learn is how such URLs look, for hosts that no word gives away.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import ascii_lower
+from quern.llm.common import ascii_lower, stored, unpacked_rows
 
 #: (rule, verdict); a rule is a host, a slash and the start of a path.
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
@@ -40,6 +40,11 @@ def rule_of(host: Column, path: Column, rules=RULES) -> Column:
     return out
 
 
+def _suffix(host: Column) -> Column:
+    """The host's last label."""
+    return F.regexp_extract(host, r"([^.]*)$", 1)
+
+
 def _log_length(c: Column) -> Column:
     return F.log1p(F.length(c).cast("double"))
 
@@ -67,7 +72,7 @@ def lexical_features(df: DataFrame, url_col: str = "url") -> DataFrame:
     d = df.withColumns({"host": host_of(F.col(url_col)), "path": path_of(F.col(url_col))})
     return d.withColumns(
         {
-            "suffix": F.regexp_extract(host, r"([^.]*)$", 1),
+            "suffix": _suffix(host),
             "url_length": _log_length(url),
             "host_length": _log_length(host_part),
             "path_length": _log_length(path),
@@ -94,34 +99,51 @@ def seed_labels(host: Column) -> Column:
 
 
 class UrlFilter:
-    """Trees fitted to labelled URLs, with the statistics of suffixes that they were fitted with."""
+    """Trees fitted to labelled URLs, with the statistics of suffixes that they were fitted with.
+
+    Each different URL counts once, as bad if more than half of its rows are, so that copies weigh nothing; of those, the
+    train_rows least by a hash are fitted on. A training row's suffix statistics leave out its own host.
+    """
 
     def __init__(self, labelled: DataFrame, *, url_col: str = "url", label_col: str = "label", train_rows: int = TRAIN_ROWS, trees: int = 12, depth: int = 3):
         from pyspark.ml.classification import GBTClassifier
 
         self.url_col = url_col
-        rows = lexical_features(labelled.select(F.col(url_col), F.col(label_col).cast("double").alias("label")), url_col).where("label IS NOT NULL AND host <> ''")
-        found = rows.agg(F.count("*").alias("n"), F.sum("label").alias("bad")).first()
-        self.rows, self.rate, self.model = found["n"], (found["bad"] or 0) / max(1, found["n"]), None
+        each = labelled.select(F.col(url_col), F.col(label_col).cast("double").alias("label")).where(F.col("label").isNotNull() & (host_of(F.col(url_col)) != ""))
+        rows = each.groupBy(url_col).agg((F.avg("label") > 0.5).cast("double").alias("label"))
+        host = host_of(F.col(url_col))
+        by_host = stored(rows.groupBy(_suffix(host).alias("_suffix"), host.alias("_host")).agg(F.sum("label").alias("_bad"), F.count("*").alias("_n")), "url-hosts")
+        found = by_host.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("n"), F.coalesce(F.sum("_bad"), F.lit(0.0)).alias("bad")).first()
+        self.rows, self.rate, self.model = found["n"], found["bad"] / max(1, found["n"]), None
         #: One row a suffix; joined as a table, as suffixes may be many.
-        self.suffixes = rows.groupBy("suffix").agg(F.sum("label").alias("bad"), F.count("*").alias("n")).select(F.col("suffix").alias("_suffix"), (F.col("n") / max(1, self.rows)).alias("suffix_share"), ((F.col("bad") + 20 * self.rate) / (F.col("n") + 20)).alias("suffix_block_rate"))
+        self.suffixes = by_host.groupBy("_suffix").agg(F.sum("_bad").alias("_all_bad"), F.sum("_n").alias("_all"))
         if not 0 < self.rate < 1:
             return
-        share = min(1.0, train_rows / self.rows)
-        some = rows.where(F.pmod(F.xxhash64(url_col), F.lit(1_000_003)) < share * 1_000_003)
-        even = some.withColumn("weight", F.when(F.col("label") == 1, 0.5 / self.rate).otherwise(0.5 / (1 - self.rate)))
-        sample = self._assembled(even)
+        hashed = rows.withColumn("_h", F.xxhash64(url_col))
+        last = hashed.select("_h").distinct().orderBy("_h").limit(train_rows).agg(F.max("_h")).first()[0]
+        some = stored(hashed.where(F.col("_h") <= F.lit(last)).drop("_h"), "url-sample")
+        bad, n = some.agg(F.sum("label"), F.count("*")).first()
+        if not 0 < bad < n:
+            return
+        even = lexical_features(some, url_col).withColumn("weight", F.when(F.col("label") == 1, 0.5 * n / bad).otherwise(0.5 * n / (n - bad)))
+        own = even.join(by_host, (F.col("suffix") == F.col("_suffix")) & (F.col("host") == F.col("_host")), "left").drop("_suffix", "_host")
+        sample = self._assembled(own, ("_bad", "_n"))
         self.model = GBTClassifier(featuresCol="features", labelCol="label", weightCol="weight", maxIter=trees, maxDepth=depth, maxBins=32, seed=7).fit(sample.select("features", "label", "weight").coalesce(4))
 
-    def _assembled(self, rows: DataFrame) -> DataFrame:
+    def _assembled(self, rows: DataFrame, own: tuple[str, str] | None = None) -> DataFrame:
+        """rows with the vector of features; the suffix's share and its smoothed share of bad ones leave out the columns of own counts."""
         from pyspark.ml.feature import VectorAssembler
 
-        joined = rows.join(self.suffixes, rows["suffix"] == self.suffixes["_suffix"], "left").drop("_suffix")
-        return VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(joined.fillna({"suffix_share": 0.0, "suffix_block_rate": self.rate}))
+        joined = rows.join(self.suffixes, rows["suffix"] == self.suffixes["_suffix"], "left")
+        bad, n = (F.coalesce(F.col(c), F.lit(0)) for c in ("_all_bad", "_all"))
+        if own:
+            bad, n = bad - F.col(own[0]), n - F.col(own[1])
+        with_rates = joined.withColumns({"suffix_share": n / max(1, self.rows), "suffix_block_rate": (bad + 20 * self.rate) / (n + 20)})
+        return VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(with_rates)
 
     def judge(self, urls: DataFrame, *, keep: list[str], rules=RULES) -> DataFrame:
         """keep, host, path, rule, verdict and score (the trees' 0 to 1, or the share of bad labels where they were all alike)."""
-        rows = lexical_features(urls.select(F.struct(*keep).alias("_keep"), self.url_col), self.url_col)
+        rows = lexical_features(urls.select(F.struct(*(F.col(f"`{c}`") for c in keep)).alias("_keep"), F.col(self.url_col).alias(self.url_col)), self.url_col)
         if self.model is None:
             scored = rows.withColumn("score", F.lit(float(self.rate)))
         else:
@@ -131,7 +153,7 @@ class UrlFilter:
             scored = model.transform(self._assembled(rows)).withColumn("score", vector_to_array("probability")[1])
         by_rule = rule_of(F.col("host"), F.col("path"), rules)
         own = F.when(F.col("score") >= 0.5, "block").otherwise("allow")
-        return scored.withColumn("_rule", by_rule).select("_keep.*", "host", "path", F.col("_rule.rule").alias("rule"), F.coalesce("_rule.verdict", own).alias("verdict"), "score")
+        return unpacked_rows(scored.withColumn("_rule", by_rule), "host", "path", F.col("_rule.rule").alias("rule"), F.coalesce("_rule.verdict", own).alias("verdict"), "score")
 
 
 def filter_urls(pages: DataFrame, *, labelled: DataFrame | None = None, url_col: str = "url", keep: list[str] | None = None, rules=RULES) -> DataFrame:
@@ -139,7 +161,8 @@ def filter_urls(pages: DataFrame, *, labelled: DataFrame | None = None, url_col:
 
     labelled: (url, label) rows; by default the pages themselves with `seed_labels`. Null URLs and those without :// have
     an empty host and path, fit no rule and are judged by the trees on what they are; repeated rows are judged alike; with
-    no labelled URLs, or all of one label, the score is the share of bad ones (0 for none).
+    no labelled URLs, or all of one label, the score is the share of bad ones (0 for none); a kept column with a result's
+    name gives way to it.
     """
     if labelled is None:
         labelled = pages.select(F.col(url_col)).withColumn("label", seed_labels(host_of(F.col(url_col))))
