@@ -3,7 +3,9 @@
 Pieces of a full sequence's length stand alone. The others are dealt by a hash into groups of bounded size. A group's
 solutions evolve on several islands, each one row of a DataFrame with the group's lengths and its own population, so that
 islands spread over the cluster and any task can be made again. Crossover takes whole well-filled bins from one parent,
-drops the bins of the other parent that hold a document twice, and puts displaced documents where they fit best. After
+drops the bins of the other parent that hold a document twice, and puts displaced documents where they fit best: into
+free room, in the place of a slightly shorter one whose bin they fill better, which is then displaced in turn, or in room
+that exchanges of the same kind gather in one bin. After
 each epoch the best solution of each island goes to the next island of the ring. A group whose best solution meets the
 lower bound needs no more epochs. Bins that are left badly filled are dissolved, and their pieces meet in groups of a
 second round.
@@ -25,7 +27,7 @@ from quern.llm.tokens import encoder, vocabulary_path
 CAPACITY = 2048
 #: Pieces that a group is meant to hold.
 GROUP = 3000
-ISLANDS, EPOCHS, GENERATIONS, POPULATION = 2, 2, 6, 4
+ISLANDS, EPOCHS, GENERATIONS, POPULATION = 2, 3, 6, 6
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -60,9 +62,9 @@ class Packer:
         self.bound = -(-sum(lengths) // capacity)
 
     def best_fit(self, items: list[int], bins: list[list[int]]) -> list[list[int]]:
-        """Put the items, longest first, each into the fullest bin that has room."""
-        free = sorted((self.capacity - sum(self.lengths[i] for i in b), k) for k, b in enumerate(bins))
-        for i in sorted(items, key=lambda i: -self.lengths[i]):
+        """Put the items, in their order, each into the fullest bin that has room."""
+        free = sorted((self.capacity - self.fill(b), k) for k, b in enumerate(bins))
+        for i in items:
             at = bisect.bisect_left(free, (self.lengths[i], -1))
             if at == len(free):
                 bins.append([i])
@@ -73,6 +75,86 @@ class Packer:
                 bisect.insort(free, (room - self.lengths[i], k))
         return bins
 
+    def longest_first(self, items) -> list[int]:
+        return sorted(items, key=lambda i: (-self.lengths[i], i))
+
+    def exchanged(self, items: list[int], bins: list[list[int]]) -> list[int]:
+        """Put items into free room or in the place of shorter ones whose bins they fill better; gives back what is displaced for good."""
+        room = {k: self.capacity - self.fill(b) for k, b in enumerate(bins)}
+        room = {k: r for k, r in room.items() if r}
+        there = sorted((self.lengths[i], i, k) for k in room for i in bins[k])
+        left = []
+        for i in self.longest_first(items):
+            while True:
+                n = self.lengths[i]
+                fits = min(((r, k) for k, r in room.items() if r >= n), default=None)
+                if fits:
+                    bins[fits[1]].append(i)
+                    out, k = None, fits[1]
+                else:
+                    at = bisect.bisect_left(there, (n - max(room.values(), default=0), -1, -1))
+                    while at < len(there) and there[at][0] < n and there[at][0] + room[there[at][2]] < n:
+                        at += 1
+                    if at == len(there) or there[at][0] >= n:
+                        left.append(i)
+                        break
+                    _, out, k = there.pop(at)
+                    bins[k][bins[k].index(out)] = i
+                room[k] -= n - (self.lengths[out] if out is not None else 0)
+                if room[k]:
+                    bisect.insort(there, (n, i, k))
+                else:
+                    del room[k]
+                    there = [x for x in there if x[2] != k]
+                if out is None:
+                    break
+                i = out
+        return left
+
+    def gathered(self, need: int, bins: list[list[int]], sinks: int = 6) -> int | None:
+        """Free room of other bins brought into one, by exchanging an item of it for a slightly shorter one of theirs; the bin that then has room for `need`, if any."""
+        room = [self.capacity - self.fill(b) for b in bins]
+        if sum(room) < need:
+            return None
+        givers = sorted((k for k, r in enumerate(room) if r), key=lambda k: -room[k])
+        for sink in sorted(range(len(bins)), key=lambda k: -len(bins[k]))[:sinks]:
+            own = sorted((self.lengths[i], i) for i in bins[sink])
+            moved = True
+            while moved and room[sink] < need:
+                moved = False
+                for k in givers:
+                    if k == sink or not room[k] or room[sink] >= need:
+                        continue
+                    best = (0, None, None)
+                    for i in bins[k]:
+                        n = self.lengths[i]
+                        at = bisect.bisect_right(own, (n + room[k], len(self.lengths))) - 1
+                        if at >= 0 and own[at][0] - n > best[0]:
+                            best = (own[at][0] - n, i, own[at])
+                    gain, i, x = best
+                    if gain:
+                        own.remove(x)
+                        bisect.insort(own, (self.lengths[i], i))
+                        bins[sink][bins[sink].index(x[1])] = i
+                        bins[k][bins[k].index(i)] = x[1]
+                        room[k] -= gain
+                        room[sink] += gain
+                        moved = True
+            if room[sink] >= need:
+                return sink
+        return None
+
+    def placed(self, items, bins: list[list[int]]) -> list[list[int]]:
+        """bins with the items in free room, in exchange, in room that is gathered for them, or in new bins."""
+        left = []
+        for i in self.exchanged(list(items), bins):
+            sink = self.gathered(self.lengths[i], bins) if not left and bins else None
+            if sink is None:
+                left.append(i)
+            else:
+                bins[sink].append(i)
+        return self.best_fit(left, bins)
+
     def fill(self, b: list[int]) -> int:
         return sum(self.lengths[i] for i in b)
 
@@ -81,11 +163,13 @@ class Packer:
         return -len(bins), sum((self.fill(b) / self.capacity) ** 2 for b in bins)
 
     def first(self, n: int) -> list[list[list[int]]]:
-        """Best fit, longest first, and variants of it for which a share of the items is held back."""
-        out = [self.best_fit(list(range(len(self.lengths))), [])]
+        """Best fit, longest first, and best fits in orders that are more and more by chance; best fit alone if it meets the bound."""
+        every = range(len(self.lengths))
+        out = [self.best_fit(self.longest_first(every), [])]
         while len(out) < n and len(out[0]) > self.bound:
-            late = set(self.random.sample(range(len(self.lengths)), len(self.lengths) // 5))
-            out.append(self.best_fit(list(late), self.best_fit([i for i in range(len(self.lengths)) if i not in late], [])))
+            spread = len(out) / n
+            drawn = {i: self.lengths[i] * self.random.uniform(1 - spread, 1 + spread) for i in every}
+            out.append(self.best_fit(sorted(every, key=lambda i: -drawn[i]), []))
         return out
 
     def cross(self, a: list[list[int]], b: list[list[int]]) -> list[list[int]]:
@@ -95,13 +179,13 @@ class Packer:
         there = {i for x in chosen for i in x}
         kept = [list(x) for x in b if there.isdisjoint(x)]
         displaced = set(range(len(self.lengths))) - there - {i for x in kept for i in x}
-        return self.best_fit(list(displaced), chosen + kept)
+        return self.placed(displaced, chosen + kept)
 
     def mutate(self, bins: list[list[int]]) -> list[list[int]]:
         """Dissolve the emptiest bin and a few others."""
         order = sorted(range(len(bins)), key=lambda k: self.fill(bins[k]))
         gone = {order[0], *self.random.sample(order, min(len(order), 3))}
-        return self.best_fit([i for k in gone for i in bins[k]], [list(x) for k, x in enumerate(bins) if k not in gone])
+        return self.placed([i for k in gone for i in bins[k]], [list(x) for k, x in enumerate(bins) if k not in gone])
 
     def evolve(self, population: list[list[list[int]]], generations: int, size: int) -> list[list[list[int]]]:
         population = sorted(population, key=self.fitness, reverse=True)
@@ -109,7 +193,7 @@ class Packer:
             if len(population[0]) <= self.bound:
                 break
             children = [self.cross(*self.random.sample(population, 2)) for _ in range(size)] if len(population) > 1 else []
-            children += [self.mutate(self.random.choice(population))]
+            children += [self.mutate(population[0]), self.mutate(self.random.choice(population))]
             population = sorted(population + children, key=self.fitness, reverse=True)[:size]
         return population
 
