@@ -1,17 +1,19 @@
 """Tokenisation with a public vocabulary, and token ids stored as directly addressable codes.
 
-A text's ids are the ids of its blank-separated pieces one after the other: no token of this vocabulary spans white
+A text's ids are the ids of its blank-separated pieces one after the other: no token of this kind of vocabulary spans white
 space, and neither NFC nor lower-casing looks across it. So every distinct piece goes through the tokenizers library
-once, and a text is put together from the pieces' ids.
+once, and a text is put together from the pieces' ids. A vocabulary with another chain of steps gets whole texts.
 
 The file format ("DAC1", one segment a record): ids are cut into 8-bit chunks, lowest first. Level k holds the chunk k of
 every id that has one, in order; its bitmap says which of them go on in level k+1, and its rank directory holds the
 number of set bits before each block of 512. The place of an id's chunk in the next level is the rank of its bit, so any
-id is read in a few steps, with no block decoded.
+id is read in a few steps, with no block decoded. Segments are stored uncompressed; `tokens_at` looks up the ids at any
+places of a set of files.
 """
 
 from __future__ import annotations
 
+import json
 import re
 import struct
 import uuid
@@ -28,6 +30,8 @@ from quern.llm.common import bounded_batches, shared_dir, text_bytes
 CHUNK_BITS = 8
 RANK_BLOCK = 512
 MAGIC = b"DAC1"
+#: Places of a cell of the grid by which places find their segments, as a power of two.
+CELL = 20
 #: Pieces kept by a Python worker; a bound on its memory, the cache starts anew beyond it.
 CACHE_PIECES = 450_000
 
@@ -44,13 +48,29 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in own else chr(next(rest)) for b in range(256)]
 
 
+#: The steps before the merges for which texts may be encoded piece by piece.
+NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+SPLIT = {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True}
+BYTES = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+
+
+def splits_at_blanks(settings: dict) -> bool:
+    """Whether a tokenizer's steps are those known to treat blank-separated pieces apart."""
+    model = settings.get("model") or {}
+    steps = settings.get("normalizer") == {"type": "Sequence", "normalizers": NORMALIZERS} and settings.get("pre_tokenizer") == {"type": "Sequence", "pretokenizers": [SPLIT, BYTES]}
+    # an added token is matched before the other steps, and might span a blank
+    added = all(not re.search(r"\s", t["content"]) for t in settings.get("added_tokens") or [])
+    return steps and added and model.get("type", "BPE") == "BPE" and not model.get("dropout") and settings.get("post_processor") is None
+
+
 class Encoder:
-    """Texts to the little-endian unsigned 32-bit ids of a byte-level tokenizers vocabulary that lower-cases and drops white space."""
+    """Texts to the little-endian unsigned 32-bit ids of a tokenizers vocabulary."""
 
     def __init__(self, vocabulary: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(vocabulary)
+        self.by_piece = splits_at_blanks(json.loads(self.tokenizer.to_str()))
         self.merge = self.tokenizer.model.tokenize
         self.letters = {b: x for b, x in enumerate(byte_letters()) if b >= 128}
         self.cache: dict[bytes, bytes] = {}
@@ -83,6 +103,10 @@ class Encoder:
 
     def encode(self, texts: list[bytes]) -> Iterator[bytes]:
         cache = self.cache
+        if not self.by_piece:
+            for at in range(0, len(texts), 64):
+                yield from self.whole([t.decode() for t in texts[at : at + 64]])
+            return
         for at in range(0, len(texts), 256):
             pieces = [t.lower().split() for t in texts[at : at + 256]]
             new = set().union(*pieces).difference(cache)
@@ -132,9 +156,10 @@ def dac_encode(ids: np.ndarray) -> bytes:
 
 
 class DacReader:
-    """Random access to the ids of one segment."""
+    """Random access to the ids of one segment, without a copy of it."""
 
-    def __init__(self, payload: bytes):
+    def __init__(self, payload):
+        payload = memoryview(payload)
         if payload[:4] != MAGIC:
             raise ValueError("not a DAC1 segment")
         (n,) = struct.unpack_from("<I", payload, 4)
@@ -220,18 +245,21 @@ def write_token_files(docs: DataFrame, path: str, *, vocabulary: str, end_id: in
 
     The segments go through Spark's committer as the binary field of Parquet files, one or more for each range of ids: a
     lost or repeated task leaves no partial file, and any store that Spark writes to will do. Null texts count as empty
-    and give the end id alone; documents with a null id come first; equal ids stay beside each other; no documents, no
-    segments.
+    and give the end id alone; documents with a null id come first; equal ids stay beside each other, in order of a hash
+    of their texts, and may be dealt to several tasks; no documents, no segments. Segments are not compressed, so that a
+    place's bytes lie in the file as they are.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     (
-        docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-        .repartitionByRange(n, "doc_id")
-        .sortWithinPartitions("doc_id")
+        # the scan's partition tells apart rows of one id and text, so that no range must hold them all
+        docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("h"), F.spark_partition_id().alias("p"))
+        .repartitionByRange(n, "doc_id", "h", "p")
+        .sortWithinPartitions("doc_id", "h", "p")
         .mapInArrow(_writer(vocabulary, end_id, segment_tokens), SEGMENT_SCHEMA)
         .write.mode("overwrite")
+        .option("compression", "none")
         .parquet(path)
     )
 
@@ -247,16 +275,48 @@ def _reader(batches):
             yield pa.RecordBatch.from_arrays([pa.array(row["doc_ids"], pa.int64()), pa.array([row["part"]] * len(n), pa.int32()), pa.array(starts + row["start_in_part"]), pa.array(n), pa.array(crc, pa.int64())], names=["doc_id", "part", "start", "n_tokens", "ids_crc32"])
 
 
+def _firsts(segments: DataFrame) -> DataFrame:
+    """(part, first): ids before each part; one row for each written range is summed up in one place."""
+    totals = segments.groupBy("part").agg(F.sum("n_tokens").alias("n"))
+    return totals.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("first"))
+
+
+def _lookup(batches):
+    for b in batches:
+        ids = []
+        for payload, at in zip(b.column("payload"), b.column("at").to_pylist()):
+            # a view of the batch's buffer: only the bytes on the way to the ids are touched
+            reader = DacReader(payload.as_buffer())
+            ids.append([reader[i] for i in at])
+        yield pa.RecordBatch.from_arrays([b.column("positions"), pa.array(ids, pa.list_(pa.int64()))], names=["positions", "ids"])
+
+
+def tokens_at(spark, path: str, positions: DataFrame, *, position_col: str = "position") -> DataFrame:
+    """(position, token) of the ids at any places of a set of token files, counted from 0 over all documents.
+
+    Places meet their segments by an index of the segments' first places; in a segment each id is read by rank. Places
+    beyond either end, and null ones, give no row; a place that is asked for twice gives one.
+    """
+    segments = spark.read.schema(SEGMENT_SCHEMA).parquet(path)
+    index = segments.select("part", "segment", "start_in_part", "n_tokens").join(F.broadcast(_firsts(segments)), "part").select("part", "segment", (F.col("first") + F.col("start_in_part")).alias("first"), "n_tokens")
+    asked = positions.select(F.col(position_col).cast("long").alias("position")).distinct().withColumn("cell", F.shiftright("position", CELL))
+    # the index has a row for a million ids or so, and lists the cells of a grid that each lies in
+    cells = index.withColumn("cell", F.explode(F.sequence(F.shiftright("first", CELL), F.shiftright(F.col("first") + F.col("n_tokens") - 1, CELL))))
+    hits = asked.join(cells, "cell").where((F.col("position") >= F.col("first")) & (F.col("position") < F.col("first") + F.col("n_tokens")))
+    own = hits.groupBy("part", "segment", F.pmod(F.xxhash64("position"), F.lit(16)).alias("salt")).agg(F.collect_list("position").alias("positions"), F.first("first").alias("first"))
+    some = own.join(segments.select("part", "segment", "payload"), ["part", "segment"]).select("payload", "positions", F.transform("positions", lambda p: (p - F.col("first")).cast("long")).alias("at"))
+    read = some.mapInArrow(_lookup, "positions array<long>, ids array<long>")
+    return read.select(F.explode(F.arrays_zip("positions", "ids")).alias("x")).select(F.col("x.positions").alias("position"), F.col("x.ids").alias("token"))
+
+
 def read_token_files(spark, path: str) -> DataFrame:
     """Per document of a set of token files: doc_id, start (ids of all documents before it), n_tokens, ids_crc32.
 
     Only the parts' totals, one row for each written range, are summed up in one place.
     """
     segments = spark.read.schema(SEGMENT_SCHEMA).parquet(path)
-    totals = segments.groupBy("part").agg(F.sum("n_tokens").alias("n"))
-    firsts = totals.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("first"))
     read = segments.mapInArrow(_reader, "doc_id long, part int, start long, n_tokens long, ids_crc32 long")
-    return read.join(F.broadcast(firsts), "part").select("doc_id", (F.col("first") + F.col("start")).alias("start"), "n_tokens", "ids_crc32")
+    return read.join(F.broadcast(_firsts(segments)), "part").select("doc_id", (F.col("first") + F.col("start")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def encode_round_trip(docs: DataFrame, *, vocabulary: str | None = None, end_id: int = 1) -> DataFrame:

@@ -52,6 +52,60 @@ def test_files_hold_every_document_in_order(spark, data, plain):
         at += len(ids)
 
 
+def test_tokens_at_any_place(spark, data, plain, tmp_path):
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    T.write_token_files(docs, f"file://{tmp_path}/t", vocabulary=T.vocabulary_path(), segment_tokens=5000, partitions=3)
+    every = [i for r in sorted(docs.collect(), key=lambda r: r.doc_id) for i in [*plain(r.text), 1]]
+    asked = [0, 1, 4999, 5000, 5001, len(every) // 2, len(every) - 1, len(every), -1, 7, 7]
+    got = {r.position: r.token for r in T.tokens_at(spark, f"file://{tmp_path}/t", spark.createDataFrame([(i,) for i in [*asked, None]], "position long")).collect()}
+    assert got == {i: every[i] for i in set(asked) if 0 <= i < len(every)}
+
+
+def test_segments_lie_in_the_files_as_they_are(spark, tmp_path):
+    import glob
+
+    df = spark.createDataFrame([(i, f"some words {i} of a text") for i in range(300)], "doc_id long, text string")
+    T.write_token_files(df, f"file://{tmp_path}/t", vocabulary=T.vocabulary_path(), partitions=2)
+    files = b"".join(open(f, "rb").read() for f in glob.glob(f"{tmp_path}/t/*.parquet"))
+    payloads = [bytes(r.payload) for r in spark.read.parquet(f"file://{tmp_path}/t").select("payload").collect()]
+    assert payloads and all(p in files for p in payloads)
+
+
+def test_an_id_is_read_from_a_few_bytes():
+    """No more than a chunk, a bit and a rank with its block of 64 bytes for each level."""
+    touched = []
+
+    class Counted(np.ndarray):
+        def __getitem__(self, at):
+            got = super().__getitem__(at)
+            touched.append(np.size(got) * self.itemsize)
+            return np.asarray(got) if isinstance(at, slice) else got
+
+    ids = np.random.default_rng(0).integers(0, 49_000, 200_000).astype(np.uint32)
+    r = T.DacReader(T.dac_encode(ids))
+    r.levels = [tuple(x.view(Counted) for x in level) for level in r.levels]
+    for i in (0, 511, 512, 123_456, 199_999):
+        touched.clear()
+        assert r[i] == ids[i] and sum(touched) < 200
+
+
+def test_other_vocabularies_get_whole_texts():
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    enc = T.Encoder(path)
+    assert not enc.by_piece and T.Encoder(T.vocabulary_path()).by_piece
+    texts = ["Two  words, and\n\nlines", "", " a"]
+    want = [e.ids for e in Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)]
+    assert [np.frombuffer(b, "<u4").tolist() for b in enc.encode([t.encode() for t in texts])] == want
+
+
+def test_rows_of_one_id_need_not_lie_in_one_range(spark):
+    df = spark.createDataFrame([(None, f"text {i}") for i in range(400)], "doc_id long, text string").repartition(4)
+    got = T.encode_round_trip(df).orderBy("start").collect()
+    assert len(got) == 400 and [r.start for r in got][1:] == [r.start + r.n_tokens for r in got][:-1]
+
+
 def test_token_edges(spark, edge, none):
     got = T.encode_round_trip(edge).orderBy("start").collect()
     assert len(got) == 12 and got[0].doc_id is None and [r.doc_id for r in got[1:]] == sorted(r.doc_id for r in got[1:])
@@ -104,9 +158,34 @@ def test_crossover_keeps_every_document_once():
     assert p.fitness(p.evolve(first, 5, 4)[0]) >= max(map(p.fitness, first))
 
 
-def test_evolution_beats_a_bad_start():
-    """Items for which longest-first best fit needs one bin more than there must be."""
-    lengths = [6, 5, 4, 3, 3, 3, 3, 3]  # 30 units in bins of 10
-    p = P.Packer([*lengths, *lengths], 10, 1)
-    best = p.evolve(p.first(6), 40, 6)[0]
-    assert len(best) <= len(p.best_fit(list(range(16)), []))
+@pytest.mark.parametrize(("low", "high", "saved"), [(200, 1000, 1), (380, 1100, 4), (500, 1024, 8)])
+def test_evolution_saves_bins_of_hard_lengths(low, high, saved):
+    """Lengths of which two or three fill a bin, where longest-first best fit is far from the bound."""
+    rng = np.random.default_rng(low)
+    p = P.Packer(rng.integers(low, high, 600).tolist(), 2048, 1)
+    first = p.first(P.POPULATION)
+    assert len({len(x) for x in first}) > 1  # not all children of one solution
+    best = p.evolve(first, P.EPOCHS * P.GENERATIONS, P.POPULATION)[0]
+    assert len(best) <= min(map(len, first)) - saved
+    assert sorted(i for b in best for i in b) == list(range(600)) and max(map(p.fill, best)) <= 2048
+
+
+def test_exchanges_lose_nothing():
+    rng = np.random.default_rng(5)
+    for seed in range(20):
+        p = P.Packer(rng.integers(1, 900, 60).tolist(), 2048, seed)
+        bins = p.best_fit(p.longest_first(range(60)), [])
+        out = p.placed([i for b in bins[:3] for i in b], [list(b) for b in bins[3:]])
+        assert sorted(i for b in out for i in b) == list(range(60)) and max(map(p.fill, out)) <= 2048
+
+
+def test_islands_and_migration(spark):
+    """Groups that best fit leaves open go through all epochs, and keep every item."""
+    rng = np.random.default_rng(3)
+    rows = [(g, sorted(rng.integers(400, 1100, 120).tolist(), reverse=True)) for g in range(3)]
+    got = {r.grp: r.solution for r in P.best_solutions(spark.createDataFrame(rows, "grp long, lengths array<long>")).collect()}
+    for g, lengths in rows:
+        p = P.Packer(lengths, 2048, 0)
+        bins = P._bins(got[g])
+        assert sorted(i for b in bins for i in b) == list(range(120)) and max(map(p.fill, bins)) <= 2048
+        assert len(bins) < len(p.best_fit(p.longest_first(range(120)), []))
