@@ -3,6 +3,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -44,6 +45,62 @@ def test_repeats_match_brute_force(spark, seed):
     assert digest(S.remove_repeats(df, digest=True).collect()) == repeats(docs)
 
 
+def test_frequent_grams_are_dealt_by_more_bytes(spark, monkeypatch):
+    """One sentence in all texts, between others; some of the texts share more than it."""
+    rnd = random.Random(8)
+    line = "".join(rnd.choice("abcdefgh") for _ in range(87))
+    word = lambda n: "".join(rnd.choice("ijklmnop") for _ in range(n))
+    ends = [word(70) for _ in range(6)]
+    docs = {i: word(rnd.randint(0, 90)) + rnd.choice([rnd.choice(ends), word(30)]) + line + rnd.choice([rnd.choice(ends), word(40)]) + word(rnd.randint(0, 90)) for i in range(400)}
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string").repartition(2)
+    monkeypatch.setattr(S, "REPORTED", 30)
+    texts = S.keyed_texts(df, "doc_id", "text")
+    # functions travel by name to the tasks, which have the module's own bound; so the survey is taken here
+    found = [r for b in [pa.RecordBatch.from_pandas(texts.toPandas(), preserve_index=False)] for x in S._survey_task([b]) for r in x.to_pylist()]
+    frequent = np.sort(np.array([r["gram"] for r in found if r["gram"] is not None], np.int64).view(np.uint64))
+    assert len(frequent) and sum(r["n"] for r in found if r["gram"] is None) == sum(map(len, docs.values()))
+    twice = texts.mapInArrow(S._anchor_task(8), "bucket int, docs binary, places binary, low binary, high binary").repartitionById(8, "bucket").mapInArrow(S._twice_task, "doc long, place int")
+    joined = texts.join(twice.groupBy("doc").agg({"place": "collect_list"}).toDF("doc", "places"), "doc").toPandas()
+    batch = pa.RecordBatch.from_pydict({"doc": joined["doc"].tolist(), "text": joined["text"].tolist(), "places": [list(x) for x in joined["places"]]})
+    per: Counter = Counter()
+    spans: dict[int, list[int]] = {}
+    rows: dict[int, list] = {}
+    for out in S._run_task(16, frequent)([batch]):
+        for r in out.to_pylist():
+            per[r["bucket"]] += len(r["places"] or b"") // 4
+            rows.setdefault(r["bucket"], []).append(r)
+    assert max(per.values()) < 0.3 * sum(per.values())
+    for some in rows.values():
+        columns = {k: [r[k] for r in some] for k in some[0]}
+        types = [pa.int32(), pa.int32(), pa.int64(), *[pa.binary()] * 8]
+        for got in S._merge_task([pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(columns.values(), types)], names=list(columns))]):
+            for r in got.to_pylist():
+                spans.setdefault(r["doc"], []).append(r["span"])
+    want = repeats(docs)
+    for d, t in docs.items():
+        runs = S._removed(len(t), spans.get(d))
+        assert (len(t), sum(e - s for s, e in runs), len(runs)) == want[d][:3]
+
+
+def test_hashes_of_bytes_before_are_verified(monkeypatch):
+    """With a multiplication that forgets all bytes, hashes say that everything is equal; the bytes tell."""
+    rnd = np.random.default_rng(4)
+    befores = rnd.integers(0, 2, (40, S.WINDOW - 1)).astype(np.uint8)
+    befores[:, 3:] = 0
+    shared = np.full(40, S.LENGTH)
+    sizes, after, order = np.full(40, S.WINDOW - 1), np.full(40, S.LENGTH), np.arange(40)
+    want = [max((o for o in range(S.WINDOW) if any((befores[j, :o] == befores[i, :o]).all() for j in range(i))), default=-1) for i in range(40)]
+    most, _ = S.earlier_spans(shared, befores, sizes, after, order)
+    assert most.tolist() == want
+
+    class Forgetful(np.ndarray):
+        def astype(self, kind):
+            return np.zeros(self.shape, kind)
+
+    most, _ = S.earlier_spans(shared, befores.view(Forgetful), sizes, after, order)
+    assert most.tolist() == want
+
+
 def test_repeats_of_the_table(spark, data):
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{data}/documents.parquet").collect()}
     assert digest(QUERIES["op7_suffix_merge"](spark, data).collect()) == repeats(docs)
@@ -57,6 +114,7 @@ def test_repeat_edges(edge, none):
     assert S.remove_repeats(none).count() == 0
     with_rest = S.remove_repeats(edge, keep=["doc_id", "source"])
     assert with_rest.count() == 12 and "source" in with_rest.columns
+    assert S.remove_repeats(edge, keep=["doc_id", "doc", "kept"]).columns == ["doc_id", "doc", "n_bytes", "n_removed", "n_spans", "kept"]
 
 
 @settings(max_examples=60, deadline=None)
