@@ -37,7 +37,7 @@ BUCKETS = 1 << 17
 #: Letters of a unit with its start mark, and units of a sentence; longer words and sentences are several.
 WIDTH, SENTENCE = 24, 24
 #: Defaults of learn_toxicity: labelled texts that are fitted on, landmarks, rounds of choosing sentences.
-TRAIN_ROWS, LANDMARKS, ROUNDS = 20_000, 384, 3
+TRAIN_ROWS, LANDMARKS, ROUNDS = 20_000, 256, 3
 #: Added to the number of a sentence's words under the root, so that one odd word alone is no stronger than in a sentence.
 SHORT = 8
 #: Numbers that a text's score is made of, and the margin of a sentence that is not there.
@@ -186,45 +186,52 @@ def kernel(a: list[str], b: list[str], rarity: np.ndarray) -> float:
 
 
 def _landmark_table(marks: list[list[str]], rarity: np.ndarray) -> np.ndarray:
-    """A row of subsequence weights for each landmark."""
-    out = np.zeros((len(marks), BUCKETS), np.float32)
+    """A column of weighed subsequences for each landmark."""
+    out = np.zeros((BUCKETS, len(marks)), np.float32)
     for i, s in enumerate(marks):
         for _, columns, weights, norms in subsequences(s):
-            np.add.at(out[i], columns, weights[None, :] / norms[:, None] / np.sqrt(len(s) + SHORT))
-    out[:, 0] = 0
-    return out * rarity.astype(np.float32)
+            np.add.at(out[:, i], columns, weights[None, :] / norms[:, None] / np.sqrt(len(s) + SHORT))
+    out[0] = 0
+    out *= rarity.astype(np.float32)[:, None]
+    return out
 
 
 def _kernel_rows(some: list[list[str]], weighed: np.ndarray) -> np.ndarray:
-    """The kernel of each sentence with all landmarks, whose subsequence weights times rarity are `weighed` (a row for each subsequence)."""
-    words = sorted({w for s in some for w in s})
-    number = {w: i for i, w in enumerate(words)}
-    by_word = np.zeros((len(words), weighed.shape[1]), np.float32)
-    for part, columns, weights, norms in subsequences(words, 64):
-        by_word[part] = np.tensordot(weights, weighed[columns], axes=(0, 1)) / norms[:, None]
-    n = np.array([len(s) for s in some])
-    flat = np.array([number[w] for s in some for w in s])
-    out = np.zeros((len(some), weighed.shape[1]))
-    ends = np.cumsum(n)
-    for k in range(0, len(some), 1024):
-        a, b = (ends[k] - n[k], ends[min(k + 1024, len(some)) - 1])
-        out[k : k + 1024] = np.add.reduceat(by_word[flat[a:b]], ends[k : k + 1024] - n[k : k + 1024] - a) / np.sqrt(n[k : k + 1024] + SHORT)[:, None]
+    """The kernel of each sentence with all landmarks, whose weighed subsequences times rarity are `weighed` (a row for each subsequence)."""
+    out = np.zeros((len(some), weighed.shape[1]), np.float32)
+    for k in range(0, len(some), 2048):
+        part = some[k : k + 2048]
+        words = sorted({w for s in part for w in s})
+        number = {w: i for i, w in enumerate(words)}
+        by_word = np.zeros((len(words), weighed.shape[1]), np.float32)
+        for at, columns, weights, norms in subsequences(words, 64):
+            by_word[at] = np.tensordot(weights, weighed[columns], axes=(0, 1)) / norms[:, None]
+        n = np.array([len(s) for s in part])
+        flat = np.array([number[w] for s in part for w in s])
+        out[k : k + 2048] = np.add.reduceat(by_word[flat], np.cumsum(n) - n) / np.sqrt(n + SHORT)[:, None]
     return out
 
 
-def squared_hinge(z: np.ndarray, y: np.ndarray, weights: np.ndarray, ridge: float = 1e-3) -> tuple[np.ndarray, float]:
-    """Weights and bias of least ridge * |w|^2 + sum of weights * max(0, 1 - y(zw + b))^2, by Newton's steps."""
-    x = np.column_stack([z, np.ones(len(z))])
-    w, weights = np.zeros(x.shape[1]), weights / weights.sum()
+def squared_hinge(z: np.ndarray, y: np.ndarray, weights: np.ndarray, ridge: float = 1e-3, rows: int = 4096) -> tuple[np.ndarray, float]:
+    """Weights and bias of least ridge * |w|^2 + sum of weights * max(0, 1 - y(zw + b))^2, by Newton's steps over `rows` rows at a time."""
+    w, weights = np.zeros(z.shape[1] + 1), weights / weights.sum()
     penalty = np.append(np.full(z.shape[1], ridge), 1e-9)
-    loss = lambda v: float(penalty @ (v * v) + weights @ np.maximum(0, 1 - y * (x @ v)) ** 2)
+
+    def slack(v: np.ndarray) -> np.ndarray:
+        return np.maximum(0, 1 - y * (z @ v[:-1].astype(z.dtype) + v[-1]))
+
+    def loss(v: np.ndarray) -> float:
+        return float(penalty @ (v * v) + weights @ slack(v) ** 2)
+
     for _ in range(40):
-        slack = 1 - y * (x @ w)
-        inside = slack > 0
-        xi, wi = x[inside], weights[inside]
-        gradient = 2 * penalty * w - 2 * xi.T @ (wi * y[inside] * slack[inside])
-        step = np.linalg.solve(2 * (xi.T * wi) @ xi + np.diag(2 * penalty + 1e-9), gradient)
-        before, size = loss(w), 1.0
+        left = slack(w)
+        gradient, curve = 2 * penalty * w, np.diag(2 * penalty + 1e-9)
+        for k in range(0, len(z), rows):
+            inside = k + np.flatnonzero(left[k : k + rows])
+            x = np.column_stack([z[inside], np.ones(len(inside))]).astype(float)
+            gradient -= 2 * x.T @ (weights[inside] * y[inside] * left[inside])
+            curve += 2 * (x.T * weights[inside]) @ x
+        step, before, size = np.linalg.solve(curve, gradient), loss(w), 1.0
         while loss(w - size * step) > before and size > 1e-4:
             size /= 2
         w = w - size * step
@@ -239,12 +246,12 @@ def fit_machine(toxic: list[list[str]], clean: list[list[str]], rarity: np.ndarr
     half = landmarks // 2
     some = [toxic[i] for i in rng.permutation(len(toxic))[:half]]
     some += [clean[i] for i in rng.permutation(len(clean))[: landmarks - len(some)]]
-    marks = _landmark_table(some, rarity)
-    values, vectors = np.linalg.eigh((marks @ marks.T).astype(float))
+    weighed = _landmark_table(some, rarity)
+    values, vectors = np.linalg.eigh((weighed.T @ weighed).astype(float))
     fit = values > 1e-4 * values.max()
     root = vectors[:, fit] / np.sqrt(values[fit])
-    weighed = np.ascontiguousarray((marks * rarity.astype(np.float32)).T)
-    z = _kernel_rows(toxic + clean, weighed) @ root
+    weighed *= rarity.astype(np.float32)[:, None]
+    z = _kernel_rows(toxic + clean, weighed) @ root.astype(np.float32)
     y = np.concatenate([np.ones(len(toxic)), -np.ones(len(clean))])
     weights = np.where(y > 0, 0.5 / len(toxic), 0.5 / len(clean))
     w, bias = squared_hinge(z, y, weights)
@@ -289,7 +296,8 @@ def _choose_task(model: ToxicityModel):
                     rows += [(y, parts[i]) for k, i in enumerate(worst) if not k or margins[i] > 0]
                     if y <= 0.5:
                         rows.append((y, parts[sum(map(len, parts[0])) % len(parts)]))
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.float64()), pa.array([r[1] for r in rows], pa.list_(pa.string()))], names=["y", "sentence"])
+            # units hold no blanks
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.float64()), pa.array([" ".join(r[1]) for r in rows], pa.string())], names=["y", "sentence"])
 
     return task
 
@@ -336,19 +344,19 @@ def learn_toxicity(labelled: DataFrame, *, text_col: str = "text", label_col: st
     if not bad or bad == n:
         return ToxicityModel(np.zeros(BUCKETS, np.float32), 0.0, np.append(np.zeros(EVIDENCE), np.log((bad + 0.5) / (n - bad + 0.5)) if n else -4.0))
     counts = np.zeros((2, BUCKETS))
-    for r in known.mapInArrow(_presence_task, "bucket long, clean long, toxic long").groupBy("bucket").agg(F.sum("clean"), F.sum("toxic")).collect():
-        counts[:, r[0]] = r[1], r[2]
+    seen = known.mapInArrow(_presence_task, "bucket long, clean long, toxic long").groupBy("bucket").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).toPandas()
+    counts[:, seen["bucket"]] = seen["clean"], seen["toxic"]
     rarity = np.log((n - bad + 2.0) / (counts[0] + 1.0))
     odds = np.log((counts[1] + 1) / (bad + 2)) - np.log((counts[0] + 1) / (n - bad + 2))
     sure = odds / np.sqrt(1 / (counts[1] + 1) + 1 / (counts[0] + 1))
     model = ToxicityModel((rarity * np.where(sure > 3, odds, 0)).astype(np.float32), 0.0, np.zeros(EVIDENCE + 1))
     for _ in range(rounds):
-        chosen = known.mapInArrow(_choose_task(model), "y double, sentence array<string>").toPandas()
-        parts = [[list(s) for s in chosen["sentence"][rows]] for rows in (chosen["y"] > 0.5, chosen["y"] <= 0.5)]
+        chosen = known.mapInArrow(_choose_task(model), "y double, sentence string").toPandas()
+        # in one order whatever the tasks' order was
+        parts = [[s.split(" ") for s in sorted(chosen["sentence"][rows])] for rows in (chosen["y"] > 0.5, chosen["y"] <= 0.5)]
         if not all(parts):
             break
-        # in one order whatever the tasks' order was
-        model = ToxicityModel(*fit_machine(*map(sorted, parts), rarity, landmarks=landmarks), np.zeros(EVIDENCE + 1))
+        model = ToxicityModel(*fit_machine(*parts, rarity, landmarks=landmarks), np.zeros(EVIDENCE + 1))
     got = sorted((*r["evidence"], float(r["y"] > 0.5)) for r in known.mapInArrow(_evidence_task(model), "evidence array<double>, y double").collect())
     return ToxicityModel(model.table, model.bias, _logistic(np.array(got)[:, :-1], np.array(got)[:, -1]))
 
