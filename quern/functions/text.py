@@ -113,3 +113,10 @@ def block_key(c: Column) -> Column:
 def edit_distance(a: Column, b: Column) -> Column:
     """Levenshtein distance over the longer length: 0 for equal, 1 if one is empty."""
     return F.when(a == b, 0.0).otherwise(F.levenshtein(a, b) / F.greatest(F.length(a), F.length(b)))
+
+
+def model_slug(prefix: str, model_id: Column, most: int = 48) -> Column:
+    """A name for a model's tables: what can stand in a name, and the start of a hash of the whole id."""
+    slug = F.lower(F.regexp_replace(F.regexp_replace(model_id, "[^A-Za-z0-9_.-]+", "_"), r"^[._-]+|[._-]+$", ""))
+    slug = F.when(slug == "", "model").otherwise(F.substring(slug, 1, most))
+    return F.concat(F.lit(prefix + "_"), slug, F.lit("_"), F.substring(F.sha2(model_id, 256), 1, 12))

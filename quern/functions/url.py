@@ -106,3 +106,19 @@ def normal_listing(url: Column) -> Column:
     kind = youtube_kind(url)
     bare = path(url).rlike("^/+(@[^/]+|(channel|c|user)/+[^/]+)/*$")
     return F.when(kind == "playlist", F.concat(F.lit("https://www.youtube.com/playlist?list="), _param(query(url), "list"))).when((kind == "channel") & bare, F.concat(F.regexp_replace(url, "/+$", ""), F.lit("/videos"))).otherwise(url)
+
+
+#: Fixed value: what a query must look like to be taken for a domain.
+BARE_DOMAIN = r"^[a-z0-9]([a-z0-9-]*[a-z0-9])?(\.[a-z0-9-]+)+$"
+
+
+def is_bare_domain(text: Column) -> Column:
+    return F.lower(F.trim(text)).rlike(BARE_DOMAIN)
+
+
+def normal_domain(text: Column) -> Column:
+    """The host of a domain or URL that a user gives, lower case, without www. and a last dot; null if it has no dot."""
+    t = F.lower(F.trim(text))
+    rest = F.when(F.contains(t, F.lit("://")), F.regexp_replace(t, r"^.*?://", "")).otherwise(t)
+    found = F.regexp_replace(F.regexp_extract(rest, r"^(?:[^/?#@]*@)?([^/?#:]*)", 1), r"^www\.|\.+$", "")
+    return F.when(F.contains(found, F.lit(".")), found)

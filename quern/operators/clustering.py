@@ -45,9 +45,10 @@ def class_tfidf(docs: DataFrame, top: int = 10) -> DataFrame:
     words = docs.select("cluster_id", F.explode(keyword_tokens(F.col("text"))).alias("term"))
     tf = words.groupBy("cluster_id", "term").agg(F.count("*").alias("tf"))
     total = tf.groupBy("cluster_id").agg(F.sum("tf").alias("n"))
-    mean = total.agg((F.sum("n") / F.count("*")).alias("a"))
+    # the mean is over all clusters, those without a keyword too
+    mean = total.agg(F.sum("n").alias("a")).crossJoin(docs.agg(F.count_distinct("cluster_id").alias("c"))).select((F.col("a") / F.col("c")).alias("a"))
     ft = tf.groupBy("term").agg(F.sum("tf").alias("f"))
-    score = F.round(F.col("tf") / F.col("n") * F.log(1 + F.col("a") / F.col("f")), 9)
+    score = F.col("tf") / F.col("n") * F.log(1 + F.col("a") / F.col("f"))
     scored = tf.join(ft, "term").join(total, "cluster_id").crossJoin(mean).select("cluster_id", "term", score.alias("score"))
     # the best of each of 32 parts first, so that no cluster's whole vocabulary meets in one sort
     part = F.pmod(F.xxhash64("term"), F.lit(32)).alias("part")

@@ -40,6 +40,20 @@ def _block_task(id_type: pa.DataType, rows: int):
     return task
 
 
+def _best(scores: np.ndarray, ids: np.ndarray, exact, limit: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places and scores of the best `limit` by (score, least id); exact(places) scores a few again, equal rows equally.
+
+    A matrix product may give equal rows scores that differ in their last digits, so those near the last place are all scored again.
+    """
+    some = np.arange(len(scores))
+    if len(scores) > limit:
+        last = np.partition(scores, len(scores) - limit)[len(scores) - limit]
+        some = np.flatnonzero(scores >= last - 1e-9 * max(1.0, abs(last)))
+    again = exact(some)
+    order = np.lexsort((ids[some], -again))[:limit]
+    return some[order], again[order]
+
+
 def _match_task(limit: int):
     def task(batches):
         for b in batches:
@@ -49,44 +63,124 @@ def _match_task(limit: int):
                 scores, ids = q @ c.T, np.array(r["ids"])
                 out = ([], [], [])
                 for k, qid in enumerate(r["q_ids"]):
-                    s = np.round(scores[k], 9)
-                    best = np.lexsort((ids, -s))[:limit]
-                    out[0].extend([qid] * len(best))
-                    out[1].extend(ids[best].tolist())
-                    out[2].extend(scores[k][best].tolist())
+                    at, found = _best(scores[k], ids, lambda some, v=q[k]: (c[some] * v).sum(axis=1), limit)
+                    out[0].extend([qid] * len(at))
+                    out[1].extend(ids[at].tolist())
+                    out[2].extend(found.tolist())
                 yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64())], names=["query_id", "chunk_id", "score"])
 
     return task
 
 
-def dense_topk(queries: DataFrame, vectors: DataFrame, limit: int, *, block: int = 2048) -> DataFrame:
+def dense_topk(queries: DataFrame, vectors: DataFrame, limit: int, *, block: int = 2048, most_bytes: int = 256 << 20) -> DataFrame:
     """query_id, chunk_id, score (cosine), rank: exact nearest vectors of each query.
 
     Both sides become blocks of vectors; each block of queries meets each block of the corpus in one matrix product, of
     which the best `limit` a query go on. What is shuffled is limit rows a query and block, however many vectors there are.
+    Queries of most_bytes or less, by their count, go to every task; more are dealt to the corpus's blocks by a shuffle.
     """
     blocks = lambda df, id_col: df.select(F.col(id_col).cast("long"), "vector").mapInArrow(_block_task(pa.int64(), block), "ids array<long>, matrix binary")
+    size = queries.agg(F.coalesce(F.sum(8 * F.size("vector")), F.lit(0))).first()[0]
     asked = blocks(queries, "query_id").select(F.col("ids").alias("q_ids"), F.col("matrix").alias("q_matrix"))
-    pairs = blocks(vectors, "chunk_id").crossJoin(asked)
+    pairs = blocks(vectors, "chunk_id").crossJoin(F.broadcast(asked) if size <= most_bytes else asked)
     found = pairs.mapInArrow(_match_task(limit), "query_id long, chunk_id long, score double")
-    return ranked(found.withColumn("score", F.round("score", 9)), ["query_id"], "score", "chunk_id", limit)
+    return ranked(found, ["query_id"], "score", "chunk_id", limit)
+
+
+def _count_task(number: dict[str, int]):
+    """(chunk_id, dl, terms, tfs): a text's length and its counts of the numbered words."""
+
+    def task(batches):
+        for b in batches:
+            lengths, terms, tfs = [], [], []
+            for tokens in b.column(1).to_pylist():
+                own: dict[int, int] = {}
+                for w in tokens or ():
+                    t = number.get(w)
+                    if t is not None:
+                        own[t] = own.get(t, 0) + 1
+                lengths.append(len(tokens or ()))
+                terms.append(list(own))
+                tfs.append(list(own.values()))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(lengths, pa.int64()), pa.array(terms, pa.list_(pa.int32())), pa.array(tfs, pa.list_(pa.int64()))], names=["chunk_id", "dl", "terms", "tfs"])
+
+    return task
 
 
-def bm25_topk(queries: DataFrame, docs: DataFrame, limit: int, *, k1: float = K1, b: float = B) -> DataFrame:
-    """query_id, chunk_id, score, rank by BM25: queries (query_id, text), docs (chunk_id, text).
+def _bm25_task(queries: list[tuple[int, list[int]]], idf: np.ndarray, avg_dl: float, limit: int, k1: float, b: float, cells: int):
+    """The best `limit` texts of each batch for each query (id, its numbered words in order)."""
+    blocks = [queries[i : i + 256] for i in range(0, len(queries), 256)]
 
-    Only words that some query has leave the scan; lengths and counts are taken over all documents.
+    def task(batches):
+        for batch in batches:
+            ids = batch.column(0).to_pylist()
+            dl = batch.column(1).to_numpy(zero_copy_only=False)
+            sizes = np.array([len(t) for t in batch.column(2).to_pylist()], np.int64)
+            terms, tf = (batch.column(c).flatten().to_numpy(zero_copy_only=False) for c in (2, 3))
+            own = np.repeat(np.arange(len(ids)), sizes)
+            weights = idf[terms] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl[own] / avg_dl))
+            out = ([], [], [])
+            for block in blocks:
+                used = np.unique(np.concatenate([np.array(t, np.int64) for _, t in block]))
+                column = np.full(len(idf), -1)
+                column[used] = np.arange(len(used))
+                asked = np.zeros((len(used), len(block)))
+                for j, (_, t) in enumerate(block):
+                    asked[column[t], j] = 1
+                rows = max(1, cells // max(1, len(used)))
+                for first in range(0, len(ids), rows):
+                    mine = (own >= first) & (own < first + rows) & (column[terms] >= 0)
+                    w = np.zeros((min(rows, len(ids) - first), len(used)))
+                    w[own[mine] - first, column[terms[mine]]] = weights[mine]
+                    scores, here = w @ asked, np.array(ids[first : first + rows])
+                    for j, (qid, t) in enumerate(block):
+                        some = np.flatnonzero(scores[:, j] > 0)
+                        at, found = _best(scores[some, j], here[some], lambda k, some=some, t=t: w[some[k]][:, column[t]].sum(axis=1), limit)
+                        out[0].extend([qid] * len(at))
+                        out[1].extend(here[some[at]].tolist())
+                        out[2].extend(found.tolist())
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64())], names=["query_id", "chunk_id", "score"])
+
+    return task
+
+
+def bm25_topk(queries: DataFrame, docs: DataFrame, limit: int, *, save, k1: float = K1, b: float = B, most_terms: int = 500_000, cells: int = 8_000_000) -> DataFrame:
+    """query_id, chunk_id, score, rank by BM25: queries (query_id, text), docs (chunk_id, text); ids are whole numbers.
+
+    Lengths and counts are taken over all documents. Queries of most_terms words in all go to every task: a text is then
+    read once for its counts of their words (a table that `save` writes), and scored for all of them where it is, so that
+    the best `limit` a query and batch are all that is shuffled. More queries meet the texts in a join on the word.
     """
-    terms = queries.select("query_id", F.explode(F.array_distinct(word_tokens(F.col("text")))).alias("term"))
-    tokens = docs.select("chunk_id", word_tokens(F.col("text")).alias("tokens")).withColumn("dl", F.size("tokens"))
+    terms = queries.select(F.col("query_id").cast("long").alias("query_id"), F.explode(F.array_distinct(word_tokens(F.col("text")))).alias("term"))
+    tokens = docs.select(F.col("chunk_id").cast("long").alias("chunk_id"), word_tokens(F.col("text")).alias("tokens"))
+    if terms.count() > most_terms:
+        return _bm25_by_join(terms, tokens, limit, k1, b)
+    by_query: dict[int, list[str]] = {}
+    for r in terms.collect():
+        by_query.setdefault(r["query_id"], []).append(r["term"])
+    number = {w: i for i, w in enumerate(sorted({w for t in by_query.values() for w in t}))}
+    counts = save(tokens.mapInArrow(_count_task(number), "chunk_id long, dl long, terms array<int>, tfs array<long>"))
+    n, avg_dl = counts.agg(F.count("*"), F.coalesce(F.avg("dl"), F.lit(0.0))).first()
+    idf = np.zeros(len(number))
+    for r in counts.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df")).collect():
+        idf[r["term"]] = np.log(1 + (n - r["df"] + 0.5) / (r["df"] + 0.5))
+    asked = [(q, sorted(number[w] for w in t)) for q, t in sorted(by_query.items())]
+    found = counts.where(F.size("terms") > 0).mapInArrow(_bm25_task(asked, idf, avg_dl, limit, k1, b, cells), "query_id long, chunk_id long, score double")
+    return ranked(found, ["query_id"], "score", "chunk_id", limit)
+
+
+def _bm25_by_join(terms: DataFrame, tokens: DataFrame, limit: int, k1: float, b: float) -> DataFrame:
+    """The same for any number of queries."""
+    tokens = tokens.withColumn("dl", F.size("tokens"))
     totals = tokens.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avg_dl"))
     wanted = terms.select("term").distinct()
     tf = tokens.select("chunk_id", "dl", F.explode("tokens").alias("term")).join(wanted, "term", "left_semi").groupBy("chunk_id", "dl", "term").agg(F.count("*").alias("tf"))
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     idf = df.crossJoin(totals).select("term", "avg_dl", F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
     weighed = tf.join(idf, "term").select("chunk_id", "term", (F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avg_dl")))).alias("w"))
-    scored = terms.join(weighed, "term").groupBy("query_id", "chunk_id").agg(F.round(F.sum("w"), 6).alias("score"))
-    return ranked(scored, ["query_id"], "score", "chunk_id", limit)
+    # summed in the words' order, so that equal texts have equal scores
+    parts = terms.join(weighed, "term").groupBy("query_id", "chunk_id").agg(F.array_sort(F.collect_list(F.struct("term", "w"))).alias("x"))
+    return ranked(parts.select("query_id", "chunk_id", F.aggregate("x", F.lit(0.0), lambda s, x: s + x["w"]).alias("score")), ["query_id"], "score", "chunk_id", limit)
 
 
 def phrase_match(queries: DataFrame, docs: DataFrame) -> DataFrame:
@@ -111,7 +205,7 @@ def rrf_fuse(arms: list[DataFrame], k: int = RRF_K, limit: int | None = None) ->
     both = arms[0].select("query_id", "chunk_id", "rank")
     for arm in arms[1:]:
         both = both.unionByName(arm.select("query_id", "chunk_id", "rank"))
-    scored = both.groupBy("query_id", "chunk_id").agg(F.round(F.sum(F.lit(1.0) / (k + F.col("rank"))), 9).alias("score"))
+    scored = both.groupBy("query_id", "chunk_id").agg(F.sum(F.lit(1.0) / (k + F.col("rank"))).alias("score"))
     return ranked(scored, ["query_id"], "score", "chunk_id", limit)
 
 
@@ -129,16 +223,18 @@ def rollup(chunks: DataFrame, how: str = "max", m: int = 3) -> DataFrame:
     effective = F.coalesce("rerank", "fusion") if "rerank" in chunks.columns else F.col("fusion")
     c = chunks.withColumn("effective", effective)
     keys = ["query_id", "page_id"]
+    # a page's candidates are few; sums run from the greatest, so that equal pages have equal scores
+    total = lambda x: F.aggregate(x, F.lit(0.0), lambda s, v: s + v)
     if how == "max":
         pages = c.groupBy(*keys).agg(F.max("effective").alias("score"))
     elif how == "mean_top_m":
-        # a hair more than the mean, so that halves of the last kept digit round up everywhere
-        pages = ranked(c, keys, "effective", "chunk_id", m).groupBy(*keys).agg((F.avg("effective") + 1e-12).alias("score"))
+        best = c.groupBy(*keys).agg(F.slice(F.sort_array(F.collect_list("effective"), asc=False), 1, m).alias("x"))
+        pages = best.select(*keys, (total(F.col("x")) / F.size("x")).alias("score"))
     elif how == "sum_rrf":
-        pages = c.groupBy(*keys).agg(F.sum("fusion").alias("score"))
+        pages = c.groupBy(*keys).agg(F.sort_array(F.collect_list("fusion"), asc=False).alias("x")).select(*keys, total(F.col("x")).alias("score"))
     else:
         raise ValueError(f"no rollup named {how}")
-    return ranked(pages.withColumn("score", F.round("score", 9)), ["query_id"], "score", "page_id")
+    return ranked(pages, ["query_id"], "score", "page_id")
 
 
 def recency_decay(scores: DataFrame, seen: DataFrame, now: Column, half_life_days: float) -> DataFrame:
@@ -146,7 +242,7 @@ def recency_decay(scores: DataFrame, seen: DataFrame, now: Column, half_life_day
     days = F.greatest(F.timestamp_diff("SECOND", F.col("first_seen_at"), now), F.lit(0)) / 86400.0
     aged = scores.drop("rank").join(seen.select("page_id", "first_seen_at"), "page_id", "left")
     decayed = F.when(F.col("first_seen_at").isNull(), F.col("score")).otherwise(F.col("score") * F.pow(F.lit(0.5), days / half_life_days))
-    return ranked(aged.withColumn("score", F.round(decayed, 9)).drop("first_seen_at"), ["query_id"], "score", "page_id")
+    return ranked(aged.withColumn("score", decayed).drop("first_seen_at"), ["query_id"], "score", "page_id")
 
 
 def pinned(scores: DataFrame, pins: DataFrame) -> DataFrame:

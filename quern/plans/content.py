@@ -11,6 +11,7 @@ from quern.functions.vector import pooled
 from quern.operators import clustering as C
 from quern.operators import similarity as S
 from quern.sources import captions as P
+from quern.plans.retrieval import shown, shown_twin
 from quern.sources import model as M
 from quern.sources.store import saved
 from quern.streaming import flows as W
@@ -199,6 +200,7 @@ def stream_sessions(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (url_canonicalize, domain_extract, youtube_classify, html_titles, content_hash_dups, fixed_chunks, chunk_ids, job_keys, purge_keys, chunk_stats, backfill_keyset, gazetteer_mentions, consecutive_dedup_offsets, section_spans, repeated_lines, ctfidf_keywords, cluster_labels, vector_similarity, cluster_similarity, cluster_centroids, cluster_jaccard_matrix, cluster_lineage, hdbscan_params, idle_threshold, kmeans_clusters, pca_projection, density_clusters, stream_ingest_dedup, stream_tumbling_metrics, stream_job_latest_state, stream_sessions)}
+QUERIES |= {n: shown(n, QUERIES[n], 6) for n in ("vector_similarity", "cluster_similarity")} | {"ctfidf_keywords": shown("ctfidf_keywords", ctfidf_keywords)}
 QUERIES |= {"page_vector_mean": page_vector_mean, "page_vector_max": page_vector_max}
 
 _CHUNKS = "c_ AS (SELECT doc_id AS page_id, row_number() OVER (PARTITION BY doc_id ORDER BY s) - 1 AS ordinal, s AS char_start, least(s + 400, n) AS char_end, c AS text FROM (SELECT doc_id, s, len(text) AS n, substr(text, s + 1, 400) AS c FROM (SELECT doc_id, text, unnest(range(0, len(text), 400)) AS s FROM documents)) WHERE regexp_matches(c, '\\S'))"
@@ -207,7 +209,7 @@ FROM (SELECT *, lag(text) OVER (PARTITION BY conv_id ORDER BY pos) AS before FRO
 _STOPS = ", ".join(f"'{w}'" for w in X.STOP_WORDS)
 _KEYWORDS = f"""w_ AS (SELECT lang AS cluster_id, unnest(regexp_extract_all(lower(text), '[a-z][a-z0-9''-]{{2,}}')) AS term FROM documents), t_ AS (SELECT cluster_id, term, count(*) AS tf FROM w_ WHERE term NOT IN ({_STOPS}) GROUP BY 1, 2),
 n_ AS (SELECT cluster_id, sum(tf) AS n FROM t_ GROUP BY 1), f_ AS (SELECT term, sum(tf) AS f FROM t_ GROUP BY 1),
-k_ AS (SELECT cluster_id, term, round(tf / n * ln(1 + (SELECT sum(n) / count(*) FROM n_) / f), 9) AS score FROM t_ JOIN n_ USING (cluster_id) JOIN f_ USING (term)),
+k_ AS (SELECT cluster_id, term, tf / n * ln(1 + (SELECT sum(n) FROM n_) / (SELECT count(DISTINCT lang) FROM documents) / f) AS score FROM t_ JOIN n_ USING (cluster_id) JOIN f_ USING (term)),
 kw AS (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY score DESC, term) AS rank FROM k_ QUALIFY rank <= 10)"""
 _YT = """y AS (SELECT page_id, page_id % 6 AS m, url, 'vid' || lpad(page_id::VARCHAR, 8, '0') AS vid FROM pages)"""
 
@@ -239,11 +241,11 @@ SELECT * FROM (SELECT conv_id, lpad(pos::VARCHAR, 4, '0') AS title, char_start,
     "repeated_lines": """WITH l AS (SELECT doc_id, source AS domain, list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '') AS x FROM documents),
 e AS (SELECT DISTINCT domain, doc_id, trim(unnest(list_concat(x[1:3], list_reverse(x)[1:3]))) AS line FROM l), t AS (SELECT source AS domain, count(DISTINCT doc_id) AS p FROM documents GROUP BY 1)
 SELECT domain, line, count(DISTINCT doc_id) AS n_pages FROM e JOIN t USING (domain) GROUP BY 1, 2, p HAVING n_pages >= greatest(2, ceil(0.01 * p))""",
-    "ctfidf_keywords": f"WITH {_KEYWORDS} SELECT * FROM kw",
+    "ctfidf_keywords": shown_twin(f"WITH {_KEYWORDS} SELECT * FROM kw"),
     "cluster_labels": f"WITH {_KEYWORDS} SELECT cluster_id, string_agg(term, ', ' ORDER BY rank) AS label FROM kw WHERE rank <= 5 GROUP BY 1",
-    "vector_similarity": """WITH p AS (SELECT a.vec_id AS query_id, b.vec_id AS page_id, round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) / (sqrt(list_dot_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[])) * sqrt(list_dot_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[]))), 6) AS score FROM embeddings a, embeddings b WHERE a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id)
+    "vector_similarity": """WITH p AS (SELECT a.vec_id AS query_id, b.vec_id AS page_id, list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) / (sqrt(list_dot_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[])) * sqrt(list_dot_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[]))) AS score FROM embeddings a, embeddings b WHERE a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id)
 SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, page_id) AS rank FROM p QUALIFY rank <= 10""",
-    "cluster_similarity": """WITH p AS (SELECT a.vec_id AS query_id, b.vec_id AS page_id, round(CASE WHEN a.vec_id % 3 <> 0 AND b.vec_id % 3 <> 0 THEN list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) ELSE 1.0 END, 6) AS score FROM embeddings a JOIN embeddings b USING (label) WHERE a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id)
+    "cluster_similarity": """WITH p AS (SELECT a.vec_id AS query_id, b.vec_id AS page_id, CASE WHEN a.vec_id % 3 <> 0 AND b.vec_id % 3 <> 0 THEN list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) ELSE 1.0 END AS score FROM embeddings a JOIN embeddings b USING (label) WHERE a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id)
 SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, page_id) AS rank FROM p QUALIFY rank <= 10""",
     "page_vector_mean": _pooled("page_id", "vec_id // 4", "avg"),
     "page_vector_max": _pooled("page_id", "vec_id // 4", "max"),
@@ -257,3 +259,4 @@ SELECT a AS old_id, b::BIGINT AS new_id, count(*) AS "both", round(count(*) / ((
     "stream_job_latest_state": "SELECT user_id AS job_id, arg_max(event_type, (ts, event_id)) AS status, count(*) AS transitions FROM events GROUP BY 1",
     "stream_sessions": "SELECT user_id, min(ts) AS start, count(*) AS n FROM (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 12 HOURS THEN 0 ELSE 1 END AS new FROM events)) GROUP BY user_id, s",
 }
+ORACLES |= {n: shown_twin(ORACLES[n], 6) for n in ("vector_similarity", "cluster_similarity")}

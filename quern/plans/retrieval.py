@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 
 from quern.operators import retrieval as R
 from quern.sources import model as M
+from quern.sources.store import saved
 
 NOW = "2024-03-01 00:00:00"
 
 _DENSE = """
 dq AS (SELECT vec_id AS query_id, embedding AS v FROM embeddings WHERE vec_id % 50 = 0),
-dn AS (SELECT query_id, vec_id AS chunk_id, round(list_dot_product(v::DOUBLE[], embedding::DOUBLE[]) / (sqrt(list_dot_product(v::DOUBLE[], v::DOUBLE[])) * sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]))), 9) AS score FROM dq, embeddings),
+dn AS (SELECT query_id, vec_id AS chunk_id, list_dot_product(v::DOUBLE[], embedding::DOUBLE[]) / (sqrt(list_dot_product(v::DOUBLE[], v::DOUBLE[])) * sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]))) AS score FROM dq, embeddings),
 dense AS (SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM dn)"""
 _BM25 = """
 bq AS (SELECT DISTINCT item_id AS query_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM benchmark),
@@ -20,11 +21,11 @@ bt AS (SELECT doc_id AS chunk_id, regexp_extract_all(lower(text), '[a-z0-9]+') A
 bn AS (SELECT count(*) AS n_docs, avg(len(tokens)) AS avg_dl FROM bt),
 bf AS (SELECT chunk_id, dl, term, count(*) AS tf FROM (SELECT chunk_id, len(tokens) AS dl, unnest(tokens) AS term FROM bt) WHERE term IN (SELECT term FROM bq) GROUP BY ALL),
 bd AS (SELECT term, ln(1 + (n_docs - df + 0.5) / (df + 0.5)) AS idf, avg_dl FROM (SELECT term, count(*) AS df FROM bf GROUP BY 1), bn),
-bs AS (SELECT query_id, chunk_id, round(sum(idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avg_dl))), 6) AS score FROM bf JOIN bd USING (term) JOIN bq USING (term) GROUP BY 1, 2),
+bs AS (SELECT query_id, chunk_id, sum(idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avg_dl)) ORDER BY term) AS score FROM bf JOIN bd USING (term) JOIN bq USING (term) GROUP BY 1, 2),
 sparse AS (SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM bs)"""
 _FUSED = """
 arms AS (SELECT query_id // 50 AS query_id, chunk_id, rank FROM dense WHERE rank <= 50 UNION ALL SELECT query_id, chunk_id, rank FROM sparse WHERE rank <= 50),
-fs AS (SELECT query_id, chunk_id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score FROM arms GROUP BY 1, 2),
+fs AS (SELECT query_id, chunk_id, sum(1.0::DOUBLE / (60 + rank)) AS score FROM arms GROUP BY 1, 2),
 fused AS (SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM fs)"""
 
 
@@ -37,7 +38,7 @@ def _bench(spark, d):
 
 
 def _sparse(spark, d, limit=50):
-    return R.bm25_topk(_bench(spark, d), M.table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), "text"), limit)
+    return R.bm25_topk(_bench(spark, d), M.table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), "text"), limit, save=saved(spark))
 
 
 def _fused(spark, d):
@@ -145,14 +146,31 @@ def batch_search_log(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("query_id", "n", F.array_join(F.transform("x", lambda r: F.concat_ws(":", r["rank"], r["page_id"])), ",").alias("final_pages"))
 
 
-QUERIES = {f.__name__: f for f in (dense_topk, dense_topk_filtered, bm25_topk, phrase_match, rrf_fuse, rollup_max, rollup_mean_top_m, rollup_sum_rrf, rerank_overlap, recency_decay, hybrid_search, exact_match_pin, pagination_slice, page_filter_halfopen, entity_cluster_filter_intersection, hydrate_latest_cluster, batch_search_log)}
+def shown(name, query, digits: int = 9):
+    """A query whose scores are rounded for the comparison with its twin, after all ranking."""
+
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        out = query(spark, d)
+        return out.withColumn("score", F.round("score", digits)) if "score" in out.columns else out
+
+    run.__name__, run.__doc__ = name, query.__doc__
+    return run
+
+
+def shown_twin(sql: str, digits: int = 9) -> str:
+    return f"SELECT * REPLACE (round(score, {digits}) AS score) FROM ({sql})"
+
+
+_QUERIES = (dense_topk, dense_topk_filtered, bm25_topk, phrase_match, rrf_fuse, rollup_max, rollup_mean_top_m, rollup_sum_rrf, rerank_overlap, recency_decay, hybrid_search, exact_match_pin, pagination_slice, page_filter_halfopen, entity_cluster_filter_intersection, hydrate_latest_cluster, batch_search_log)
+QUERIES = {f.__name__: shown(f.__name__, f) for f in _QUERIES}
+
 
 _PAGES = """
 pages_ AS (SELECT doc_id AS page_id, source AS domain, text AS body_text, TIMESTAMP '2024-01-01' + to_hours(doc_id::BIGINT) AS first_seen_at, CASE WHEN doc_id % 10 = 9 THEN 'queued' ELSE 'indexed' END AS status FROM documents)"""
 _ALL = f"WITH {_DENSE}, {_BM25}, {_FUSED}, {_PAGES}, chunks_ AS (SELECT query_id, chunk_id, chunk_id // 4 AS page_id, score AS fusion FROM fused)"
 _RANKED = "SELECT query_id, page_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, page_id) AS rank FROM"
-_MAX = f", maxed AS ({_RANKED} (SELECT query_id, page_id, round(max(fusion), 9) AS score FROM chunks_ GROUP BY 1, 2))"
-_DECAY = f"round(CASE WHEN first_seen_at IS NULL THEN score ELSE score * pow(0.5, greatest(date_diff('second', first_seen_at, TIMESTAMP '{NOW}'), 0) / 86400.0 / 30) END, 9) AS score"
+_MAX = f", maxed AS ({_RANKED} (SELECT query_id, page_id, max(fusion) AS score FROM chunks_ GROUP BY 1, 2))"
+_DECAY = f"CASE WHEN first_seen_at IS NULL THEN score ELSE score * pow(0.5, greatest(date_diff('second', first_seen_at, TIMESTAMP '{NOW}'), 0) / 86400.0 / 30) END AS score"
 
 ORACLES = {
     "dense_topk": f"WITH {_DENSE} SELECT * FROM dense WHERE rank <= 10",
@@ -163,10 +181,10 @@ d AS (SELECT doc_id AS chunk_id, ' ' || array_to_string(regexp_extract_all(lower
 SELECT query_id, chunk_id FROM q, d WHERE contains(body, phrase)""",
     "rrf_fuse": f"WITH {_DENSE}, {_BM25}, {_FUSED} SELECT * FROM fused",
     "rollup_max": f"{_ALL} {_MAX} SELECT * FROM maxed",
-    "rollup_mean_top_m": f"{_ALL} {_RANKED} (SELECT query_id, page_id, round(avg(fusion) + 1e-12, 9) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id, page_id ORDER BY fusion DESC, chunk_id) AS r FROM chunks_) WHERE r <= 3 GROUP BY 1, 2)",
-    "rollup_sum_rrf": f"{_ALL} {_RANKED} (SELECT query_id, page_id, round(sum(fusion), 9) AS score FROM chunks_ GROUP BY 1, 2)",
+    "rollup_mean_top_m": f"{_ALL} {_RANKED} (SELECT query_id, page_id, list_sum(list_slice(list(fusion ORDER BY fusion DESC), 1, 3)) / least(count(*), 3) AS score FROM chunks_ GROUP BY 1, 2)",
+    "rollup_sum_rrf": f"{_ALL} {_RANKED} (SELECT query_id, page_id, sum(fusion ORDER BY fusion DESC) AS score FROM chunks_ GROUP BY 1, 2)",
     "rerank_overlap": rf"""{_ALL}, w AS (SELECT query_id, chunk_id, page_id, list_distinct(regexp_split_to_array(lower(trim(b.text)), '\s+')) AS q, list_distinct(regexp_split_to_array(lower(trim(d.text)), '\s+')) AS t FROM chunks_ JOIN benchmark b ON item_id = query_id JOIN documents d ON doc_id = chunk_id)
-{_RANKED} (SELECT query_id, page_id, round(max(len(list_intersect(q, t)) / greatest(len(q), 1)), 9) AS score FROM w GROUP BY 1, 2)""",
+{_RANKED} (SELECT query_id, page_id, max(len(list_intersect(q, t)) / greatest(len(q), 1)) AS score FROM w GROUP BY 1, 2)""",
     "recency_decay": f"{_ALL} {_MAX} {_RANKED} (SELECT query_id, page_id, {_DECAY} FROM maxed LEFT JOIN pages_ USING (page_id))",
     "hybrid_search": f"""{_ALL} {_MAX}, aged AS ({_RANKED} (SELECT query_id, page_id, {_DECAY} FROM maxed JOIN pages_ USING (page_id) WHERE status = 'indexed'))
 SELECT *, count(*) OVER (PARTITION BY query_id) > 10 AS has_more FROM aged QUALIFY rank <= 10""",
@@ -181,3 +199,5 @@ b AS (SELECT * FROM m WHERE cluster_id < 7 AND cluster_id IN (SELECT label FROM
 SELECT page_id, domain, cluster_id, probability FROM pages_ LEFT JOIN b USING (page_id) WHERE status = 'indexed'""",
     "batch_search_log": f"{_ALL} {_MAX} SELECT query_id, count(*) AS n, string_agg(rank || ':' || page_id, ',' ORDER BY rank) AS final_pages FROM maxed WHERE rank <= 10 GROUP BY 1",
 }
+_UNSCORED = {"phrase_match", "page_filter_halfopen", "entity_cluster_filter_intersection", "hydrate_latest_cluster", "batch_search_log"}
+ORACLES = {name: sql if name in _UNSCORED else shown_twin(sql) for name, sql in ORACLES.items()}
