@@ -185,10 +185,11 @@ def kernel(a: list[str], b: list[str], rarity: np.ndarray) -> float:
     return float(features(a) @ features(b))
 
 
-def _landmark_table(marks: list[list[str]], rarity: np.ndarray) -> np.ndarray:
+def _landmark_table(marks: list, rarity: np.ndarray) -> np.ndarray:
     """A column of weighed subsequences for each landmark."""
     out = np.zeros((BUCKETS, len(marks)), np.float32)
     for i, s in enumerate(marks):
+        s = s.split(" ") if isinstance(s, str) else s
         for _, columns, weights, norms in subsequences(s):
             np.add.at(out[:, i], columns, weights[None, :] / norms[:, None] / np.sqrt(len(s) + SHORT))
     out[0] = 0
@@ -196,11 +197,11 @@ def _landmark_table(marks: list[list[str]], rarity: np.ndarray) -> np.ndarray:
     return out
 
 
-def _kernel_rows(some: list[list[str]], weighed: np.ndarray) -> np.ndarray:
-    """The kernel of each sentence with all landmarks, whose weighed subsequences times rarity are `weighed` (a row for each subsequence)."""
+def _kernel_rows(some: list, weighed: np.ndarray) -> np.ndarray:
+    """The kernel of each sentence (units, or these joined by blanks) with all landmarks, whose weighed subsequences times rarity are `weighed` (a row for each subsequence)."""
     out = np.zeros((len(some), weighed.shape[1]), np.float32)
     for k in range(0, len(some), 2048):
-        part = some[k : k + 2048]
+        part = [s.split(" ") if isinstance(s, str) else s for s in some[k : k + 2048]]
         words = sorted({w for s in part for w in s})
         number = {w: i for i, w in enumerate(words)}
         by_word = np.zeros((len(words), weighed.shape[1]), np.float32)
@@ -240,8 +241,8 @@ def squared_hinge(z: np.ndarray, y: np.ndarray, weights: np.ndarray, ridge: floa
     return w[:-1], float(w[-1])
 
 
-def fit_machine(toxic: list[list[str]], clean: list[list[str]], rarity: np.ndarray, *, landmarks: int = LANDMARKS, seed: int = 5) -> tuple[np.ndarray, float]:
-    """table and bias of a linear machine on the Nystrom map of labelled sentences."""
+def fit_machine(toxic: list, clean: list, rarity: np.ndarray, *, landmarks: int = LANDMARKS, seed: int = 5) -> tuple[np.ndarray, float]:
+    """table and bias of a linear machine on the Nystrom map of labelled sentences, which are lists of units or these joined by blanks."""
     rng = np.random.default_rng(seed)
     half = landmarks // 2
     some = [toxic[i] for i in rng.permutation(len(toxic))[:half]]
@@ -353,7 +354,7 @@ def learn_toxicity(labelled: DataFrame, *, text_col: str = "text", label_col: st
     for _ in range(rounds):
         chosen = known.mapInArrow(_choose_task(model), "y double, sentence string").toPandas()
         # in one order whatever the tasks' order was
-        parts = [[s.split(" ") for s in sorted(chosen["sentence"][rows])] for rows in (chosen["y"] > 0.5, chosen["y"] <= 0.5)]
+        parts = [sorted(chosen["sentence"][rows]) for rows in (chosen["y"] > 0.5, chosen["y"] <= 0.5)]
         if not all(parts):
             break
         model = ToxicityModel(*fit_machine(*parts, rarity, landmarks=landmarks), np.zeros(EVIDENCE + 1))
