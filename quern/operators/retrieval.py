@@ -144,17 +144,18 @@ def _bm25_task(queries: list[tuple[int, list[int]]], idf: np.ndarray, avg_dl: fl
     return task
 
 
-def bm25_topk(queries: DataFrame, docs: DataFrame, limit: int, *, save, k1: float = K1, b: float = B, most_terms: int = 500_000, cells: int = 8_000_000) -> DataFrame:
+def bm25_topk(queries: DataFrame, docs: DataFrame, limit: int, *, save, among: DataFrame | None = None, k1: float = K1, b: float = B, most_terms: int = 500_000, cells: int = 8_000_000) -> DataFrame:
     """query_id, chunk_id, score, rank by BM25: queries (query_id, text), docs (chunk_id, text); ids are whole numbers.
 
     Lengths and counts are taken over all documents. Queries of most_terms words in all go to every task: a text is then
     read once for its counts of their words (a table that `save` writes), and scored for all of them where it is, so that
     the best `limit` a query and batch are all that is shuffled. More queries meet the texts in a join on the word.
+    among: the (chunk_id) that may be found; lengths and counts are over all texts even so.
     """
     terms = queries.select(F.col("query_id").cast("long").alias("query_id"), F.explode(F.array_distinct(word_tokens(F.col("text")))).alias("term"))
     tokens = docs.select(F.col("chunk_id").cast("long").alias("chunk_id"), word_tokens(F.col("text")).alias("tokens"))
     if terms.count() > most_terms:
-        return _bm25_by_join(terms, tokens, limit, k1, b)
+        return _bm25_by_join(terms, tokens, limit, k1, b, among)
     by_query: dict[int, list[str]] = {}
     for r in terms.collect():
         by_query.setdefault(r["query_id"], []).append(r["term"])
@@ -165,11 +166,12 @@ def bm25_topk(queries: DataFrame, docs: DataFrame, limit: int, *, save, k1: floa
     for r in counts.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df")).collect():
         idf[r["term"]] = np.log(1 + (n - r["df"] + 0.5) / (r["df"] + 0.5))
     asked = [(q, sorted(number[w] for w in t)) for q, t in sorted(by_query.items())]
-    found = counts.where(F.size("terms") > 0).mapInArrow(_bm25_task(asked, idf, avg_dl, limit, k1, b, cells), "query_id long, chunk_id long, score double")
+    some = counts if among is None else counts.join(among, "chunk_id", "left_semi")
+    found = some.where(F.size("terms") > 0).mapInArrow(_bm25_task(asked, idf, avg_dl, limit, k1, b, cells), "query_id long, chunk_id long, score double")
     return ranked(found, ["query_id"], "score", "chunk_id", limit)
 
 
-def _bm25_by_join(terms: DataFrame, tokens: DataFrame, limit: int, k1: float, b: float) -> DataFrame:
+def _bm25_by_join(terms: DataFrame, tokens: DataFrame, limit: int, k1: float, b: float, among: DataFrame | None) -> DataFrame:
     """The same for any number of queries."""
     tokens = tokens.withColumn("dl", F.size("tokens"))
     totals = tokens.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avg_dl"))
@@ -178,6 +180,7 @@ def _bm25_by_join(terms: DataFrame, tokens: DataFrame, limit: int, k1: float, b:
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     idf = df.crossJoin(totals).select("term", "avg_dl", F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
     weighed = tf.join(idf, "term").select("chunk_id", "term", (F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avg_dl")))).alias("w"))
+    weighed = weighed if among is None else weighed.join(among, "chunk_id", "left_semi")
     # summed in the words' order, so that equal texts have equal scores
     parts = terms.join(weighed, "term").groupBy("query_id", "chunk_id").agg(F.array_sort(F.collect_list(F.struct("term", "w"))).alias("x"))
     return ranked(parts.select("query_id", "chunk_id", F.aggregate("x", F.lit(0.0), lambda s, x: s + x["w"]).alias("score")), ["query_id"], "score", "chunk_id", limit)
