@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.llm.common import bounded_batches
+from quern.llm.common import bounded_batches, packed_rows, unpacked_rows
 
 PROFILE = 400
 _tables: list[np.ndarray] = []
@@ -129,12 +129,11 @@ def _window(*by):
     return Window.partitionBy(*by).orderBy(F.desc("n"), "code")
 
 
-def _predict_task(profiles: Profiles, names: list[str]):
+def _predict_task(profiles: Profiles):
     def task(batches):
         for b in batches:
             found = [profiles.predict(t) for t in b.column("_text").to_pylist()]
-            rest = [c for c, f in zip(b.columns, b.schema) if f.name != "_text"]
-            yield pa.RecordBatch.from_arrays([*rest, pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], names=names)
+            yield pa.RecordBatch.from_arrays([b.column("_keep"), pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], names=["_keep", "lang_pred", "score"])
 
     return task
 
@@ -143,13 +142,12 @@ def predict_language(docs: DataFrame, profiles: Profiles, *, text_col: str = "te
     """keep (default doc_id), lang_pred and score: 1 for the same ranks, 0 for nothing in common.
 
     `und` with score 0 for null, for texts without a letter, and if no language has been learned; ties go to the first
-    name; repeated rows are predicted alike.
+    name; repeated rows are predicted alike; a kept column with a result's name gives way to it. Combining marks are no
+    letters here and end a word, in training as in prediction.
     """
-    bounded_batches(docs.sparkSession)
-    rows = docs.select(*(keep or ["doc_id"]), F.col(text_col).alias("_text"))
-    kept = [f for f in rows.schema if f.name != "_text"]
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), "lang_pred string", "score double"])
-    return rows.mapInArrow(_predict_task(profiles, [*(f.name for f in kept), "lang_pred", "score"]), schema)
+    rows = packed_rows(docs, keep, text_col)
+    found = rows.mapInArrow(_predict_task(profiles), f"_keep {rows.schema['_keep'].dataType.simpleString()}, lang_pred string, score double")
+    return unpacked_rows(found, "lang_pred", "score")
 
 
 def held_out(modulus: int, remainder: int):

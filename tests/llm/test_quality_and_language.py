@@ -1,3 +1,4 @@
+import math
 import re
 from collections import Counter
 
@@ -52,6 +53,50 @@ def test_edges(edge, none):
     assert all(r.nearest_lang is None and r.kept == (not r.base_failed) for r in unknown)
 
 
+def plain_distance(a, b):
+    """Jensen-Shannon distance of two dictionaries of counts, written out."""
+    na, nb, out = sum(a.values()), sum(b.values()), 0.0
+    for k in a.keys() | b.keys():
+        p, q = a.get(k, 0) / na, b.get(k, 0) / nb
+        out += sum(x * math.log2(2 * x / (p + q)) for x in (p, q) if x) / 2
+    return math.sqrt(max(0.0, out))
+
+
+def test_verdicts_match_a_plain_version(spark, data):
+    docs = spark.read.parquet(f"{data}/documents.parquet").collect()
+    words = lambda t: re.findall(r"[a-z0-9\u0080-\U0010ffff]+", "".join(c.lower() if c.isascii() else c for c in t))
+    by_words, by_class = {}, {}
+    for r in docs:
+        if r.text is not None and r.lang is not None:
+            by_words.setdefault(r.lang, Counter()).update(words(r.text))
+            by_class.setdefault(r.lang, Counter()).update(map(Q.class_of, r.text))
+    common = {w for c in by_words.values() for w, n in c.items() if n >= 0.001 * c.total()}
+    # a language's own common words count apart, all its others are one bin
+    own = {lang: {w for w, n in c.items() if n >= 0.001 * c.total()} for lang, c in by_words.items()}
+    refs = {lang: Counter({w: c[w] for w in own[lang]}) + Counter({None: c.total() - sum(c[w] for w in own[lang])}) for lang, c in by_words.items()}
+    got = {r.doc_id: r for r in QUERIES["op1_quality_divergence"](spark, data).collect()}
+    for r in docs:
+        g = got[r.doc_id]
+        if not g.n_words:
+            continue
+        mine = Counter(w if w in common else None for w in words(r.text))
+        far = {lang: plain_distance(mine, refs[lang]) if mine else None for lang in refs}
+        if not mine:
+            continue
+        nearest = min(sorted(far), key=far.get)
+        shape = plain_distance(Counter(map(Q.class_of, r.text)), by_class[nearest])
+        assert abs(g.word_distance - far[nearest]) < 1e-6 and far[g.nearest_lang] - far[nearest] < 1e-9
+        odd = g.word_chars >= 300 and shape > 0.25 or g.n_words >= 80 and far[nearest] > 0.75 or g.word_chars >= 300 and g.n_words >= 80 and shape > 0.14 and far[nearest] > 0.38
+        assert abs(g.class_distance - shape) < 1e-6 and g.kept == (not g.base_failed and not odd)
+
+
+def test_classes_follow_the_unicode_category():
+    got = {c: Q.class_of(c) for c in "aÄ日ाी5٣ \n.-#🙂─\x00€"}
+    assert got == {"a": "lower", "Ä": "upper", "日": "letter", "ा": "letter", "ी": "letter", "5": "digit", "٣": "digit", " ": "blank", "\n": "line", ".": "stop", "-": "mark", "#": "symbol", "🙂": "sign", "─": "sign", "\x00": "control", "€": "sign"}
+    text = "Für 日本 🙂🙂 ab\n"
+    assert dict(zip(Q.CLASSES, Q.class_counts(text.encode(), Q._byte_counts(text.encode())))) == {k: sum(Q.class_of(c) == k for c in text) for k in Q.CLASSES}
+
+
 def test_distance_is_bounded_and_symmetric():
     p, q = np.array([0.5, 0.5, 0.0]), np.array([0.0, 0.0, 1.0])
     assert Q.js_distance(p, q[None])[0] == pytest.approx(1) and Q.js_distance(p, p[None])[0] == 0
@@ -92,6 +137,26 @@ def test_held_out_accuracy_and_no_peeking(spark, data):
     assert all(0 <= x.score <= 1 for x in r)
 
 
+def test_predictions_match_a_plain_loop(spark, data):
+    docs = spark.read.parquet(f"{data}/documents.parquet").orderBy("doc_id").collect()[:60]
+    profiles = L.learn_profiles(spark.createDataFrame([(r.text, r.lang) for r in docs[:40]], "text string, lang string"), size=80)
+    order = {lang: {c: k for k, c in enumerate(profiles.codes[np.argsort(np.where(row[:-1] < 0, 10**6, row[:-1]), kind="stable")][: (row >= 0).sum()].tolist())} for lang, row in zip(profiles.langs, profiles.ranks)}
+    for r in docs[40:]:
+        codes, counts = L.counted(L.ngrams(r.text or ""))
+        own = [c for _, c in sorted((-n, c) for c, n in zip(codes.tolist(), counts.tolist()))][:80]
+        far = {lang: sum(abs(ranks[c] - i) if c in ranks else 80 for i, c in enumerate(own)) for lang, ranks in order.items()}
+        got, score = profiles.predict(r.text)
+        assert got == (min(sorted(far), key=far.get) if own else "und")
+        assert not own or abs(score - (1 - far[got] / (80 * len(own)))) < 1e-9
+
+
+def test_kept_names_give_way(edge):
+    assert L.language_predictions(edge).columns == ["doc_id", "held_out", "lang_pred", "score"]
+    nothing = L.learn_profiles(edge.where("false"))
+    assert L.predict_language(edge, nothing, keep=["doc_id", "_text", "score"]).columns == ["doc_id", "_text", "lang_pred", "score"]
+    assert Q.quality_rules(edge, keep=["doc_id", "n_words", "kept", "host"]).columns[:2] == ["doc_id", "host"]
+
+
 def test_language_edges(edge, none):
     got = {(r.doc_id, r.score == 0): r.lang_pred for r in L.language_predictions(edge).collect()}
     assert got[(2, True)] == got[(3, True)] == got[(4, True)] == "und"

@@ -212,3 +212,20 @@ def test_pipeline_stages_against_plain_code(spark, data):
             assert not [d for d, r in after.items() if base_spans(r.text)]
             assert all((after[d].text == before[d].text) == (not all_spans(before[d].text)) for d in after)
             assert all(r.n_chars == len(r.text) for r in after.values())
+
+
+def test_stages_on_rows_of_all_kinds(spark, data, edge, none):
+    """Nulls, empty, long and repeated rows, clashing columns, missing columns and empty tables go through each stage."""
+    kept = {}
+    for name, stage in corpus_pipeline.STAGES:
+        for docs in (edge, none, edge.select("doc_id", "text")):
+            got = stage(spark, docs, data)
+            if name != "packing":
+                assert got.columns == docs.columns
+            kept[name, len(docs.columns), docs is none] = got.collect()
+    wide = len(edge.columns)
+    assert {r.doc_id for r in kept["quality_rules", wide, False]} <= {7} and [r.doc_id for r in kept["quality_rules", 2, False]] == [7]
+    assert len(kept["near_duplicates", wide, False]) == 9 and len(kept["decontamination", wide, False]) == 12
+    assert len(kept["secrets", wide, False]) == 12 and "[SECRET]" in [r.text for r in kept["secrets", 2, False] if r.doc_id is None][0]
+    assert sum(r.piece == 0 for r in kept["packing", wide, False]) == 12
+    assert not any(rows for (_, _, empty), rows in kept.items() if empty)
