@@ -20,29 +20,35 @@ from quern.llm.secrets import redact_secrets
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), "text", "lang")
-    return quality_rules(rows, keep=["_row"]).where("kept").select("_row.*")
+    """Documents that the quality rules keep, as they are; null, empty and short texts go.
+
+    Without a column lang no language can be learned, and the base rules alone judge.
+    """
+    lang = "lang" if "lang" in docs.columns else None
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), "text", *([lang] if lang else []))
+    return quality_rules(rows, keep=["_row"], lang_col=lang).where("kept").select("_row.*")
 
 
 def duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near duplicates."""
+    """One document of each class of near duplicates, that of the least id; texts without words are alone, rows that repeat id and text are one."""
     return one_of_each(docs)
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the benchmark doesn't contaminate."""
+    """Documents that the benchmark doesn't contaminate, as they are; those without words are clean."""
     return decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with secrets masked and n_chars counted anew."""
+    """All documents, with secrets masked and n_chars, where it is there and known, counted anew."""
     masked = redact_secrets(docs)
-    return masked.withColumn("n_chars", F.when(F.col("n_chars").isNotNull(), F.length("text").cast("long"))).select(*docs.columns)
+    if "n_chars" in docs.columns:
+        masked = masked.withColumn("n_chars", F.when(F.col("n_chars").isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType)))
+    return masked.select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document's pieces with their places in sequences of 2048 tokens."""
+    """Every document's pieces with their places in sequences of 2048 tokens; null and empty texts give the end id."""
     return pack(docs)
 
 
