@@ -2,17 +2,24 @@
 
 from __future__ import annotations
 
+import functools
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Words that are no keywords.
 STOP_WORDS = (
-    "a about above after again all also am an and any are as at be because been before being below between both but by can "
-    "did do does doing down during each few for from further had has have having he her here hers him his how i if in into "
-    "is it its itself just me more most my no nor not now of off on once only or other our ours out over own same she should "
-    "so some such than that the their theirs them then there these they this those through to too under until up very was we "
-    "were what when where which while who whom why will with you your yours"
-).split()
+    "a", "about", "above", "after", "again", "all", "also", "am", "an", "and", "any", "are", "as", "at", "be",
+    "because", "been", "before", "being", "below", "between", "both", "but", "by", "can", "did", "do", "does", "doing",
+    "down", "during", "each", "few", "for", "from", "further", "had", "has", "have", "having", "he", "her", "here",
+    "hers", "him", "his", "how", "i", "if", "in", "into", "is", "it", "its", "itself", "just", "me", "more", "most",
+    "my", "no", "nor", "not", "now", "of", "off", "on", "once", "only", "or", "other", "our", "ours", "out", "over",
+    "own", "same", "she", "should", "so", "some", "such", "than", "that", "the", "their", "theirs", "them", "then",
+    "there", "these", "they", "this", "those", "through", "to", "too", "under", "until", "up", "very", "was", "we",
+    "were", "what", "when", "where", "which", "while", "who", "whom", "why", "will", "with", "you", "your", "yours",
+)
 
 
 def word_tokens(c: Column) -> Column:
@@ -22,7 +29,7 @@ def word_tokens(c: Column) -> Column:
 
 def keyword_tokens(c: Column) -> Column:
     """Candidates for keywords: three characters or more, from a letter on, no stop words."""
-    return F.filter(F.regexp_extract_all(F.lower(c), F.lit("([a-z][a-z0-9'-]{2,})"), 1), lambda w: ~w.isin(STOP_WORDS))
+    return F.filter(F.regexp_extract_all(F.lower(c), F.lit("([a-z][a-z0-9'-]{2,})"), 1), lambda w: ~w.isin(list(STOP_WORDS)))
 
 
 def fixed_chunks(pages: DataFrame, width: int, *, id_col: str = "page_id", text_col: str = "body_text") -> DataFrame:
@@ -81,18 +88,29 @@ def purge_key(ids: Column) -> Column:
     return job_key("purge", F.substring(F.sha2(F.array_join(F.array_sort(ids), ","), 256), 1, 16))
 
 
+@functools.cache
+def _folds(accents: bool):
+    """Arrow functions for what has no built-in: full case folding, and with it compatibility forms without accents."""
+
+    @F.pandas_udf("string")
+    def folded(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: None if t is None else t.casefold())
+
+    @F.pandas_udf("string")
+    def bare(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: None if t is None else "".join(x for x in unicodedata.normalize("NFKD", t.casefold()) if not unicodedata.combining(x)))
+
+    return bare if accents else folded
+
+
 def query_norm(c: Column) -> Column:
-    return F.lower(F.trim(F.regexp_replace(c, r"\s+", " ")))
+    """Runs of blanks as one, none at the ends, case folded."""
+    return _folds(False)(F.trim(F.regexp_replace(c, r"(?U)\s+", " ")))
 
 
 def surface_norm(c: Column) -> Column:
-    """Normal form of an entity's name: lower case, signs to blanks, the last word singular by rule.
-
-    Accents are dropped for Latin letters by the fixed table below; full compatibility folding has no built-in function.
-    """
-    plain = F.translate(F.lower(c), "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy")
-    spaced = F.trim(F.regexp_replace(plain, r"[^\p{L}\p{N}]+", " "))
-    return singular_last(spaced)
+    """Normal form of an entity's name: case folded, compatibility forms without accents, signs to blanks, the last word singular by rule."""
+    return singular_last(F.trim(F.regexp_replace(_folds(True)(c), r"[^\p{L}\p{N}]+", " ")))
 
 
 def singular_last(c: Column) -> Column:

@@ -34,7 +34,8 @@ def query(url: Column) -> Column:
 
 
 def _decoded(c: Column) -> Column:
-    return F.coalesce(F.try_url_decode(c), F.regexp_replace(c, r"\+", " "))
+    """Each valid %XX decoded, others as they are, and plus signs as blanks."""
+    return F.try_url_decode(F.regexp_replace(c, "%(?![0-9A-Fa-f]{2})", "%25"))
 
 
 def _encoded(c: Column) -> Column:

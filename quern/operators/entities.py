@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -100,30 +98,56 @@ def entity_similarity(mentions: DataFrame, weights: DataFrame, queries: DataFram
     return shared.join(total, "page_id").select("query_id", "page_id", F.round(F.coalesce(F.try_divide("shared", "total"), F.lit(0.0)), 6).alias("score"))
 
 
-def link_greedily(surfaces: DataFrame, threshold: float = 0.15) -> DataFrame:
-    """(block_key, form, linked): forms in the order (first_seen, form); each joins the first earlier form within the edit distance, or is new.
+def link_to_known(forms: DataFrame, entities: DataFrame, *, edit: float = 0.15, cosine: DataFrame | None = None, least: float = 0.85) -> DataFrame:
+    """(type, form, entity_id) for forms (type, block_key, form) that known entities (type, block_key, entity_id, form) are near.
+
+    An equal form first; else the first entity of the block within the edit distance; else the one of the greatest
+    cosine of `least` or more, for pairs (type, form, other, cosine) that are given. A form that none is near is left out.
+    """
+    key = ["type", "block_key"]
+    f = forms.select(*key, "form").distinct()
+    pairs = f.join(entities.select(*key, "entity_id", F.col("form").alias("other")), key)
+    near = edit_distance(F.col("form"), F.col("other"))
+    scored = pairs.withColumn("cosine", F.lit(None).cast("double")) if cosine is None else pairs.join(cosine, ["type", "form", "other"], "left")
+    arm = F.when(F.col("form") == F.col("other"), 0).when(near <= edit, 1).when(F.col("cosine") >= least, 2)
+    order = Window.partitionBy("type", "form").orderBy("arm", F.when(F.col("arm") == 2, -F.col("cosine")).otherwise(0.0), "entity_id")
+    return scored.withColumn("arm", arm).where("arm IS NOT NULL").withColumn("_r", F.row_number().over(order)).where("_r = 1").select("type", "form", "entity_id")
+
+
+def undoable(merges: DataFrame) -> DataFrame:
+    """(merge_id, undoable) of merges (merge_id, source, target, merged_at, undone_at): not undone, and no later merge that stands touches the target."""
+    standing = merges.where("undone_at IS NULL")
+    touched = standing.select(F.explode(F.array("source", "target")).alias("target"), F.col("merged_at").alias("later"))
+    last = touched.groupBy("target").agg(F.max("later").alias("last"))
+    return merges.join(last, "target", "left").select("merge_id", (F.col("undone_at").isNull() & (F.col("last") <= F.col("merged_at"))).alias("undoable"))
+
 
-    Blocks are split by a name's first word and are small; each is one group.
+def link_greedily(surfaces: DataFrame, save, threshold: float = 0.15) -> DataFrame:
+    """(block_key, form, linked): forms in the order (first_seen, form); each joins the first earlier form within the edit distance that is no link itself, or is new.
+
+    The order is kept by rounds: a form whose earlier near forms are all links is new, one that has a new one among them is
+    a link. Near forms come from a join on the block and on lengths, so no block is one task's.
     """
-    import pandas as pd
-
-    def distance(a: str, b: str) -> float:
-        row = list(range(len(b) + 1))
-        for i, x in enumerate(a, 1):
-            last, row = row, [i]
-            for j, y in enumerate(b, 1):
-                row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
-        return row[-1] / max(len(a), len(b), 1)
-
-    def link(pdf: pd.DataFrame) -> pd.DataFrame:
-        kept, out = [], []
-        for form in pdf.sort_values(["first_seen", "form"])["form"].drop_duplicates():
-            hit = next((k for k in kept if distance(form, k) <= threshold), None)
-            if hit is None:
-                kept.append(form)
-            out.append((pdf["block_key"].iloc[0], form, hit or form))
-        return pd.DataFrame(out, columns=["block_key", "form", "linked"])
-
-    if not 0 <= threshold < 1 or math.isnan(threshold):
+    if not 0 <= threshold < 1:
         raise ValueError("the threshold is a share below 1")
-    return surfaces.groupBy("block_key").applyInPandas(link, "block_key string, form string, linked string")
+    first = surfaces.groupBy("block_key", "form").agg(F.min("first_seen").alias("at")).withColumn("n", F.length("form"))
+    e = save(first)
+    widest = F.floor(F.col("n") / (1 - threshold) + 1e-9).cast("int")
+    one = e.select("block_key", F.struct("at", "form").alias("x"), F.explode(F.sequence("n", widest)).alias("m"))
+    other = e.select("block_key", F.struct("at", "form").alias("y"), F.col("n").alias("m"))
+    near = one.join(other, ["block_key", "m"]).where((F.col("x") != F.col("y")) & (edit_distance(F.col("x.form"), F.col("y.form")) <= threshold))
+    edges = save(near.select("block_key", F.least("x", "y").alias("before"), F.greatest("x", "y").alias("after")).distinct())
+    left = save(e.select("block_key", F.struct("at", "form").alias("node")))
+    new = None
+    while not left.isEmpty():
+        # earlier near forms that may still turn out new, or are new
+        open_ = edges.join(left.withColumnRenamed("node", "before"), ["block_key", "before"], "left_semi").select("block_key", F.col("after").alias("node")).distinct()
+        linked = None if new is None else edges.join(new.withColumnRenamed("node", "before"), ["block_key", "before"], "left_semi").select("block_key", F.col("after").alias("node")).distinct()
+        free = left if linked is None else left.join(linked, ["block_key", "node"], "left_anti")
+        now = save(free.join(open_, ["block_key", "node"], "left_anti"))
+        new = now if new is None else save(new.unionByName(now))
+        done = edges.join(new.withColumnRenamed("node", "before"), ["block_key", "before"], "left_semi").select("block_key", F.col("after").alias("node")).distinct()
+        left = save(left.join(now, ["block_key", "node"], "left_anti").join(done, ["block_key", "node"], "left_anti"))
+    heads = edges if new is None else edges.join(new.withColumnRenamed("node", "before"), ["block_key", "before"], "left_semi")
+    best = heads.groupBy("block_key", F.col("after.form").alias("form")).agg(F.min("before").alias("b"))
+    return e.select("block_key", "form").join(best, ["block_key", "form"], "left").select("block_key", "form", F.coalesce("b.form", "form").alias("linked"))

@@ -147,13 +147,13 @@ def _bm25_task(queries: list[tuple[int, list[int]]], idf: np.ndarray, avg_dl: fl
 def bm25_topk(queries: DataFrame, docs: DataFrame, limit: int, *, save, among: DataFrame | None = None, k1: float = K1, b: float = B, most_terms: int = 500_000, cells: int = 8_000_000) -> DataFrame:
     """query_id, chunk_id, score, rank by BM25: queries (query_id, text), docs (chunk_id, text); ids are whole numbers.
 
-    Lengths and counts are taken over all documents. Queries of most_terms words in all go to every task: a text is then
+    Lengths and counts are taken over all documents; null counts as empty. Queries of most_terms words in all go to every task: a text is then
     read once for its counts of their words (a table that `save` writes), and scored for all of them where it is, so that
     the best `limit` a query and batch are all that is shuffled. More queries meet the texts in a join on the word.
     among: the (chunk_id) that may be found; lengths and counts are over all texts even so.
     """
     terms = queries.select(F.col("query_id").cast("long").alias("query_id"), F.explode(F.array_distinct(word_tokens(F.col("text")))).alias("term"))
-    tokens = docs.select(F.col("chunk_id").cast("long").alias("chunk_id"), word_tokens(F.col("text")).alias("tokens"))
+    tokens = docs.select(F.col("chunk_id").cast("long").alias("chunk_id"), word_tokens(F.coalesce("text", F.lit(""))).alias("tokens"))
     if terms.count() > most_terms:
         return _bm25_by_join(terms, tokens, limit, k1, b, among)
     by_query: dict[int, list[str]] = {}

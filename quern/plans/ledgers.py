@@ -267,10 +267,23 @@ def entity_similarity(spark: SparkSession, d: str) -> DataFrame:
 def entity_links(spark: SparkSession, d: str) -> DataFrame:
     """Part names linked in order of their first key."""
     s = _aliases(spark, d).groupBy("block_key", "form").agg(F.min("p_partkey").alias("first_seen"))
-    return E.link_greedily(s, 0.4)
+    return E.link_greedily(s, saved(spark), 0.4)
 
 
-QUERIES = {f.__name__: f for f in (compare_agreement_jaccard, compare_kendall_tau, compare_rbo, eval_ndcg_mrr_recall, eval_rerank_lift, eval_model_report, golden_set, latest_feedback_wins, latency_quantiles, metric_gauge_downsample, metric_counter_delta, job_counts_by_status, latest_job_per_page, expired_leases, due_watches, missing_extraction_antijoin, blacklist_match, ingest_batch, outcome_tally, forget_domain, tombstone_sweep, revisit_fold, breaker_states, entity_blocks_dups, entity_pair_edit_distance, entity_components, entity_merge_counts, canonical_form_mode, entity_idf, entity_similarity, entity_links)}
+def link_known_forms(spark: SparkSession, d: str) -> DataFrame:
+    """Part names linked to the entities of every tenth of them."""
+    a = _aliases(spark, d).select("type", "block_key", "form", F.col("p_partkey").alias("entity_id"))
+    return E.link_to_known(a, a.where("entity_id % 10 = 1"), edit=0.4)
+
+
+def undoable_merges(spark: SparkSession, d: str) -> DataFrame:
+    """Events as merges of users."""
+    i = F.col("event_id")
+    m = M.events(spark, d).select(i.alias("merge_id"), F.col("user_id").alias("source"), ((F.col("user_id") * 7 + i) % 150).alias("target"), F.col("ts").alias("merged_at"), F.when(i % 4 != 0, F.col("ts")).alias("undone_at"))
+    return E.undoable(m)
+
+
+QUERIES = {f.__name__: f for f in (compare_agreement_jaccard, compare_kendall_tau, compare_rbo, eval_ndcg_mrr_recall, eval_rerank_lift, eval_model_report, golden_set, latest_feedback_wins, latency_quantiles, metric_gauge_downsample, metric_counter_delta, job_counts_by_status, latest_job_per_page, expired_leases, due_watches, missing_extraction_antijoin, blacklist_match, ingest_batch, outcome_tally, forget_domain, tombstone_sweep, revisit_fold, breaker_states, entity_blocks_dups, entity_pair_edit_distance, entity_components, entity_merge_counts, canonical_form_mode, entity_idf, entity_similarity, entity_links, link_known_forms, undoable_merges)}
 
 _FINAL = f"{_ALL} {_MAX}, fin AS (SELECT query_id, page_id AS item, rank FROM maxed), rel AS (SELECT DISTINCT doc_id % 20 AS query_id, doc_id // 4 AS item FROM labels WHERE quality = 1)"
 
@@ -302,7 +315,7 @@ SELECT query_id, round(0.1 / 0.9 * (t + coalesce((SELECT sum(xs * (d - s) / (s *
 sums AS (SELECT query_id, page_id AS item, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, page_id) AS rank FROM (SELECT query_id, page_id, round(sum(fusion), 9) AS score FROM chunks_ GROUP BY 1, 2)), {_metric('sums', 'ms')}, {_metric('pool', 'mp')}
 SELECT query_id, ms.ndcg AS final_ndcg, mp.ndcg AS pool_ndcg, round(ms.ndcg - mp.ndcg, 6) AS lift FROM ms JOIN mp USING (query_id)""",
     "eval_model_report": f"{_FINAL}, {_metric('fin', 'mt')} SELECT CASE WHEN query_id % 2 = 0 THEN 'even' ELSE 'odd' END AS model, count(*) AS n, round(avg(ndcg), 5) AS ndcg, round(avg(rr), 5) AS mrr, round(avg(recall), 5) AS recall FROM mt GROUP BY 1",
-    "golden_set": r"""SELECT norm, arg_min(text, (conv_id, turn)) AS text, count(*) AS n, array_to_string(list_sort(list(DISTINCT conv_id)), ',') AS sources FROM (SELECT lower(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS norm, * FROM conversations WHERE role = 'user') WHERE norm <> '' GROUP BY 1""",
+    "golden_set": r"""SELECT norm, arg_min(text, (conv_id, turn)) AS text, count(*) AS n, array_to_string(list_sort(list(DISTINCT conv_id)), ',') AS sources FROM (SELECT replace(lower(trim(regexp_replace(text, '\s+', ' ', 'g'))), 'ß', 'ss') AS norm, * FROM conversations WHERE role = 'user') WHERE norm <> '' GROUP BY 1""",
     "latest_feedback_wins": "SELECT event_type AS query_id, user_id AS page_id, arg_max(value > 20, (ts, event_id)) AS relevant FROM events GROUP BY 1, 2",
     "latency_quantiles": "SELECT round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95 FROM events",
     "metric_gauge_downsample": "SELECT event_type, floor(epoch_us(ts) / 21600000000)::BIGINT AS bucket, max(ts) AS ts, arg_max(value, (ts, event_id)) AS value FROM events GROUP BY 1, 2",
@@ -333,3 +346,10 @@ s_ AS (SELECT q.page_id AS query_id, h.page_id, sum(h.w) AS shared FROM h_ q JOI
 SELECT query_id, page_id, round(coalesce(shared / nullif(total, 0), 0), 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(coalesce(shared / nullif(total, 0), 0), 6) DESC, page_id) AS rank FROM s_ JOIN (SELECT page_id, sum(w) AS total FROM h_ GROUP BY 1) USING (page_id) QUALIFY rank <= 10""",
 }
 ORACLES["outcome_tally"] = f"SELECT outcome, count(*) AS n FROM ({ORACLES['ingest_batch']}) GROUP BY 1"
+ORACLES |= {
+    "link_known_forms": f"""WITH {_ALIASES}, e AS (SELECT DISTINCT type, block_key, form FROM a_), k AS (SELECT type, block_key, form, p_partkey AS entity_id FROM a_ WHERE p_partkey % 10 = 1),
+x AS (SELECT e.type, e.form, k.entity_id, CASE WHEN e.form = k.form THEN 0 ELSE 1 END AS arm FROM e JOIN k USING (type, block_key) WHERE levenshtein(e.form, k.form) / greatest(len(e.form), len(k.form)) <= 0.4)
+SELECT type, form, entity_id FROM x QUALIFY row_number() OVER (PARTITION BY type, form ORDER BY arm, entity_id) = 1""",
+    "undoable_merges": """WITH m AS (SELECT event_id AS merge_id, user_id AS source, (user_id * 7 + event_id) % 150 AS target, ts, event_id % 4 = 0 AS standing FROM events)
+SELECT merge_id, standing AND NOT EXISTS (SELECT 1 FROM m l WHERE l.standing AND l.ts > m.ts AND (l.target = m.target OR l.source = m.target)) AS undoable FROM m""",
+}

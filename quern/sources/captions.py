@@ -88,9 +88,14 @@ def chapter_offsets(chapters: DataFrame, segments: DataFrame, by: str, *, past_e
 
 def gazetteer(docs: DataFrame, terms: list[tuple[str, str]], *, id_col: str = "page_id", text_col: str = "text") -> DataFrame:
     """id, label, surface, n: how often each (label, word) stands in a text as words of its own, whatever the case."""
-    found = [F.struct(F.lit(label).alias("label"), F.lit(word).alias("surface"), F.regexp_count(F.col(text_col), F.lit(rf"(?iU)\b{word}\b")).cast("long").alias("n")) for label, word in terms]
-    hits = F.filter(F.array(*found), lambda x: x["n"] > 0)
-    return docs.select(id_col, F.explode(hits).alias("h")).select(id_col, "h.*")
+    from quern.sources.texts import gazetteer_places
+
+    known = docs.sparkSession.createDataFrame([*terms], "label string, pattern string")
+    # places carry the text's own letters; a term is told apart by its label and folded form
+    found = gazetteer_places(docs.select(id_col, text_col), known, id_col=id_col, text_col=text_col)
+    names = known.select("label", F.lower("pattern").alias("_key"), F.col("pattern").alias("surface"))
+    counted = found.groupBy(id_col, "label", F.lower("surface").alias("_key")).agg(F.count("*").alias("n"))
+    return counted.join(F.broadcast(names), ["label", "_key"]).select(id_col, "label", "surface", "n")
 
 
 def gazetteer_file(spark, path: str) -> DataFrame:

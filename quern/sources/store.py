@@ -11,9 +11,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def work_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a folder of our own where it is unset, as in tests on one machine."""
+    """This application's folder in spark.checkpoint.dir; where that is unset, a temporary folder for a local master, as in tests, and an error on a cluster."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    return (found or "file://" + os.path.join(tempfile.gettempdir(), f"quern-{spark.sparkContext.applicationId}")).rstrip("/")
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        found = "file://" + tempfile.gettempdir()
+    return os.path.join(found.rstrip("/"), f"quern-{spark.sparkContext.applicationId}")
 
 
 def saved(spark: SparkSession) -> Callable[[DataFrame], DataFrame]:

@@ -49,13 +49,13 @@ def with_feedback(runs: DataFrame, feedback: DataFrame, within: str = "INTERVAL
 
 
 def finished(stream: DataFrame, mode: str) -> DataFrame:
-    """The result of a stream over all that its source holds: written batch by batch to the shared folder, the last word of each batch in complete mode."""
+    """The result of a stream over all that its source holds: each batch is a folder of its own in the shared one, so that a batch that is tried again is not there twice; in complete mode the last one counts."""
     spark = stream.sparkSession
     path = f"{work_dir(spark)}/stream-{uuid.uuid4().hex}"
 
     def write(df: DataFrame, epoch: int) -> None:
-        df.write.mode("overwrite" if mode == "complete" else "append").parquet(f"{path}/out")
+        df.write.mode("overwrite").parquet(f"{path}/out/batch={0 if mode == 'complete' else epoch}")
 
     q = stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{path}/out")
+    return spark.read.schema(stream.schema).parquet(f"{path}/out/batch=*")

@@ -60,8 +60,17 @@ def test_audio(one):
 
 
 def test_surface_forms(one):
-    for given, want in [("OpenAI, Inc.", "openai inc"), ("Café Zoë", "cafe zoe"), ("Transformers", "transformer"), ("neural networks", "neural network"), ("companies", "company"), ("boxes", "box"), ("glass", "glass")]:
+    for given, want in [("Harbour-Lights (UK)", "harbour lights uk"), ("Škoda Éclair", "skoda eclair"), ("STRAßE", "strasse"), ("ﬁne Ｗｏｒｄｓ", "fine word"), ("Łódź", "łodz"), ("old rivers", "old river"), ("cherries", "cherry"), ("torches", "torch"), ("moss", "moss")]:
         assert one(X.surface_norm(F.col("s")), s=given) == want
+    assert one(X.query_norm(F.col("s")), s=" Große\u00a0 \n Fragen ") == "grosse fragen"
+
+
+def test_domains_and_slugs(one):
+    for given, want in [("Example.ORG", "example.org"), ("https://user@www.a.example:80/x?y", "a.example"), (" www.b.example. ", "b.example"), ("none", None), ("c.example/path", "c.example")]:
+        assert one(U.normal_domain(F.col("s")), s=given) == want
+    assert [one(U.is_bare_domain(F.col("s")), s=x) for x in ("a-b.example", "-a.example", "two words", "a")] == [True, False, False, False]
+    assert one(X.model_slug("v", F.col("s")), s="--/Org/Name v2!").startswith("v_org_name_v2_")
+    assert one(X.model_slug("v", F.col("s")), s="???").startswith("v_model_")
 
 
 def test_edit_distance(one):

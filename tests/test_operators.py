@@ -72,12 +72,73 @@ def test_dense_matches_numpy(spark):
     assert {(r.query_id, r.rank): r.chunk_id for r in got} == {(i, k + 1): int(want[i, k]) for i in range(5) for k in range(7)}
 
 
-def test_bm25_and_phrases(spark):
-    docs = spark.createDataFrame([("c1", "zebra"), ("c2", "kumquat kumquat kumquat"), ("c3", "kumquat and some filler words here")], "chunk_id string, text string")
-    q = spark.createDataFrame([(1, "Kumquat")], "query_id int, text string")
-    assert [r.chunk_id for r in R.bm25_topk(q, docs, 5).orderBy("rank").collect()] == ["c2", "c3"]
-    p = spark.createDataFrame([("adj", "hexagonal ports and adapters"), ("rev", "ports for the hexagonal system")], "chunk_id string, text string")
-    assert [r.chunk_id for r in R.phrase_match(spark.createDataFrame([(1, "Hexagonal ports"), (2, "")], "query_id int, phrase string"), p).collect()] == ["adj"]
+def test_dense_ties_break_on_the_id(spark):
+    v = spark.createDataFrame([(i, [float(i % 3), 1.0]) for i in range(60)], "chunk_id long, vector array<double>").repartition(5)
+    q = spark.createDataFrame([(1, [2.0, 1.0])], "query_id long, vector array<double>")
+    got = R.dense_topk(q, v, 25, block=7).orderBy("rank").collect()
+    assert [r.chunk_id for r in got] == [i for i in range(60) if i % 3 == 2] + [i for i in range(60) if i % 3 == 1][:5]
+    # queries beyond the bound are dealt out by a shuffle, with the same result
+    assert R.dense_topk(q, v, 25, block=7, most_bytes=0).orderBy("rank").collect() == got
+
+
+def test_bm25_both_ways(spark):
+    docs = spark.createDataFrame([(1, "zebra"), (2, "plum plum plum"), (3, "plum and some other words here"), (5, "plum plum plum"), (4, None), (6, "")], "chunk_id long, text string").repartition(3)
+    q = spark.createDataFrame([(1, "Plum"), (2, "words, plum and zebra"), (3, "nothing"), (4, "")], "query_id long, text string")
+    one = R.bm25_topk(q, docs, 3, save=saved(spark)).orderBy("query_id", "rank").collect()
+    assert [(r.query_id, r.chunk_id) for r in one] == [(1, 2), (1, 5), (1, 3), (2, 3), (2, 1), (2, 2)]
+    joined = R.bm25_topk(q, docs, 3, save=saved(spark), most_terms=0).orderBy("query_id", "rank").collect()
+    assert [(r.query_id, r.chunk_id, round(r.score, 9)) for r in joined] == [(r.query_id, r.chunk_id, round(r.score, 9)) for r in one]
+    small = R.bm25_topk(q, docs, 3, save=saved(spark), cells=2).orderBy("query_id", "rank").collect()
+    assert [tuple(r) for r in small] == [tuple(r) for r in one]
+    among = docs.where("chunk_id > 2").select("chunk_id")
+    for most in (500_000, 0):
+        got = R.bm25_topk(q, docs, 3, save=saved(spark), among=among, most_terms=most).where("query_id = 1").orderBy("rank").collect()
+        assert [(r.chunk_id, round(r.score, 9)) for r in got] == [(c, round(next(x.score for x in one if (x.query_id, x.chunk_id) == (1, c)), 9)) for c in (5, 3)]
+
+
+def test_phrases(spark):
+    p = spark.createDataFrame([("near", "small boats and harbours"), ("far", "boats for the small harbours")], "chunk_id string, text string")
+    assert [r.chunk_id for r in R.phrase_match(spark.createDataFrame([(1, "Small boats"), (2, "")], "query_id int, phrase string"), p).collect()] == ["near"]
+
+
+def test_keywords_count_clusters_without_any(spark):
+    docs = spark.createDataFrame([(1, "harbour harbour boat"), (2, "lantern"), (3, ""), (4, "the a")], "cluster_id int, text string")
+    got = {(r.cluster_id, r.term): r.score for r in C.class_tfidf(docs).collect()}
+    assert got[1, "harbour"] == pytest.approx(2 / 3 * math.log(1 + (4 / 4) / 2)) and got[2, "lantern"] == pytest.approx(math.log(2))
+
+
+def test_greedy_links_match_a_plain_loop(spark):
+    import random
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row = row, [i]
+            for j, y in enumerate(b, 1):
+                row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+        return row[-1] / max(len(a), len(b))
+
+    rnd = random.Random(2)
+    rows = [(rnd.choice("ab"), "".join(rnd.choice("xyz") for _ in range(rnd.randint(3, 6))), i) for i in range(60)]
+    got = {(r.block_key, r.form): r.linked for r in E.link_greedily(spark.createDataFrame(rows, "block_key string, form string, first_seen long"), saved(spark), 0.3).collect()}
+    want = {}
+    for block in "ab":
+        kept = []
+        for form in dict.fromkeys(f for b, f, _ in rows if b == block):
+            hit = next((k for k in kept if distance(form, k) <= 0.3), None)
+            if hit is None:
+                kept.append(form)
+            want[block, form] = hit or form
+    assert got == want
+    with pytest.raises(ValueError):
+        E.link_greedily(spark.createDataFrame(rows, "block_key string, form string, first_seen long"), saved(spark), 1.0)
+
+
+def test_links_to_known_entities(spark):
+    forms = spark.createDataFrame([("t", "k", "k river"), ("t", "k", "k rivers"), ("t", "k", "k other name"), ("t", "k", "k alone")], "type string, block_key string, form string")
+    known = spark.createDataFrame([("t", "k", 2, "k river"), ("t", "k", 1, "k rivrs"), ("t", "k", 3, "k what it is called")], "type string, block_key string, entity_id int, form string")
+    near = spark.createDataFrame([("t", "k other name", "k what it is called", 0.9), ("t", "k alone", "k what it is called", 0.8)], "type string, form string, other string, cosine double")
+    assert {r.form: r.entity_id for r in E.link_to_known(forms, known, cosine=near).collect()} == {"k river": 2, "k rivers": 1, "k other name": 3}
 
 
 def ranking(spark, *items):
