@@ -27,7 +27,7 @@ from quern.llm.tokens import encoder, vocabulary_path
 CAPACITY = 2048
 #: Pieces that a group is meant to hold.
 GROUP = 3000
-ISLANDS, EPOCHS, GENERATIONS, POPULATION = 2, 3, 6, 6
+ISLANDS, EPOCHS, GENERATIONS, POPULATION = 2, 2, 5, 4
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
