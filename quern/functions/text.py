@@ -34,9 +34,9 @@ def keyword_tokens(c: Column) -> Column:
 
 def fixed_chunks(pages: DataFrame, width: int, *, id_col: str = "page_id", text_col: str = "body_text") -> DataFrame:
     """Windows of `width` characters: page_id, ordinal, char_start, char_end, text; windows of white space alone are left out and give no ordinal."""
-    n = F.length(text_col)
-    starts = F.when(n > 0, F.sequence(F.lit(0), n - 1, F.lit(width))).otherwise(F.array().cast("array<int>"))
-    windows = F.transform(starts, lambda s: F.struct(s.alias("char_start"), F.least(s + width, n).alias("char_end"), F.substring(F.col(text_col), s + 1, F.lit(width)).alias("text")))
+    # one pass over the text; a place asked for by number would be walked to from the start each time
+    pieces = F.regexp_extract_all(F.col(text_col), F.lit(f"(?s)(.{{1,{width}}})"), 1)
+    windows = F.transform(pieces, lambda t, i: F.struct((i * width).alias("char_start"), (i * width + F.length(t)).alias("char_end"), t.alias("text")))
     kept = F.filter(windows, lambda w: w["text"].rlike(r"\S"))
     return pages.select(id_col, F.posexplode(kept).alias("ordinal", "w")).select(id_col, "ordinal", "w.char_start", "w.char_end", "w.text")
 
