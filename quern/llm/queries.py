@@ -67,16 +67,22 @@ def op10_toxicity_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_predictions(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_exact_cuckoo(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quern.llm.cuckoo import exact_groups
+
+    return exact_groups(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_divergence, op2_pack_islands, op3_url_trees, op4_language_ranks, op5_token_files, op6_decontaminate, op7_suffix_merge, op8_secret_scan, op9_ngram_jaccard, op10_toxicity_kernel, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_quality_divergence, op2_pack_islands, op3_url_trees, op4_language_ranks, op5_token_files, op6_decontaminate, op7_suffix_merge, op8_secret_scan, op9_ngram_jaccard, op10_toxicity_kernel, op11_exact_cuckoo, pipeline)}
 
 
 def oracles() -> dict[str, str]:
-    from quern.llm import decontaminate
+    from quern.llm import cuckoo, decontaminate
 
-    return {"op6_decontaminate": decontaminate.ORACLE}
+    return {"op6_decontaminate": decontaminate.ORACLE, "op11_exact_cuckoo": cuckoo.ORACLE}
