@@ -73,13 +73,19 @@ def op11_exact_cuckoo(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op12_spelling_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quern.llm.spelling import spelling_groups
+
+    return spelling_groups(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_divergence, op2_pack_islands, op3_url_trees, op4_language_ranks, op5_token_files, op6_decontaminate, op7_suffix_merge, op8_secret_scan, op9_ngram_jaccard, op10_toxicity_kernel, op11_exact_cuckoo, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_quality_divergence, op2_pack_islands, op3_url_trees, op4_language_ranks, op5_token_files, op6_decontaminate, op7_suffix_merge, op8_secret_scan, op9_ngram_jaccard, op10_toxicity_kernel, op11_exact_cuckoo, op12_spelling_trie, pipeline)}
 
 
 def oracles() -> dict[str, str]:
