@@ -79,16 +79,22 @@ def op12_spelling_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling_groups(table(spark, sf_dir, "documents"))
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quern.llm.negatives import hard_negatives
+
+    return hard_negatives(table(spark, sf_dir, "embeddings"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_divergence, op2_pack_islands, op3_url_trees, op4_language_ranks, op5_token_files, op6_decontaminate, op7_suffix_merge, op8_secret_scan, op9_ngram_jaccard, op10_toxicity_kernel, op11_exact_cuckoo, op12_spelling_trie, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_quality_divergence, op2_pack_islands, op3_url_trees, op4_language_ranks, op5_token_files, op6_decontaminate, op7_suffix_merge, op8_secret_scan, op9_ngram_jaccard, op10_toxicity_kernel, op11_exact_cuckoo, op12_spelling_trie, op13_hard_negatives, pipeline)}
 
 
 def oracles() -> dict[str, str]:
-    from quern.llm import cuckoo, decontaminate
+    from quern.llm import cuckoo, decontaminate, negatives
 
-    return {"op6_decontaminate": decontaminate.ORACLE, "op11_exact_cuckoo": cuckoo.ORACLE}
+    return {"op6_decontaminate": decontaminate.ORACLE, "op11_exact_cuckoo": cuckoo.ORACLE, "op13_hard_negatives": negatives.ORACLE}
