@@ -74,6 +74,16 @@ class Encoder:
         self.merge = self.tokenizer.model.tokenize
         self.letters = {b: x for b, x in enumerate(byte_letters()) if b >= 128}
         self.cache: dict[bytes, bytes] = {}
+        # the library looks for these in the text as it is, before it lowers letters
+        added = sorted(t["content"].encode().lower() for t in json.loads(self.tokenizer.to_str()).get("added_tokens") or [])
+        self.added = re.compile(b"|".join(map(re.escape, added))) if added else None
+
+    def pieces(self, text: bytes) -> list[bytes]:
+        """Blank-separated pieces, A-Z lowered but in those that hold an added token in any case form."""
+        low = text.lower()
+        if self.added is None or not self.added.search(low):
+            return low.split()
+        return [piece if self.added.search(small) else small for piece in text.split() for small in (piece.lower(),)]
 
     def whole(self, pieces: list[str]) -> list[bytes]:
         """Any texts, by the library's whole chain."""
@@ -108,7 +118,7 @@ class Encoder:
                 yield from self.whole([t.decode() for t in texts[at : at + 64]])
             return
         for at in range(0, len(texts), 256):
-            pieces = [t.lower().split() for t in texts[at : at + 256]]
+            pieces = [self.pieces(t) for t in texts[at : at + 256]]
             new = set().union(*pieces).difference(cache)
             if len(cache) + len(new) > CACHE_PIECES:
                 cache.clear()

@@ -189,3 +189,21 @@ def test_islands_and_migration(spark):
         bins = P._bins(got[g])
         assert sorted(i for b in bins for i in b) == list(range(120)) and max(map(p.fill, bins)) <= 2048
         assert len(bins) < len(p.best_fit(p.longest_first(range(120)), []))
+
+
+def test_added_tokens_in_any_case_are_what_the_library_makes_of_them():
+    """Added tokens are looked for before letters are lowered: only their own form is one id."""
+    import random
+    import struct
+
+    from quern.llm.tokens import Encoder, vocabulary_path
+
+    rng = random.Random(3)
+    e = Encoder(vocabulary_path())
+    added = ["<|startoftext|>", "<|endoftext|>"]
+    forms = [f for c in added for f in (c, c.upper(), c.title(), c.swapcase(), "".join(rng.choice((x, x.upper())) for x in c))]
+    signs = ["<|", "|>", "'S", "'re", " ", "\t", "\n", " ", " ", "　", "\x1c", "\x85", "İ", "ß", "Ab", "日", "🙂", "1", "23", "!", "ﬁ", "Ω", "_", "|", "̇"]
+    some = lambda: rng.choice(forms + signs) if rng.random() < 0.7 else chr(rng.choice((rng.randrange(32, 0x250), rng.randrange(0x250, 0xD7FF), rng.randrange(0x10000, 0x1FFFF))))
+    texts = [*forms, *(f"word{f}Word" for f in forms), *(f"!{f}?" for f in forms), *("".join(some() for _ in range(rng.randrange(1, 14))) for _ in range(20_000))]
+    found = list(e.encode([t.encode() for t in texts]))
+    assert found == [struct.pack(f"<{len(x.ids)}I", *x.ids) for x in e.tokenizer.encode_batch(texts, add_special_tokens=False)]
