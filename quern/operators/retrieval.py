@@ -40,7 +40,7 @@ def _block_task(id_type: pa.DataType, rows: int):
     return task
 
 
-def _best(scores: np.ndarray, ids: np.ndarray, exact, limit: int) -> tuple[np.ndarray, np.ndarray]:
+def best_rows(scores: np.ndarray, ids: np.ndarray, exact, limit: int) -> tuple[np.ndarray, np.ndarray]:
     """Places and scores of the best `limit` by (score, least id); exact(places) scores a few again, equal rows equally.
 
     A matrix product may give equal rows scores that differ in their last digits, so those near the last place are all scored again.
@@ -63,7 +63,7 @@ def _match_task(limit: int):
                 scores, ids = q @ c.T, np.array(r["ids"])
                 out = ([], [], [])
                 for k, qid in enumerate(r["q_ids"]):
-                    at, found = _best(scores[k], ids, lambda some, v=q[k]: (c[some] * v).sum(axis=1), limit)
+                    at, found = best_rows(scores[k], ids, lambda some, v=q[k]: (c[some] * v).sum(axis=1), limit)
                     out[0].extend([qid] * len(at))
                     out[1].extend(ids[at].tolist())
                     out[2].extend(found.tolist())
@@ -135,7 +135,7 @@ def _bm25_task(queries: list[tuple[int, list[int]]], idf: np.ndarray, avg_dl: fl
                     scores, here = w @ asked, np.array(ids[first : first + rows])
                     for j, (qid, t) in enumerate(block):
                         some = np.flatnonzero(scores[:, j] > 0)
-                        at, found = _best(scores[some, j], here[some], lambda k, some=some, t=t: w[some[k]][:, column[t]].sum(axis=1), limit)
+                        at, found = best_rows(scores[some, j], here[some], lambda k, some=some, t=t: w[some[k]][:, column[t]].sum(axis=1), limit)
                         out[0].extend([qid] * len(at))
                         out[1].extend(here[some[at]].tolist())
                         out[2].extend(found.tolist())

@@ -1,6 +1,7 @@
 """Search over tables of queries: options with checked ranges, filters, both arms, reranking, rollup, pins, slices, hydration and the log; comparison of models.
 
-One lazy plan answers all queries; what a single request would get is its query's rows.
+All queries are answered at once; what a single request would get is its query's rows. Jobs run while the plan is made: sizes
+are asked for, and steps that several tables need are written.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 from quern.functions import url as U
 from quern.operators import metrics as K
 from quern.operators import retrieval as R
+from quern.operators import sparse as X
 
 #: Scores chunks of (query_id, text, chunk_id, chunk_text) as (query_id, chunk_id, rerank); chunks that it leaves out keep their fusion score.
 Reranker = Callable[[DataFrame], DataFrame]
@@ -60,7 +62,10 @@ class SearchOptions:
 
 @dataclass(frozen=True)
 class Corpus:
-    """pages (page_id, domain, canonical_url, first_seen_at, last_seen_at, status), chunks (chunk_id, page_id, ordinal, text), vectors (chunk_id, page_id, vector), members and clusters, mentions (entity_id, page_id)."""
+    """pages (page_id, domain, canonical_url, first_seen_at, last_seen_at, status), chunks (chunk_id, page_id, ordinal, text), vectors (chunk_id, page_id, vector), members and clusters, mentions (entity_id, page_id), the chunks' stored sparse index.
+
+    Without an index each search reads the chunks' texts.
+    """
 
     pages: DataFrame
     chunks: DataFrame
@@ -68,6 +73,7 @@ class Corpus:
     members: DataFrame | None = None
     clusters: DataFrame | None = None
     mentions: DataFrame | None = None
+    sparse: X.SparseIndex | None = None
 
 
 MOST_ENTITY_PAGES = 10_000
@@ -114,7 +120,12 @@ def arms(queries: DataFrame, corpus: Corpus, o: SearchOptions, save, allowed: Da
     some = lambda df: df if allowed is None else df.join(allowed, "page_id", "left_semi")
     dense = R.dense_topk(queries.where("vector IS NOT NULL").select("query_id", "vector"), some(corpus.vectors), o.candidates)
     among = None if allowed is None else some(corpus.chunks).select("chunk_id")
-    return dense, R.bm25_topk(queries.select("query_id", "text"), corpus.chunks, o.candidates, save=save, among=among)
+    return dense, sparse_arm(queries, corpus.chunks, corpus.sparse, o.candidates, save, among)
+
+
+def sparse_arm(queries: DataFrame, chunks: DataFrame, index: X.SparseIndex | None, limit: int, save, among: DataFrame | None = None) -> DataFrame:
+    asked = queries.select("query_id", "text")
+    return R.bm25_topk(asked, chunks, limit, save=save, among=among) if index is None else X.bm25(index, asked, limit, save=save, among=among)
 
 
 def reranked(fused: DataFrame, queries: DataFrame, chunks: DataFrame, reranker: Reranker | None) -> DataFrame:
@@ -160,7 +171,7 @@ def search(queries: DataFrame, corpus: Corpus, o: SearchOptions, *, now: Column,
     }
 
 
-def compare(queries: DataFrame, models: dict[str, tuple[DataFrame, DataFrame]], chunks: DataFrame, pages: DataFrame, *, save, k: int = 10, candidates: int = 100, reranker: Reranker | None = None) -> DataFrame:
+def compare(queries: DataFrame, models: dict[str, tuple[DataFrame, DataFrame]], chunks: DataFrame, pages: DataFrame, *, save, k: int = 10, candidates: int = 100, reranker: Reranker | None = None, index: X.SparseIndex | None = None) -> DataFrame:
     """(model, pos, query_id, item, rank): each model's first k pages for the same queries (query_id, text), pages that are not indexed dropped after the cut.
 
     models: from a name to the queries' vectors (query_id, vector) and the chunks' (chunk_id, page_id, vector), two to
@@ -168,7 +179,7 @@ def compare(queries: DataFrame, models: dict[str, tuple[DataFrame, DataFrame]],
     """
     if not 2 <= len(models) <= 5:
         raise ValueError("two to five models are compared")
-    sparse = save(R.bm25_topk(queries.select("query_id", "text"), chunks, candidates, save=save))
+    sparse = save(sparse_arm(queries, chunks, index, candidates, save))
     shown = pages.where("status = 'indexed'").select("page_id")
     out = None
     for pos, (name, (asked, vectors)) in enumerate(models.items()):

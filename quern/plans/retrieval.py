@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
+import uuid
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.operators import retrieval as R
+from quern.operators import sparse as X
 from quern.sources import model as M
-from quern.sources.store import saved
+from quern.sources.store import saved, work_dir
 
 NOW = "2024-03-01 00:00:00"
 
@@ -37,8 +42,21 @@ def _bench(spark, d):
     return M.table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
 
 
+def _texts(spark, d):
+    return M.table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
+
+
+def sparse_index(spark: SparkSession, d: str) -> X.SparseIndex:
+    """The documents' index, which the first query of an application makes and the others open."""
+    path = f"{work_dir(spark)}/sparse-{hashlib.md5(d.encode()).hexdigest()}"
+    try:
+        return X.open_index(spark, path)
+    except AnalysisException:  # nothing there yet
+        return X.create(_texts(spark, d), path)
+
+
 def _sparse(spark, d, limit=50):
-    return R.bm25_topk(_bench(spark, d), M.table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), "text"), limit, save=saved(spark))
+    return X.bm25(sparse_index(spark, d), _bench(spark, d), limit, save=saved(spark))
 
 
 def _fused(spark, d):
@@ -68,7 +86,16 @@ def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
 def phrase_match(spark: SparkSession, d: str) -> DataFrame:
     """Each benchmark item's first five words as a phrase."""
     q = _bench(spark, d).select("query_id", F.array_join(F.slice(R.word_tokens(F.col("text")), 1, 5), " ").alias("phrase"))
-    return R.phrase_match(q, M.table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), "text"))
+    return X.phrases(sparse_index(spark, d), q, save=saved(spark))
+
+
+def index_rebuilt(spark: SparkSession, d: str) -> DataFrame:
+    """The index of even documents, to which odd ones are added, every third is forgotten and every sixth comes back, merged: each word's documents and occurrences."""
+    docs, path = _texts(spark, d), f"{work_dir(spark)}/sparse-{uuid.uuid4().hex}"
+    part = lambda where: docs.where(where)
+    index = X.add(X.create(part("chunk_id % 2 = 0"), path), part("chunk_id % 2 = 1"))
+    index = X.replace(X.forget(index, part("chunk_id % 3 = 0").select("chunk_id")), part("chunk_id % 6 = 0 OR chunk_id % 5 = 1"))
+    return X.merge(index).vocabulary()
 
 
 def rrf_fuse(spark: SparkSession, d: str) -> DataFrame:
@@ -161,7 +188,7 @@ def shown_twin(sql: str, digits: int = 9) -> str:
     return f"SELECT * REPLACE (round(score, {digits}) AS score) FROM ({sql})"
 
 
-_QUERIES = (dense_topk, dense_topk_filtered, bm25_topk, phrase_match, rrf_fuse, rollup_max, rollup_mean_top_m, rollup_sum_rrf, rerank_overlap, recency_decay, hybrid_search, exact_match_pin, pagination_slice, page_filter_halfopen, entity_cluster_filter_intersection, hydrate_latest_cluster, batch_search_log)
+_QUERIES = (dense_topk, dense_topk_filtered, bm25_topk, phrase_match, index_rebuilt, rrf_fuse, rollup_max, rollup_mean_top_m, rollup_sum_rrf, rerank_overlap, recency_decay, hybrid_search, exact_match_pin, pagination_slice, page_filter_halfopen, entity_cluster_filter_intersection, hydrate_latest_cluster, batch_search_log)
 QUERIES = {f.__name__: shown(f.__name__, f) for f in _QUERIES}
 
 
@@ -179,6 +206,7 @@ ORACLES = {
     "phrase_match": """WITH q AS (SELECT item_id AS query_id, ' ' || array_to_string(regexp_extract_all(lower(text), '[a-z0-9]+')[1:5], ' ') || ' ' AS phrase FROM benchmark),
 d AS (SELECT doc_id AS chunk_id, ' ' || array_to_string(regexp_extract_all(lower(text), '[a-z0-9]+'), ' ') || ' ' AS body FROM documents)
 SELECT query_id, chunk_id FROM q, d WHERE contains(body, phrase)""",
+    "index_rebuilt": """SELECT term, count(DISTINCT doc_id) AS df, count(*) AS occurrences FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM documents WHERE doc_id % 3 <> 0 OR doc_id % 6 = 0 OR doc_id % 5 = 1) GROUP BY 1""",
     "rrf_fuse": f"WITH {_DENSE}, {_BM25}, {_FUSED} SELECT * FROM fused",
     "rollup_max": f"{_ALL} {_MAX} SELECT * FROM maxed",
     "rollup_mean_top_m": f"{_ALL} {_RANKED} (SELECT query_id, page_id, list_sum(list_slice(list(fusion ORDER BY fusion DESC), 1, 3)) / least(count(*), 3) AS score FROM chunks_ GROUP BY 1, 2)",
@@ -199,5 +227,5 @@ b AS (SELECT * FROM m WHERE cluster_id < 7 AND cluster_id IN (SELECT label FROM
 SELECT page_id, domain, cluster_id, probability FROM pages_ LEFT JOIN b USING (page_id) WHERE status = 'indexed'""",
     "batch_search_log": f"{_ALL} {_MAX} SELECT query_id, count(*) AS n, string_agg(rank || ':' || page_id, ',' ORDER BY rank) AS final_pages FROM maxed WHERE rank <= 10 GROUP BY 1",
 }
-_UNSCORED = {"phrase_match", "page_filter_halfopen", "entity_cluster_filter_intersection", "hydrate_latest_cluster", "batch_search_log"}
+_UNSCORED = {"phrase_match", "index_rebuilt", "page_filter_halfopen", "entity_cluster_filter_intersection", "hydrate_latest_cluster", "batch_search_log"}
 ORACLES = {name: sql if name in _UNSCORED else shown_twin(sql) for name, sql in ORACLES.items()}

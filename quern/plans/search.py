@@ -9,7 +9,7 @@ from quern.operators import evaluation as V
 from quern.operators import jobs as J
 from quern.operators import search as S
 from quern.operators import store
-from quern.plans.retrieval import NOW, shown, shown_twin
+from quern.plans.retrieval import NOW, shown, shown_twin, sparse_index
 from quern.sources import model as M
 from quern.sources.store import saved
 
@@ -26,7 +26,7 @@ def _corpus(spark, d) -> S.Corpus:
     chunks = p.select(F.col("page_id").alias("chunk_id"), F.expr("page_id div 4").alias("page_id"), (F.col("page_id") % 4).alias("ordinal"), F.col("body_text").alias("text"))
     clusters = M.table(spark, d, "embeddings").select(F.col("label").alias("cluster_id")).distinct().withColumn("tombstoned_at", F.when(F.col("cluster_id") >= 7, _now()))
     mentions = M.table(spark, d, "lineitem").select(F.col("l_partkey").alias("entity_id"), F.col("l_orderkey").alias("page_id"))
-    return S.Corpus(pages, chunks, M.vectors(spark, d).select("chunk_id", "page_id", "vector"), M.members(spark, d), clusters, mentions)
+    return S.Corpus(pages, chunks, M.vectors(spark, d).select("chunk_id", "page_id", "vector"), M.members(spark, d), clusters, mentions, sparse_index(spark, d))
 
 
 def _queries(spark, d, text=None):
@@ -79,7 +79,7 @@ def _models(spark, d):
 
 def _compared(spark, d):
     c = _corpus(spark, d)
-    return S.compare(_queries(spark, d), _models(spark, d), c.chunks, c.pages, save=saved(spark), k=10, candidates=50)
+    return S.compare(_queries(spark, d), _models(spark, d), c.chunks, c.pages, save=saved(spark), k=10, candidates=50, index=c.sparse)
 
 
 def compare_arms(spark: SparkSession, d: str) -> DataFrame:
