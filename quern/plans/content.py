@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from quern.functions import text as X
 from quern.functions import url as U
-from quern.functions.vector import pooled
+from quern.functions.vector import pooled, pooled_arrays
 from quern.operators import clustering as C
+from quern.operators import hierarchy as HC
 from quern.operators import similarity as S
 from quern.sources import captions as P
 from quern.plans.retrieval import shown, shown_twin
@@ -169,6 +170,13 @@ def kmeans_clusters(spark: SparkSession, d: str) -> DataFrame:
     return C.kmeans(v, C.kmeans_k(v.count()))
 
 
+def hdbscan_clusters(spark: SparkSession, d: str) -> DataFrame:
+    """Clusters of any density over the pages' pooled vectors, with the parameters for so many pages."""
+    v = saved(spark)(pooled_arrays(M.vectors(spark, d), "page_id"))
+    size, samples = v.agg(F.count("*").alias("n")).select(*C.density_params(F.col("n"))).first()
+    return HC.hierarchical_clusters(v, size, samples, saved(spark))
+
+
 def pca_projection(spark: SparkSession, d: str) -> DataFrame:
     return C.projection(_plain_vectors(spark, d))
 
@@ -199,7 +207,7 @@ def stream_sessions(spark: SparkSession, d: str) -> DataFrame:
     return W.finished(W.idle_sessions(_stream(spark, d)), "complete").withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
-QUERIES = {f.__name__: f for f in (url_canonicalize, domain_extract, youtube_classify, html_titles, content_hash_dups, fixed_chunks, chunk_ids, job_keys, purge_keys, chunk_stats, backfill_keyset, gazetteer_mentions, consecutive_dedup_offsets, section_spans, repeated_lines, ctfidf_keywords, cluster_labels, vector_similarity, cluster_similarity, cluster_centroids, cluster_jaccard_matrix, cluster_lineage, hdbscan_params, idle_threshold, kmeans_clusters, pca_projection, density_clusters, stream_ingest_dedup, stream_tumbling_metrics, stream_job_latest_state, stream_sessions)}
+QUERIES = {f.__name__: f for f in (url_canonicalize, domain_extract, youtube_classify, html_titles, content_hash_dups, fixed_chunks, chunk_ids, job_keys, purge_keys, chunk_stats, backfill_keyset, gazetteer_mentions, consecutive_dedup_offsets, section_spans, repeated_lines, ctfidf_keywords, cluster_labels, vector_similarity, cluster_similarity, cluster_centroids, cluster_jaccard_matrix, cluster_lineage, hdbscan_params, idle_threshold, kmeans_clusters, hdbscan_clusters, pca_projection, density_clusters, stream_ingest_dedup, stream_tumbling_metrics, stream_job_latest_state, stream_sessions)}
 QUERIES |= {n: shown(n, QUERIES[n], 6) for n in ("vector_similarity", "cluster_similarity")} | {"ctfidf_keywords": shown("ctfidf_keywords", ctfidf_keywords)}
 QUERIES |= {"page_vector_mean": page_vector_mean, "page_vector_max": page_vector_max}
 

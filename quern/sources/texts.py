@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import math
 import re
+import unicodedata
+from collections import Counter
+from itertools import groupby
+from string import ascii_lowercase
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -191,33 +197,72 @@ def section_chunks(pages: DataFrame, sections: DataFrame, width: int, *, prepend
     return kept.select("page_id", "ordinal", "w.char_start", "w.char_end", text.alias("text"), F.col("w.title").alias("section_title"))
 
 
-PAGE_NUMBER = r"(?i)^(?:page\s+)?\d+(?:\s*(?:/|of)\s*\d+)?$"
-
-
-def pdf_text(pages: Column, *, scan: int = 3, ratio: float = 0.5) -> Column:
+_SMALL = frozenset(ascii_lowercase)
+_BLANKS = " \t\r\x0b\x0c"
+
+
+def is_page_number(line: str) -> bool:
+    """A number, or one of how many, after the word page or without it."""
+    words = line.lower().split(None, 1)
+    rest = words[1] if len(words) == 2 and words[0] == "page" else line.lower()
+    counts = rest.replace("of", "/").split("/")
+    return len(counts) <= 2 and rest == rest.strip() and all(c.strip().isdecimal() for c in counts)
+
+
+def _at_edges(lines: list[str], scan: int) -> list[int]:
+    """Places of the first and last `scan` lines that have text."""
+    full = [i for i, line in enumerate(lines) if line]
+    return full if len(full) <= 2 * scan else full[:scan] + full[len(full) - scan :]
+
+
+def _one_blank(line: str) -> str:
+    """Neighbouring blanks as one; a single one stays as it is."""
+    out = []
+    for blank, run in groupby(line, _BLANKS.__contains__):
+        run = "".join(run)
+        out.append(" " if blank and len(run) > 1 else run)
+    return "".join(out)
+
+
+def tidy_pages(pages: list[str | None], scan: int, ratio: float, fold: bool) -> str:
+    """One document for pdf_text()."""
+    bare = [[line.strip() for line in (p or "").split("\n")] for p in pages]
+    edges = [_at_edges(lines, scan) for lines in bare]
+    seen = Counter(line for lines, at in zip(bare, edges, strict=True) for line in {lines[i] for i in at})
+    often = {line for line, n in seen.items() if n >= max(2, math.ceil(ratio * len(pages)))}
+    out: list[str] = []
+    for page, lines, at in zip(pages, bare, edges, strict=True):
+        numbers = {i for i in at if is_page_number(lines[i])}
+        for i, line in enumerate((page or "").split("\n")):
+            if lines[i] in often or i in numbers:
+                continue
+            # a word that a hyphen breaks at the end of a line goes on in the next
+            if out and out[-1][-1:] == "-" and out[-1][-2:-1] in _SMALL and line[:1] in _SMALL:
+                out[-1] = out[-1][:-1] + line
+            else:
+                out.append(line)
+    text = "\n".join(out)
+    text = unicodedata.normalize("NFKC", text) if fold else text
+    tidy: list[str] = []
+    for line in text.split("\n"):
+        line = _one_blank(line.rstrip(_BLANKS))
+        if line or tidy[-1:] != [""]:
+            tidy.append(line)
+    return "\n".join(tidy).strip()
+
+
+def pdf_text(pages: Column, *, scan: int = 3, ratio: float = 0.5, fold: bool = True) -> Column:
     """The text of a document's pages: headers and footers that recur and page numbers at the edges dropped, words joined again over line ends, blanks tidied.
 
-    A line recurs if it is among the first or last `scan` lines of max(2, ratio of the pages) pages. Letters keep their
-    own forms, as compatibility folding has no built-in function.
+    A line recurs if it is among the first or last `scan` lines of max(2, ratio of the pages) pages. fold: letters take
+    their compatibility forms (NFKC).
     """
-    lines = F.transform(pages, lambda p: F.split(p, "\n"))
-    full = lambda ls: F.filter(ls, lambda x: F.trim(x) != "")
-    edge = lambda ls: F.array_distinct(F.transform(F.concat(F.slice(full(ls), 1, scan), F.slice(F.reverse(full(ls)), 1, scan)), lambda x: F.trim(x)))
-    seen = F.flatten(F.transform(lines, edge))
-    least = F.greatest(F.lit(2), F.ceil(F.lit(ratio) * F.size(pages)))
-    often = F.filter(F.array_distinct(seen), lambda x: F.size(F.filter(seen, lambda y: y == x)) >= least)
-
-    def stripped(ls):
-        # the number of full lines up to each line, and of all, tell whether it is at an edge
-        n = F.size(full(ls))
-        nth = lambda i: F.size(full(F.slice(ls, 1, i + 1)))
-        edges = lambda i: (nth(i) <= scan) | (nth(i) > n - scan)
-        return F.array_join(F.filter(ls, lambda x, i: (F.trim(x) == "") | ~F.array_contains(often, F.trim(x)) & ~(edges(i) & F.trim(x).rlike(PAGE_NUMBER))), "\n")
-
-    text = F.array_join(F.transform(lines, stripped), "\n")
-    joined = F.regexp_replace(text, r"(?<=[a-z])-\n(?=[a-z])", "")
-    tidy = F.regexp_replace(F.regexp_replace(joined, r"[^\S\n]+\n", "\n"), r"[^\S\n]{2,}", " ")
-    return F.regexp_replace(F.regexp_replace(tidy, r"\n{3,}", "\n\n"), r"^\s+|\s+$", "")
+
+    @F.pandas_udf("string")
+    def tidied(column: pd.Series) -> pd.Series:
+        return column.map(lambda p: None if p is None else tidy_pages(list(p), scan, ratio, fold))
+
+    return tidied(pages)
 
 
 def mention_places(reports: DataFrame, texts: DataFrame, by: str) -> DataFrame:

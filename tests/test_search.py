@@ -114,3 +114,16 @@ def test_gazetteer_terms_are_no_patterns(spark):
     assert got == [("x", "c.d", 8, 11), ("y", "Ärger", 18, 23), ("y", "ärger", 24, 29)]
     with pytest.raises(ValueError):
         T.gazetteer_places(docs, terms, most_terms=1)
+
+
+def test_lines_of_pdf_pages():
+    from quern.sources.texts import is_page_number, tidy_pages
+
+    assert all(map(is_page_number, ["7", "Page 7", "page  12", "3/10", "3 of 10", "PAGE 3 OF 10", "3of10", "page 1 / 2"]))
+    assert not any(map(is_page_number, ["", "page", "page x", "7.", "1/2/3", "of 3", "12 pages", "pages 3"]))
+    pages = ["Head\n1\nA word-\nbroken and Word-\nKept.  Two\tone \t blanks \n \n\n\nend", None, "Head\nﬁne ½ text\n2", "Head\nmore\n3"]
+    assert tidy_pages(pages, 3, 0.5, True) == "A wordbroken and Word-\nKept. Two\tone blanks\n\nend\n\nfine 1⁄2 text\nmore"
+    assert "ﬁne ½" in tidy_pages(pages, 3, 0.5, False)
+    assert tidy_pages([], 3, 0.5, True) == ""
+    # a number away from the edges stays
+    assert tidy_pages(["a\nb\n5\nc\nd"], 1, 0.5, True) == "a\nb\n5\nc\nd"
