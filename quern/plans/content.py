@@ -9,10 +9,13 @@ from quern.functions import text as X
 from quern.functions import url as U
 from quern.functions.vector import pooled, pooled_arrays
 from quern.operators import clustering as C
+from quern.operators import communities as LC
 from quern.operators import hierarchy as HC
+from quern.operators import store as ST
+from quern.operators import vector_index as VX
 from quern.operators import similarity as S
 from quern.sources import captions as P
-from quern.plans.retrieval import shown, shown_twin
+from quern.plans.retrieval import shown, shown_twin, vector_index
 from quern.sources import model as M
 from quern.sources.store import saved
 from quern.streaming import flows as W
@@ -177,6 +180,14 @@ def hdbscan_clusters(spark: SparkSession, d: str) -> DataFrame:
     return HC.hierarchical_clusters(v, size, samples, saved(spark))
 
 
+def leiden_communities(spark: SparkSession, d: str) -> DataFrame:
+    """Communities of the graph of each embedding's nearest ten, which the stored index finds."""
+    save, v = saved(spark), M.vectors(spark, d)
+    index = vector_index(spark, d)
+    near = VX.nearest_vectors(index, v.select(F.col("chunk_id").alias("query_id"), "vector"), 11, probes=-(-len(index.centroids) * 4 // 5))
+    return LC.communities(v.select(F.col("chunk_id").alias("id")), save(ST.knn_edges(near)), save)
+
+
 def pca_projection(spark: SparkSession, d: str) -> DataFrame:
     return C.projection(_plain_vectors(spark, d))
 
@@ -207,7 +218,7 @@ def stream_sessions(spark: SparkSession, d: str) -> DataFrame:
     return W.finished(W.idle_sessions(_stream(spark, d)), "complete").withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
-QUERIES = {f.__name__: f for f in (url_canonicalize, domain_extract, youtube_classify, html_titles, content_hash_dups, fixed_chunks, chunk_ids, job_keys, purge_keys, chunk_stats, backfill_keyset, gazetteer_mentions, consecutive_dedup_offsets, section_spans, repeated_lines, ctfidf_keywords, cluster_labels, vector_similarity, cluster_similarity, cluster_centroids, cluster_jaccard_matrix, cluster_lineage, hdbscan_params, idle_threshold, kmeans_clusters, hdbscan_clusters, pca_projection, density_clusters, stream_ingest_dedup, stream_tumbling_metrics, stream_job_latest_state, stream_sessions)}
+QUERIES = {f.__name__: f for f in (url_canonicalize, domain_extract, youtube_classify, html_titles, content_hash_dups, fixed_chunks, chunk_ids, job_keys, purge_keys, chunk_stats, backfill_keyset, gazetteer_mentions, consecutive_dedup_offsets, section_spans, repeated_lines, ctfidf_keywords, cluster_labels, vector_similarity, cluster_similarity, cluster_centroids, cluster_jaccard_matrix, cluster_lineage, hdbscan_params, idle_threshold, kmeans_clusters, hdbscan_clusters, leiden_communities, pca_projection, density_clusters, stream_ingest_dedup, stream_tumbling_metrics, stream_job_latest_state, stream_sessions)}
 QUERIES |= {n: shown(n, QUERIES[n], 6) for n in ("vector_similarity", "cluster_similarity")} | {"ctfidf_keywords": shown("ctfidf_keywords", ctfidf_keywords)}
 QUERIES |= {"page_vector_mean": page_vector_mean, "page_vector_max": page_vector_max}
 
