@@ -107,7 +107,8 @@ def latest_feedback_wins(spark: SparkSession, d: str) -> DataFrame:
 
 
 def latency_quantiles(spark: SparkSession, d: str) -> DataFrame:
-    return T.latency_quantiles(M.events(spark, d).select(F.col("value").alias("total")))
+    q = T.latency_quantiles(M.events(spark, d).select(F.col("value").alias("total")))
+    return q.select(F.round("p50", 6).alias("p50"), F.round("p95", 6).alias("p95"))
 
 
 def metric_gauge_downsample(spark: SparkSession, d: str) -> DataFrame:

@@ -140,3 +140,25 @@ def test_html(one):
     assert one(P.html_text(F.col("h")), h=h) == "One two\nthree"
     assert one(P.html_title(F.col("h")), h=h) == "T <1>"
     assert unicodedata.is_normalized("NFC", h)
+
+
+def test_quantiles_by_narrowing_ranges(spark):
+    import random
+
+    from quern.operators.timeseries import latency_quantiles, quantiles
+
+    rng = random.Random(2)
+    cases = [
+        [rng.gauss(0, 5) for _ in range(700)] + [None],
+        [float(rng.randrange(4)) for _ in range(300)],
+        [1.0] * 200 + [1e300, -1e300, -1e300],
+        [1e-9 * k for k in range(300)] + [1e9],
+        [3.5],
+        [2.0, 7.0],
+    ]
+    for values in cases:
+        df = spark.createDataFrame([(v,) for v in values], "total double")
+        want = df.selectExpr("percentile(total, 0.5)", "percentile(total, 0.95)", "percentile(total, 0)", "percentile(total, 1)").first()
+        found = quantiles(df, {"a": 0.5, "b": 0.95, "c": 0.0, "d": 1.0}, buckets=8, few=3).first()
+        assert all(abs(x - y) <= 1e-9 * max(1, abs(y)) for x, y in zip(found, want, strict=True))
+    assert tuple(latency_quantiles(spark.createDataFrame([(None,)], "total double")).first()) == (None, None)
