@@ -60,14 +60,13 @@ def apply_merges(mentions: DataFrame, plan: DataFrame) -> DataFrame:
 
 
 def undo_merge(mentions_now: DataFrame, snapshot: DataFrame, source: int, target: int) -> DataFrame:
-    """Mentions with the moved ones of a merge (its snapshot) back on their source."""
+    """Mentions with those that a merge brought to its target (by its snapshot) back on their source; mentions without a place are counted, as equal ones were all kept."""
     own = snapshot.where(F.col("entity_id") == source)
     key = ["page_id", "surface_form", "char_start"]
-    same = [F.col(f"m.{k}").eqNullSafe(F.col(f"o.{k}")) for k in key]
-    at_target = snapshot.where(F.col("entity_id") == target)
-    moved = own.alias("m").join(at_target.alias("o"), same, "left_anti")
-    back = mentions_now.alias("m").join(moved.alias("o"), [*same, F.col("m.entity_id") == target], "left_anti")
-    return back.unionByName(own)
+    placed = own.where("char_start IS NOT NULL").join(snapshot.where(F.col("entity_id") == target).select(*key), key, "left_anti")
+    brought = placed.unionByName(own.where("char_start IS NULL"))
+    there = brought.withColumn("entity_id", F.lit(target).cast(mentions_now.schema["entity_id"].dataType))
+    return mentions_now.exceptAll(there.select(*mentions_now.columns)).unionByName(own)
 
 
 def entity_counts(mentions: DataFrame) -> DataFrame:

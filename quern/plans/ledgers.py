@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quern.functions import text as X
 from quern.operators import entities as E
+from quern.operators import merges as G
 from quern.operators import jobs as J
 from quern.operators import metrics as K
 from quern.operators import timeseries as T
@@ -277,6 +278,17 @@ def link_known_forms(spark: SparkSession, d: str) -> DataFrame:
     return E.link_to_known(a, a.where("entity_id % 10 = 1"), edit=0.4)
 
 
+def merges_replayed(spark: SparkSession, d: str) -> DataFrame:
+    """Each user is merged into that of half its number, from the last on; then the first ones are undone, and the counts are those after the undo of user 30."""
+    e = M.events(spark, d)
+    u = e.select(F.col("user_id").cast("long").alias("u")).distinct().where("u > 0")
+    merges = u.select((1_000_000_000 - F.col("u")).alias("seq"), F.lit("merge").alias("kind"), F.col("u").alias("merge_id"), F.col("u").alias("source"), F.expr("u div 2").alias("target"))
+    none = F.lit(None).cast("long")
+    undos = u.where("u <= 40").select((2_000_000_000 + F.col("u")).alias("seq"), F.lit("undo").alias("kind"), F.col("u").alias("merge_id"), none.alias("source"), none.alias("target"))
+    first = e.select(F.col("user_id").cast("long").alias("entity_id"), (F.col("event_id") % 50).alias("page_id"), F.col("event_type").alias("surface_form"), F.when(F.col("event_id") % 4 != 0, F.col("event_id") % 3).alias("char_start"))
+    return E.entity_counts(G.mentions_at(first, merges.unionByName(undos), saved(spark), 2_000_000_030))
+
+
 def undoable_merges(spark: SparkSession, d: str) -> DataFrame:
     """Events as merges of users."""
     i = F.col("event_id")
@@ -284,7 +296,7 @@ def undoable_merges(spark: SparkSession, d: str) -> DataFrame:
     return E.undoable(m)
 
 
-QUERIES = {f.__name__: f for f in (compare_agreement_jaccard, compare_kendall_tau, compare_rbo, eval_ndcg_mrr_recall, eval_rerank_lift, eval_model_report, golden_set, latest_feedback_wins, latency_quantiles, metric_gauge_downsample, metric_counter_delta, job_counts_by_status, latest_job_per_page, expired_leases, due_watches, missing_extraction_antijoin, blacklist_match, ingest_batch, outcome_tally, forget_domain, tombstone_sweep, revisit_fold, breaker_states, entity_blocks_dups, entity_pair_edit_distance, entity_components, entity_merge_counts, canonical_form_mode, entity_idf, entity_similarity, entity_links, link_known_forms, undoable_merges)}
+QUERIES = {f.__name__: f for f in (compare_agreement_jaccard, compare_kendall_tau, compare_rbo, eval_ndcg_mrr_recall, eval_rerank_lift, eval_model_report, golden_set, latest_feedback_wins, latency_quantiles, metric_gauge_downsample, metric_counter_delta, job_counts_by_status, latest_job_per_page, expired_leases, due_watches, missing_extraction_antijoin, blacklist_match, ingest_batch, outcome_tally, forget_domain, tombstone_sweep, revisit_fold, breaker_states, entity_blocks_dups, entity_pair_edit_distance, entity_components, entity_merge_counts, canonical_form_mode, entity_idf, entity_similarity, entity_links, link_known_forms, undoable_merges, merges_replayed)}
 
 _FINAL = f"{_ALL} {_MAX}, fin AS (SELECT query_id, page_id AS item, rank FROM maxed), rel AS (SELECT DISTINCT doc_id % 20 AS query_id, doc_id // 4 AS item FROM labels WHERE quality = 1)"
 
@@ -318,6 +330,9 @@ SELECT query_id, ms.ndcg AS final_ndcg, mp.ndcg AS pool_ndcg, round(ms.ndcg - mp
     "eval_model_report": f"{_FINAL}, {_metric('fin', 'mt')} SELECT CASE WHEN query_id % 2 = 0 THEN 'even' ELSE 'odd' END AS model, count(*) AS n, round(avg(ndcg), 5) AS ndcg, round(avg(rr), 5) AS mrr, round(avg(recall), 5) AS recall FROM mt GROUP BY 1",
     "golden_set": r"""SELECT norm, arg_min(text, (conv_id, turn)) AS text, count(*) AS n, array_to_string(list_sort(list(DISTINCT conv_id)), ',') AS sources FROM (SELECT replace(lower(trim(regexp_replace(text, '\s+', ' ', 'g'))), 'ß', 'ss') AS norm, * FROM conversations WHERE role = 'user') WHERE norm <> '' GROUP BY 1""",
     "latest_feedback_wins": "SELECT event_type AS query_id, user_id AS page_id, arg_max(value > 20, (ts, event_id)) AS relevant FROM events GROUP BY 1, 2",
+    "merges_replayed": """WITH RECURSIVE r AS (SELECT DISTINCT user_id::BIGINT AS u, user_id::BIGINT AS root FROM events UNION ALL SELECT u, root // 2 FROM r WHERE root > 30),
+m AS (SELECT root AS entity_id, event_id % 50 AS page_id, event_type AS surface_form, CASE WHEN event_id % 4 <> 0 THEN event_id % 3 END AS char_start FROM events JOIN (SELECT u, min(root) AS root FROM r GROUP BY 1) ON u = user_id)
+SELECT entity_id, count(*) AS mention_count, count(DISTINCT page_id) AS page_count FROM (SELECT DISTINCT * FROM m WHERE char_start IS NOT NULL UNION ALL SELECT * FROM m WHERE char_start IS NULL) GROUP BY 1""",
     "latency_quantiles": "SELECT round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95 FROM events",
     "metric_gauge_downsample": "SELECT event_type, floor(epoch_us(ts) / 21600000000)::BIGINT AS bucket, max(ts) AS ts, arg_max(value, (ts, event_id)) AS value FROM events GROUP BY 1, 2",
     "metric_counter_delta": "SELECT event_type, bucket, round(greatest(0, last - coalesce(lag(last) OVER (PARTITION BY event_type ORDER BY bucket), first)), 6) AS delta FROM (SELECT event_type, floor(epoch_us(ts) / 21600000000)::BIGINT AS bucket, arg_max(value, (ts, event_id)) AS last, arg_min(value, (ts, event_id)) AS first FROM events GROUP BY 1, 2)",
