@@ -89,7 +89,7 @@ def compare_arms(spark: SparkSession, d: str) -> DataFrame:
 def compare_agreement(spark: SparkSession, d: str) -> DataFrame:
     """Agreement of the two models on each query."""
     a = S.agreement(saved(spark)(_compared(spark, d)), _queries(spark, d), ["full", "half"])
-    return a.select("query_id", "a", "b", F.round("jaccard", 6).alias("jaccard"), "common", (F.col("rbo") >= 0).alias("rbo_known"), (F.col("tau").isNotNull() == (F.col("common") >= 2)).alias("tau_known"))
+    return a.select("query_id", "a", "b", *(F.round(c, 6).alias(c) for c in ("jaccard", "rbo", "tau")), "common")
 
 
 def replay_deltas(spark: SparkSession, d: str) -> DataFrame:
@@ -218,8 +218,15 @@ ORACLES = {
     "search_log": f"""WITH {_P}, {_fused(50)}, {_pages_of('max(fusion)', 10, 0)}, pool_ AS (SELECT query_id, string_agg(page_id, ',' ORDER BY f) AS pool FROM (SELECT query_id, page_id, min(fused_rank) AS f FROM c_ GROUP BY 1, 2) GROUP BY 1)
 SELECT q_.query_id, coalesce((SELECT count(*) FROM c_ WHERE c_.query_id = q_.query_id), 0) AS n_fused, coalesce((SELECT string_agg(page_id || ':' || rank, ',' ORDER BY rank) FROM final_ f WHERE f.query_id = q_.query_id), '') AS final_pages, coalesce(pool, '') AS pool FROM q_ LEFT JOIN pool_ USING (query_id)""",
     "compare_arms": f"WITH {_COMPARED} SELECT * FROM m_",
-    "compare_agreement": f"""WITH {_COMPARED}, x AS (SELECT a.query_id, count(*) AS common FROM m_ a JOIN m_ b USING (query_id, item) WHERE a.model = 'full' AND b.model = 'half' GROUP BY 1), n AS (SELECT query_id, count(*) FILTER (model = 'full') AS na, count(*) FILTER (model = 'half') AS nb FROM m_ GROUP BY 1)
-SELECT item_id AS query_id, 'full' AS a, 'half' AS b, round(CASE WHEN coalesce(na, 0) + coalesce(nb, 0) = 0 THEN 1 ELSE coalesce(common, 0) / (na + nb - coalesce(common, 0)) END, 6) AS jaccard, coalesce(common, 0) AS common, true AS rbo_known, true AS tau_known FROM benchmark LEFT JOIN n ON n.query_id = item_id LEFT JOIN x ON x.query_id = item_id""",
+    "compare_agreement": f"""WITH {_COMPARED}, ra AS (SELECT query_id, item, rank FROM m_ WHERE model = 'full'), rb AS (SELECT query_id, item, rank FROM m_ WHERE model = 'half'),
+c AS (SELECT query_id, item, ra.rank AS x, rb.rank AS y, greatest(ra.rank, rb.rank) AS dep FROM ra JOIN rb USING (query_id, item)), x AS (SELECT query_id, count(*) AS common FROM c GROUP BY 1),
+t AS (SELECT p.query_id, sum(sign(q.y - p.y)) AS t FROM c p JOIN c q ON p.query_id = q.query_id AND p.x < q.x GROUP BY 1),
+n AS (SELECT query_id, count(*) FILTER (model = 'full') AS na, count(*) FILTER (model = 'half') AS nb FROM m_ GROUP BY 1), z AS (SELECT query_id, least(na, nb) AS s, greatest(na, nb) AS l FROM n WHERE na > 0 AND nb > 0),
+d AS (SELECT query_id, s, l, d, (SELECT count(*) FROM c WHERE c.query_id = y.query_id AND dep <= d) AS x FROM (SELECT *, unnest(range(1, l + 1)) AS d FROM z) y),
+e AS (SELECT query_id, any_value(s) AS s, any_value(l) AS l, max(x) FILTER (d = s) AS xs, max(x) FILTER (d = l) AS xl, sum(x / d * pow(0.9, d)) AS t FROM d GROUP BY 1),
+r AS (SELECT query_id, 0.1 / 0.9 * (t + coalesce((SELECT sum(xs * (d - s) / (s * d) * pow(0.9, d)) FROM range(1, 30) r(d) WHERE d > s AND d <= l), 0)) + ((xl - xs) / l + xs / s) * pow(0.9, l) AS rbo FROM e)
+SELECT item_id AS query_id, 'full' AS a, 'half' AS b, round(CASE WHEN coalesce(na, 0) + coalesce(nb, 0) = 0 THEN 1 ELSE coalesce(common, 0) / (na + nb - coalesce(common, 0)) END, 6) AS jaccard, round(CASE WHEN coalesce(na, 0) + coalesce(nb, 0) = 0 THEN 1 ELSE coalesce(rbo, 0) END, 6) AS rbo,
+round(CASE WHEN common >= 2 THEN coalesce(t, 0) / (common * (common - 1) / 2) END, 6) AS tau, coalesce(common, 0) AS common FROM benchmark LEFT JOIN n ON n.query_id = item_id LEFT JOIN x ON x.query_id = item_id LEFT JOIN t ON t.query_id = item_id LEFT JOIN r ON r.query_id = item_id""",
     "replay_deltas": f"""WITH {_COMPARED}, rel AS (SELECT DISTINCT doc_id % 20 AS query_id, doc_id // 4 AS page_id FROM labels WHERE quality = 1), a AS (SELECT query_id, item AS page_id, rank FROM m_ WHERE model = 'full'), b AS (SELECT query_id, item AS page_id, rank FROM m_ WHERE model = 'half')
 SELECT count(*) AS golden, round(avg(y.ndcg) - avg(x.ndcg), 6) AS ndcg, round(avg(y.rr) - avg(x.rr), 6) AS rr, round(avg(y.recall) - avg(x.recall), 6) AS recall FROM {_metrics('a', 'rel', 10)} x JOIN {_metrics('b', 'rel', 10)} y USING (query_id)""",
     "score_log": f"""WITH {_LOG}, rel AS (SELECT query_id, page_id FROM lab WHERE relevant), pool AS (SELECT query_id, page_id, n + 1 - rank AS rank FROM runs),
