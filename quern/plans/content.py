@@ -35,7 +35,7 @@ def youtube_classify(spark: SparkSession, d: str) -> DataFrame:
     vid = F.concat(F.lit("vid"), F.lpad(n.cast("string"), 8, "0"))
     forms = F.array(F.concat(F.lit("https://youtu.be/"), vid, F.lit("?t=3")), F.concat(F.lit("https://www.youtube.com/watch?v="), vid, F.lit("&list=PL1")), F.concat(F.lit("https://m.youtube.com/shorts/"), vid), F.concat(F.lit("https://youtube.com/playlist?list=PL"), n), F.concat(F.lit("https://www.youtube.com/@name"), n), F.col("url"))
     u = M.table(spark, d, "pages").select("page_id", F.element_at(forms, (n % 6 + 1).cast("int")).alias("u"))
-    return u.select("page_id", U.youtube_kind(F.col("u")).alias("kind"), U.video_id(F.col("u")).alias("video_id"), F.when(F.col("page_id") % 6 < 5, U.canonical(F.col("u"))).alias("canonical_url"))
+    return u.select("page_id", U.youtube_kind(F.col("u")).alias("kind"), U.video_id(F.col("u")).alias("video_id"), U.canonical(F.col("u")).alias("canonical_url"))
 
 
 def html_titles(spark: SparkSession, d: str) -> DataFrame:
@@ -53,9 +53,9 @@ def fixed_chunks(spark: SparkSession, d: str) -> DataFrame:
 
 
 def chunk_ids(spark: SparkSession, d: str) -> DataFrame:
-    """Name-based identifiers of each page's first chunk."""
-    p = M.pages(spark, d)
-    return p.select("page_id", X.chunk_uuid(F.col("page_id"), X.content_hash(F.col("body_text")), F.lit(0)).alias("chunk_id"))
+    """Name-based identifiers of all chunks."""
+    hashes = M.pages(spark, d).select("page_id", X.content_hash(F.col("body_text")).alias("hash"))
+    return M.chunks(spark, d).select("page_id", "ordinal").join(hashes, "page_id").select("page_id", "ordinal", X.chunk_uuid(F.col("page_id"), F.col("hash"), F.col("ordinal")).alias("chunk_id"))
 
 
 def job_keys(spark: SparkSession, d: str) -> DataFrame:
@@ -242,13 +242,11 @@ ORACLES = {
 array_to_string(list_sort(list_filter(string_split(regexp_extract(url, '\?([^#]*)', 1), '&'), lambda x: x <> '' AND NOT regexp_matches(x, '^(utm_[^=]*|fbclid|gclid|ref|si)='))), '&') AS q FROM pages)
 SELECT page_id, s || '://' || h || p || CASE WHEN q <> '' THEN '?' || q ELSE '' END AS canonical_url FROM u""",
     "domain_extract": r"SELECT regexp_replace(regexp_replace(lower(regexp_extract(url, '://([^/?#]*)', 1)), ':[0-9]*$', ''), '^www\.', '') AS domain, count(*) AS n FROM pages GROUP BY 1",
-    "youtube_classify": f"""WITH {_YT} SELECT page_id, CASE WHEN m IN (0, 1, 2) THEN 'video' WHEN m = 3 THEN 'playlist' WHEN m = 4 THEN 'channel' END AS kind, CASE WHEN m IN (0, 1, 2) THEN vid END AS video_id,
-CASE WHEN m IN (0, 2) THEN 'https://youtube.com/watch?v=' || vid WHEN m = 1 THEN 'https://youtube.com/watch?v=' || vid WHEN m = 3 THEN 'https://youtube.com/playlist' WHEN m = 4 THEN 'https://youtube.com/@name' || page_id END AS canonical_url FROM y""",
     "html_titles": r"SELECT page_id, replace(replace(replace(replace(replace(replace(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '<[^>]*>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&') AS title FROM pages",
     "content_hash_dups": "SELECT sha256(text) AS hash, count(*) AS n, min(doc_id) AS first_id FROM documents GROUP BY 1 HAVING n > 1",
     "fixed_chunks": f"WITH {_CHUNKS} SELECT page_id, ordinal::INT AS ordinal, char_start::INT AS char_start, char_end::INT AS char_end, md5(text) AS text_md5 FROM c_",
-    "chunk_ids": """WITH h AS (SELECT doc_id, sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || encode(doc_id || ':' || sha256(text) || ':0')) AS h FROM documents)
-SELECT doc_id AS page_id, concat_ws('-', substr(h, 1, 8), substr(h, 9, 4), '5' || substr(h, 14, 3), substr('89ab', ('0x' || substr(h, 17, 1))::INT % 4 + 1, 1) || substr(h, 18, 3), substr(h, 21, 12)) AS chunk_id FROM h""",
+    "chunk_ids": f"""WITH {_CHUNKS}, t AS (SELECT doc_id, sha256(text) AS hash FROM documents), h AS (SELECT page_id, ordinal::INT AS ordinal, sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || encode(page_id || ':' || hash || ':' || ordinal::INT)) AS h FROM c_ JOIN t ON doc_id = page_id)
+SELECT page_id, ordinal, concat_ws('-', substr(h, 1, 8), substr(h, 9, 4), '5' || substr(h, 14, 3), substr('89ab', ('0x' || substr(h, 17, 1))::INT % 4 + 1, 1) || substr(h, 18, 3), substr(h, 21, 12)) AS chunk_id FROM h""",
     "job_keys": "SELECT doc_id AS page_id, 'index:' || doc_id || ':' || sha256(text) AS index_key FROM documents",
     "purge_keys": "SELECT source AS domain, 'purge:' || substr(sha256(string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id::VARCHAR)), 1, 16) AS purge_key FROM documents GROUP BY 1",
     "chunk_stats": f"WITH {_CHUNKS} SELECT count(*) AS n_chunks, coalesce(sum(len(text)), 0)::BIGINT AS n_chars FROM c_",
@@ -279,3 +277,6 @@ SELECT a AS old_id, b::BIGINT AS new_id, count(*) AS "both", round(count(*) / ((
     "stream_sessions": "SELECT user_id, min(ts) AS start, count(*) AS n FROM (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 12 HOURS THEN 0 ELSE 1 END AS new FROM events)) GROUP BY user_id, s",
 }
 ORACLES |= {n: shown_twin(ORACLES[n], 6) for n in ("vector_similarity", "cluster_similarity")}
+ORACLES["youtube_classify"] = f"""WITH {_YT}, k AS ({ORACLES["url_canonicalize"]})
+SELECT page_id, CASE WHEN m IN (0, 1, 2) THEN 'video' WHEN m = 3 THEN 'playlist' WHEN m = 4 THEN 'channel' END AS kind, CASE WHEN m IN (0, 1, 2) THEN vid END AS video_id,
+CASE WHEN m IN (0, 1, 2) THEN 'https://youtube.com/watch?v=' || vid WHEN m = 3 THEN 'https://youtube.com/playlist' WHEN m = 4 THEN 'https://youtube.com/@name' || page_id ELSE canonical_url END AS canonical_url FROM y JOIN k USING (page_id)"""
