@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import itertools
 import re
+from array import array
 from dataclasses import dataclass
 
 import numpy as np
@@ -44,18 +45,30 @@ SHORT = 8
 EVIDENCE, NONE = 4, -2.0
 #: Sentences that a toxic text hands on in a round.
 WORST = 3
-#: Words whose margins a task keeps; a bound on its memory, the cache starts anew beyond it.
+#: Different words whose units and margins a task keeps; a bound on its memory: beyond it the task starts anew with the next group of texts.
 HELD_WORDS = 300_000
+#: Letters of texts that are split at a time, but for a longer text; and marks of words that are no unit, one letter, or several units.
+GROUP = 1 << 20
+NOTHING, LETTER, LONG = -1, -2, -3
 #: Signs put between letters, and digits written for letters.
 PLAIN = str.maketrans({c: None for c in map(chr, range(33, 127)) if not c.isalnum() and c not in "@$"} | dict(zip("013457@$", "oieastas")))
 _END = re.compile(r"(?<=[.!?])\s+|[\n\r]+")
 
 
+def plain(word: str) -> str:
+    return word if word.isalpha() else word.translate(PLAIN)
+
+
 def units(text: str) -> list[str]:
     """Lower-case words with a start mark and without signs in or around them, digits in words of letters read as letters.
 
     A run of three or more single letters is one word; a word longer than WIDTH is several overlapping parts.
     """
+    return joined([plain(w) for w in text.lower().split()])
+
+
+def joined(words: list[str]) -> list[str]:
+    """The units of a sentence's plain words."""
     out, run = [], []
 
     def add(word: str) -> None:
@@ -65,9 +78,7 @@ def units(text: str) -> list[str]:
         else:
             out.extend(word[i : i + WIDTH] for i in range(0, len(word) - SPAN, WIDTH - SPAN))
 
-    for w in text.lower().split():
-        if not w.isalpha():
-            w = w.translate(PLAIN)
+    for w in words:
         if len(w) == 1:
             run.append(w)
             continue
@@ -86,7 +97,7 @@ def units(text: str) -> list[str]:
 
 
 def sentences(text: str | None) -> list[list[str]]:
-    """The different units of each sentence, at most SENTENCE at a time."""
+    """The different units of each sentence, at most SENTENCE at a time: what Splitter finds, written out."""
     out = []
     for part in _END.split(text or ""):
         found = list(dict.fromkeys(units(part)))
@@ -94,6 +105,106 @@ def sentences(text: str | None) -> list[list[str]]:
     return out
 
 
+class Numbers(dict):
+    """Numbers for names, in the order in which they are first asked for."""
+
+    def __init__(self):
+        self.names = []
+
+    def __missing__(self, name: str) -> int:
+        n = self[name] = len(self.names)
+        self.names.append(name)
+        return n
+
+
+@dataclass(frozen=True)
+class Sentences:
+    """Sentences of a group of texts: sentence i has units[starts[i] : starts[i + 1]], numbers in `names`; text i has sentences bounds[i] to bounds[i + 1]."""
+
+    names: list[str]
+    units: np.ndarray
+    starts: np.ndarray
+    bounds: np.ndarray
+
+    def sentence(self, i: int) -> list[str]:
+        return [self.names[k] for k in self.units[self.starts[i] : self.starts[i + 1]]]
+
+
+class Splitter:
+    """Sentences as numbers of units, as sentences() has them; a task has its own, which looks at each different word once.
+
+    A sentence ends with a word that ends with a stop, or with its line. Only sentences with runs of single letters or
+    with long words are put together word by word.
+    """
+
+    def __init__(self):
+        self.begin()
+
+    def begin(self) -> None:
+        self.words, self.units = Numbers(), Numbers()
+        self.unit, self.stops = np.zeros(0, np.int32), np.zeros(0, bool)
+
+    def look(self) -> None:
+        """The units of new words, and whether a sentence ends with them."""
+        new, unit = self.words.names[len(self.unit) :], []
+        for w in new:
+            w = plain(w)
+            unit.append(LONG if len(w) >= WIDTH else self.units["^" + w] if len(w) > 1 else LETTER if w else NOTHING)
+        self.unit = np.append(self.unit, np.array(unit, np.int32))
+        self.stops = np.append(self.stops, np.array([w[-1] in ".!?" for w in new], bool))
+
+    def group(self, texts: list[str | None]) -> Sentences:
+        if len(self.words) > HELD_WORDS:
+            self.begin()
+        word, lines, ends, number = array("i"), [], [], self.words.__getitem__
+        for t in texts:
+            for line in (t or "").lower().replace("\r", "\n").split("\n"):
+                word.extend(map(number, line.split()))
+                lines.append(len(word))
+            ends.append(len(word))
+        word = np.array(word)
+        self.look()
+        unit, last, lines = self.unit[word], self.stops[word], np.array(lines, np.int64)
+        last[lines[lines > 0] - 1] = True
+        sentence, stop = np.cumsum(last) - last, np.flatnonzero(last)
+        letter = unit == LETTER
+        runs = np.flatnonzero(letter[:-2] & letter[1:-1] & letter[2:] & (sentence[:-2] == sentence[2:]))
+        more, where = [], []
+        for k in np.unique(sentence[np.append(runs, np.flatnonzero(unit == LONG))]).tolist():
+            begin, end = (stop[k - 1] + 1 if k else 0), stop[k] + 1
+            unit[begin:end] = NOTHING
+            more += [self.units[u] for u in joined([plain(self.words.names[w]) for w in word[begin:end].tolist()])]
+            where += [k] * (len(more) - len(where))
+        at = np.flatnonzero(unit >= 0)
+        unit, sentence = unit[at], sentence[at]
+        if more:
+            unit, sentence = np.append(unit, np.array(more, np.int32)), np.append(sentence, where)
+            order = np.argsort(sentence, kind="stable")
+            unit, sentence = unit[order], sentence[order]
+        # the first of each unit in its sentence, in the order of the text
+        first = np.sort(np.unique(sentence * max(len(self.units), 1) + unit, return_index=True)[1])
+        unit, sentence = unit[first], sentence[first]
+        new = np.flatnonzero(np.diff(sentence, prepend=-1))
+        place = np.arange(len(unit)) - np.repeat(new, np.diff(np.append(new, len(unit))))
+        starts = np.flatnonzero(place % SENTENCE == 0)
+        # a sentence is of the first text that ends behind its last word
+        bounds = np.searchsorted(stop[sentence[starts]], np.append(0, ends))
+        return Sentences(self.units.names, unit, np.append(starts, len(unit)), bounds)
+
+
+def grouped(texts: list[str | None]):
+    """Texts in turn, in groups of some GROUP letters."""
+    some, size = [], 0
+    for t in texts:
+        some.append(t)
+        size += len(t or "")
+        if size >= GROUP:
+            yield some
+            some, size = [], 0
+    if some:
+        yield some
+
+
 def subsequences(words: list[str], most: int = 2048):
     """For parts of the units, of like lengths: their places, the numbers of their subsequences (a column for each pattern and place, 0: none), the columns' weights and the roots of the summed squared weights."""
     sizes = np.array([len(w) for w in words])
@@ -136,39 +247,34 @@ class ToxicityModel:
         return 1 / (1 + np.exp(-np.clip(evidence @ self.text[:-1] + self.text[-1], -30, 30)))
 
 
-class Scorer:
-    """Margins of texts by one model; a task has its own, with its own cache of words."""
+class Scorer(Splitter):
+    """Margins of texts by one model; a task has its own, which keeps the margins of its units."""
 
     def __init__(self, model: ToxicityModel):
-        self.model, self.held = model, {}
+        self.model = model
+        super().__init__()
+
+    def begin(self) -> None:
+        super().begin()
+        self.held = np.zeros(0)
 
     def texts(self, texts: list[str | None]):
-        """For each text: its sentences and their margins."""
-        for at in range(0, len(texts), 64):
-            parts = [sentences(t) for t in texts[at : at + 64]]
-            words = {w for p in parts for s in p for w in s}
-            new = words.difference(self.held)
-            if len(self.held) + len(new) > HELD_WORDS:
-                self.held.clear()
-                new = words
-            new = sorted(new)
-            self.held.update(zip(new, self.model.margins(new).tolist()))
-            get = self.held.__getitem__
-            for p in parts:
-                n = np.array([len(s) for s in p])
-                if not len(n):
-                    yield p, np.zeros(0)
-                    continue
-                m = np.fromiter((get(w) for s in p for w in s), float, int(n.sum()))
-                yield p, np.add.reduceat(m, np.cumsum(n) - n) / np.sqrt(n + SHORT) + self.model.bias
+        """For each group of texts: its sentences and their margins."""
+        for some in grouped(texts):
+            found = self.group(some)
+            self.held = np.append(self.held, self.model.margins(found.names[len(self.held) :]))
+            sums = np.add.reduceat(self.held[found.units], found.starts[:-1])
+            yield found, sums / np.sqrt(np.diff(found.starts) + SHORT) + self.model.bias
 
     def evidence(self, texts: list[str | None]) -> np.ndarray:
         """Of each text: the greatest three margins of its sentences (NONE for one that is not there) and the log of their number."""
-        out = np.full((len(texts), EVIDENCE), NONE)
-        for i, (_, m) in enumerate(self.texts(texts)):
-            top = -np.sort(-m)[: EVIDENCE - 1]
-            out[i, : len(top)] = top
-            out[i, -1] = np.log1p(len(m))
+        out, i = np.full((len(texts), EVIDENCE), NONE), 0
+        for found, margins in self.texts(texts):
+            for begin, end in itertools.pairwise(found.bounds.tolist()):
+                top = -np.sort(-margins[begin:end])[: EVIDENCE - 1]
+                out[i, : len(top)] = top
+                out[i, -1] = np.log1p(end - begin)
+                i += 1
         return out
 
 
@@ -272,14 +378,21 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> np.ndarray:
 
 def _presence_task(batches):
     """How many texts of either label have each subsequence."""
-    counts = np.zeros((2, BUCKETS), np.int64)
+    counts, split = np.zeros((2, BUCKETS), np.int64), Splitter()
     for b in batches:
-        for t, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            words = sorted({w for s in sentences(t) for w in s})
-            seen = np.zeros(BUCKETS, bool)
-            for _, columns, _, _ in subsequences(words):
-                seen[columns.ravel()] = True
-            counts[int(y > 0.5)] += seen
+        labels = iter(b.column(1).to_pylist())
+        for some in grouped(b.column(0).to_pylist()):
+            found = split.group(some)
+            used, place = np.unique(found.units, return_inverse=True)
+            buckets = [None] * len(used)
+            for part, columns, _, _ in subsequences([found.names[k] for k in used]):
+                for k, row in zip(part.tolist(), columns):
+                    buckets[k] = row
+            for begin, end in itertools.pairwise(found.starts[found.bounds].tolist()):
+                seen = np.zeros(BUCKETS, bool)
+                if begin < end:
+                    seen[np.concatenate([buckets[k] for k in set(place[begin:end].tolist())])] = True
+                counts[int(next(labels) > 0.5)] += seen
     at = np.flatnonzero(counts.sum(axis=0))
     yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[0][at]), pa.array(counts[1][at])], names=["bucket", "clean", "toxic"])
 
@@ -290,13 +403,16 @@ def _choose_task(model: ToxicityModel):
     def task(batches):
         scorer = Scorer(model)
         for b in batches:
-            rows = []
-            for (parts, margins), y in zip(scorer.texts(b.column(0).to_pylist()), b.column(1).to_pylist()):
-                if parts:
-                    worst = np.argsort(-margins, kind="stable")[: WORST if y > 0.5 else 1]
-                    rows += [(y, parts[i]) for k, i in enumerate(worst) if not k or margins[i] > 0]
-                    if y <= 0.5:
-                        rows.append((y, parts[sum(map(len, parts[0])) % len(parts)]))
+            rows, labels = [], iter(b.column(1).to_pylist())
+            for found, margins in scorer.texts(b.column(0).to_pylist()):
+                for begin, end in itertools.pairwise(found.bounds.tolist()):
+                    y = next(labels)
+                    if begin < end:
+                        m = margins[begin:end]
+                        worst = np.argsort(-m, kind="stable")[: WORST if y > 0.5 else 1]
+                        rows += [(y, found.sentence(begin + i)) for k, i in enumerate(worst) if not k or m[i] > 0]
+                        if y <= 0.5:
+                            rows.append((y, found.sentence(begin + sum(map(len, found.sentence(begin))) % (end - begin))))
             # units hold no blanks
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.float64()), pa.array([" ".join(r[1]) for r in rows], pa.string())], names=["y", "sentence"])
 

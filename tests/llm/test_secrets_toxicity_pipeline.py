@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -130,6 +131,43 @@ def test_models_in_turn_keep_their_own_scores():
     assert alone[0] != alone[1]
 
 
+class Counting(dict):
+    asked = 0
+
+    def __getitem__(self, key):
+        self.asked += 1
+        return super().__getitem__(key)
+
+
+def test_each_different_word_is_looked_at_once(monkeypatch):
+    """Words that come again cost neither scoring nor counting the work of new ones."""
+    table, given, inner = Counting(T.PLAIN), [], T.subsequences
+    monkeypatch.setattr(T, "PLAIN", table)
+    monkeypatch.setattr(T, "subsequences", lambda words, *more: (given.extend(words), inner(words, *more))[1])
+    texts = ["You wor*th-less m0ron. So they say! " * 20] * 30
+    T.Scorer(T.ToxicityModel(np.ones(T.BUCKETS, np.float32), 0.1, np.ones(T.EVIDENCE + 1))).evidence(texts)
+    assert table.asked <= 40 and len(given) == 6
+    given.clear()
+    (counts,) = T._presence_task([pa.RecordBatch.from_pydict({"text": texts, "y": [1.0] * 10 + [0.0] * 20})])
+    assert len(given) == 6 and set(counts.column("toxic").to_pylist()) == {10} and set(counts.column("clean").to_pylist()) == {20}
+
+
+@pytest.mark.parametrize(("letters", "held"), [(1 << 20, 300_000), (300, 300_000), (500, 40)])
+def test_splitter_finds_the_sentences_of_texts(monkeypatch, letters, held):
+    """Groups of texts give what sentences() gives for each, whatever the groups and the words that are held."""
+    monkeypatch.setattr(T, "GROUP", letters)
+    monkeypatch.setattr(T, "HELD_WORDS", held)
+    rnd = random.Random(9)
+    bits = ["a", "b", "I", "\u03a3", "\u0391\u03a3", "\u0130", "foo", "Bar.", "x!", "?", ".", "...", "-", "$", "w*rd", "m0r0n", "\n", "\r", "\r\n", "\x85", " ", "\x1c", "\t", "x" * 23, "x" * 24, "y" * 25, "z" * 80, "\u99ac", "\u3000", "1", "a.", "\u0307", "'"]
+    texts = [None, "", " ", *("".join(rnd.choice(bits) + rnd.choice(["", " ", " ", "\n"]) for _ in range(rnd.randint(0, 90))) for _ in range(1500)), None]
+    split, got = T.Splitter(), []
+    for some in T.grouped(texts):
+        found = split.group(some)
+        got += [[found.sentence(i) for i in range(a, b)] for a, b in zip(found.bounds[:-1], found.bounds[1:])]
+    assert got == [T.sentences(t) for t in texts]
+    assert T.Splitter().group([None, ""]).bounds.tolist() == [0, 0, 0]
+
+
 def test_toxicity_held_out(spark, data):
     sf = data.replace("sf0.001", "sf0.01")
     r = QUERIES["op10_toxicity_kernel"](spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("held_out").collect()
