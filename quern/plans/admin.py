@@ -10,6 +10,7 @@ from quern.operators.retrieval import dense_topk, ranked
 from quern.plans.ledgers import _ALIASES, _JOBS, _MENTIONS, NOW, _aliases, _jobs, _mentions
 from quern.operators.entities import canonical_forms
 from quern.sources import model as M
+from quern.sources.store import saved
 
 
 def page_status_with_jobs(spark: SparkSession, d: str) -> DataFrame:
@@ -60,7 +61,8 @@ def _models(spark, d):
 
 
 def compare_models(spark: SparkSession, d: str) -> DataFrame:
-    return A.model_pairs(_models(spark, d), 10)
+    # written once: pairs read the ranks four times, and joins over a union of ranked parts may not agree on partitions
+    return A.model_pairs(saved(spark)(_models(spark, d)), 10)
 
 
 def watch_schedule(spark: SparkSession, d: str) -> DataFrame:
