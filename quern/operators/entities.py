@@ -6,6 +6,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions.text import edit_distance
+from quern.operators.retrieval import ranked
+
+#: Entries of an entity that its queries meet at once.
+BLOCK = 128
 
 
 def duplicate_blocks(aliases: DataFrame) -> DataFrame:
@@ -82,7 +86,12 @@ def canonical_forms(mentions: DataFrame) -> DataFrame:
 
 def idf(mentions: DataFrame, n_pages: DataFrame) -> DataFrame:
     """ln(all pages / pages with the entity); n_pages is a table of one row."""
-    return entity_counts(mentions).crossJoin(n_pages).select("entity_id", F.round(F.log(F.col("n_pages") / F.col("page_count")), 6).alias("idf"))
+    return idf_of_counts(entity_counts(mentions), n_pages)
+
+
+def idf_of_counts(counts: DataFrame, n_pages: DataFrame) -> DataFrame:
+    """The same from counts (entity_id, page_count)."""
+    return counts.crossJoin(n_pages).select("entity_id", F.round(F.log(F.col("n_pages") / F.col("page_count")), 6).alias("idf"))
 
 
 def entity_similarity(mentions: DataFrame, weights: DataFrame, queries: DataFrame) -> DataFrame:
@@ -97,6 +106,51 @@ def entity_similarity(mentions: DataFrame, weights: DataFrame, queries: DataFram
     return shared.join(total, "page_id").select("query_id", "page_id", F.round(F.coalesce(F.try_divide("shared", "total"), F.lit(0.0)), 6).alias("score"))
 
 
+def most_similar(mentions: DataFrame, weights: DataFrame, queries: DataFrame, limit: int, save, *, block: int = BLOCK) -> DataFrame:
+    """query_id, page_id, score, rank: the first `limit` pages of each query by entity_similarity, ties by id, without all the pairs.
+
+    A page's entities stand in order of weight, the greatest first. If the first that it shares with a query is the n-th,
+    the weight from there on over the page's whole weight bounds its score. What one entity weighs of a page is scored there
+    by any query that has it; so each entity's best pages by that give each query a last place (score and page) that its
+    answer reaches at least. Only entries (page, entity) whose bound reaches it are met, the best first, `block` of them at a
+    time. Pages with a negative weight have no bound and are always met.
+    """
+    order = Window.partitionBy("page_id").orderBy(F.desc("w"), "entity_id")
+    to_here, whole = order.rowsBetween(Window.unboundedPreceding, Window.currentRow), order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    weighed = mentions.where("page_id IS NOT NULL AND entity_id IS NOT NULL").join(weights, "entity_id", "left").select("page_id", "entity_id", F.coalesce("idf", F.lit(1.0)).alias("w"))
+    once = weighed.withColumn("_last", F.lag("entity_id").over(order)).where("_last IS NULL OR _last <> entity_id").drop("_last")
+    summed = once.withColumns({"to_here": F.sum("w").over(to_here), "total": F.sum("w").over(whole), "free": F.min("w").over(whole) < 0})
+    # slack, as sums in another order differ in their last digits
+    share = lambda w, slack: F.round(F.coalesce(F.try_divide(w, F.col("total")), F.lit(0.0)) + slack, 6)
+    bound = F.when(F.col("free"), float("inf")).otherwise(share(F.col("total") - F.col("to_here") + F.col("w"), 1e-9))
+    entries = save(summed.select("page_id", "entity_id", "w", bound.alias("bound"), F.when(~F.col("free"), share(F.col("w"), -1e-9)).alias("least")))
+    own = save(entries.join(queries.select("page_id").distinct(), "page_id", "left_semi").select(F.col("page_id").alias("query_id"), "entity_id"))
+
+    # one more than the limit, as the query's own page may be among them
+    by_least = F.row_number().over(Window.partitionBy("entity_id").orderBy(F.desc("least"), "page_id"))
+    best = save(entries.where("least IS NOT NULL").select("entity_id", "page_id", "least", by_least.alias("_r")).where(F.col("_r") <= limit + 1).drop("_r"))
+    sure = own.join(best, "entity_id").where("page_id <> query_id").groupBy("query_id", "page_id").agg(F.max("least").alias("least"))
+    last = ranked(sure, ["query_id"], "least", "page_id", limit).where(F.col("rank") == limit).select("query_id", F.col("least").alias("reached"), F.col("page_id").alias("last"))
+    has = own.groupBy("query_id").agg(F.collect_list("entity_id").alias("has")).join(last, "query_id", "left").withColumn("reached", F.coalesce("reached", F.lit(float("-inf"))))
+    asked = save(has.select("*", F.explode("has").alias("entity_id")))
+    reaches = lambda score, page: (F.col(score) > F.col("reached")) | ((F.col(score) == F.col("reached")) & (F.col(page) <= F.col("last")))
+
+    lowest = F.max(F.struct((-F.col("reached")).alias("minus"), "last"))
+    widest = save(asked.groupBy("entity_id").agg(lowest.alias("x")).select("entity_id", (-F.col("x.minus")).alias("reached"), F.col("x.last").alias("last")))
+    place = F.row_number().over(Window.partitionBy("entity_id").orderBy(F.desc("bound"), "page_id"))
+    near = save(entries.join(widest, "entity_id").where(reaches("bound", "page_id")).select("entity_id", "page_id", "bound", F.floor((place - 1) / block).alias("block")))
+    items = entries.join(near.select("page_id").distinct(), "page_id", "left_semi").groupBy("page_id").agg(F.sort_array(F.collect_list(F.struct((-F.col("w")).alias("minus"), "entity_id"))).alias("items"))
+    heads = near.groupBy("entity_id", "block").agg(F.min(F.struct((-F.col("bound")).alias("minus"), "page_id")).alias("x")).select("entity_id", "block", (-F.col("x.minus")).alias("bound"), F.col("x.page_id").alias("page_id"))
+    visits = asked.join(heads, "entity_id").where(reaches("bound", "page_id")).drop("bound", "page_id")
+    met = visits.join(near.join(items, "page_id"), ["entity_id", "block"]).where(reaches("bound", "page_id") & (F.col("page_id") != F.col("query_id")))
+    # a pair counts where its first common entity is met
+    common = F.filter("items", lambda x: F.array_contains("has", x["entity_id"]))
+    weight = lambda items: F.aggregate(items, F.lit(0.0), lambda s, x: s - x["minus"])
+    pairs = met.withColumn("common", common).where(F.col("common")[0]["entity_id"] == F.col("entity_id"))
+    scored = pairs.select("query_id", "page_id", "reached", "last", F.round(F.coalesce(F.try_divide(weight("common"), weight("items")), F.lit(0.0)), 6).alias("score"))
+    return ranked(scored.where(reaches("score", "page_id")).select("query_id", "page_id", "score"), ["query_id"], "score", "page_id", limit)
+
+
 def link_to_known(forms: DataFrame, entities: DataFrame, *, edit: float = 0.15, cosine: DataFrame | None = None, least: float = 0.85) -> DataFrame:
     """(type, form, entity_id) for forms (type, block_key, form) that known entities (type, block_key, entity_id, form) are near.
 

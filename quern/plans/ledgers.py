@@ -260,10 +260,14 @@ def entity_idf(spark: SparkSession, d: str) -> DataFrame:
 
 def entity_similarity(spark: SparkSession, d: str) -> DataFrame:
     """Queries are the orders whose key is divisible by 50; the ten most alike of each."""
-    from quern.operators.retrieval import ranked
-
-    q = M.table(spark, d, "orders").where("o_orderkey % 50 = 0").select(F.col("o_orderkey").alias("page_id"))
-    return ranked(E.entity_similarity(_mentions(spark, d), _idf(spark, d), q), ["query_id"], "score", "page_id", 10)
+    save = saved(spark)
+    a = save(_aliases(spark, d).select("p_partkey", "entity_id"))
+    lines = M.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("page_id"), F.col("l_partkey").alias("p_partkey"))
+    m = save(lines.join(a, "p_partkey").select("page_id", "entity_id").distinct())
+    counts = m.groupBy("entity_id").agg(F.count("page_id").alias("page_count"))
+    weights = save(E.idf_of_counts(counts, M.table(spark, d, "orders").agg(F.count("*").alias("n_pages"))))
+    q = save(m.where("page_id % 50 = 0").select("page_id").distinct())
+    return E.most_similar(m, weights, q, 10, save)
 
 
 def entity_links(spark: SparkSession, d: str) -> DataFrame:

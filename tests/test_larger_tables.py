@@ -1,11 +1,15 @@
 """Queries as they run on larger tables: without broadcasts, in bounded pieces."""
 
 import contextlib
+import random
 
 import duckdb
 import pytest
 
+from quern.operators import entities as E
+from quern.operators.retrieval import ranked
 from quern.plans import catalogue
+from quern.sources.store import saved
 from test_catalogue import TABLES, rows
 
 
@@ -33,3 +37,26 @@ def same_as_twin(spark, data, name):
 def test_without_broadcasts(spark, data, name):
     with conf(spark, **{"spark.sql.autoBroadcastJoinThreshold": "-1"}):
         same_as_twin(spark, data, name)
+
+
+@pytest.mark.parametrize("seed, lightest, block", [(1, 0, 3), (2, -3, 2), (3, 1, 128)])
+def test_most_similar_pages_are_those_of_all_pairs(spark, seed, lightest, block):
+    """Weights of nought, below it (2) and none; mentions twice and without a page; queries of one entity and with few pages beside them."""
+    rng = random.Random(seed)
+    mentions = [(p, min(int(rng.expovariate(0.25)), 30)) for p in range(150) for _ in range(rng.randrange(1, 6))] + [(None, 1), (7, 99), (8, 98), (9, 98)]
+    weights = [(e, rng.choice([float(lightest), 0.5, 1.5, round(rng.uniform(0, 3), 6)])) for e in range(25)]
+    m = spark.createDataFrame(mentions, "page_id long, entity_id long")
+    w, q = spark.createDataFrame(weights, "entity_id long, idf double"), spark.createDataFrame([(p,) for p in range(0, 160, 3)], "page_id long")
+    all_pairs = ranked(E.entity_similarity(m, w, q), ["query_id"], "score", "page_id", 4)
+    found = E.most_similar(m, w, q, 4, saved(spark), block=block)
+    key = lambda df: sorted((r["query_id"], r["rank"], r["page_id"], r["score"]) for r in df.collect())
+    assert key(found) == key(all_pairs)
+
+
+def test_entity_similarity_does_not_make_all_pairs(spark, data):
+    """Its join meets entries whose bounds reach a query's last place, by entity and block; not all pages of an entity."""
+    with conf(spark, **{"spark.sql.autoBroadcastJoinThreshold": "-1"}):
+        df = catalogue.QUERIES["entity_similarity"](spark, data)
+        assert df.count() == 300
+        assert "block" in df._jdf.queryExecution().optimizedPlan().toString()
+        same_as_twin(spark, data, "entity_similarity")
