@@ -72,17 +72,117 @@ def _match_task(limit: int):
     return task
 
 
-def dense_topk(queries: DataFrame, vectors: DataFrame, limit: int, *, block: int = 2048, most_bytes: int = 256 << 20) -> DataFrame:
+def _rows(batch: pa.RecordBatch, column: str) -> np.ndarray:
+    """A column of vectors of one length as rows of unit length."""
+    lists = batch.column(column)
+    sizes = np.diff(lists.offsets.to_numpy())
+    if len(np.unique(sizes)) > 1:
+        raise ValueError("vectors of different lengths")
+    m = lists.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(sizes), -1)
+    n = np.linalg.norm(m, axis=1, keepdims=True)
+    return m / np.where(n == 0, 1, n)
+
+
+def _grid_task(limit: int, block: int):
+    """Rows in order of cell and kind (0 queries, 1 vectors) to the best `limit` of each cell's queries.
+
+    A cell's queries are held; its vectors pass in batches, against which `block` queries at a time are multiplied.
+    """
+
+    def merged(q: np.ndarray, kept: tuple, c: np.ndarray, ids: np.ndarray) -> tuple:
+        own, best, to = kept
+        scores = q @ c.T
+        # the last place of those who have one, else that of this batch
+        full = np.bincount(own, minlength=len(q)) >= limit
+        least = np.full(len(q), -np.inf)
+        np.minimum.at(place := np.full(len(q), np.inf), own, best)
+        least[full] = place[full]
+        if len(ids) > limit and not full.all():
+            least[~full] = np.partition(scores[~full], len(ids) - limit, axis=1)[:, len(ids) - limit]
+        # products of equal rows differ in their last digits, so all near the last place are scored again, row by row
+        rows, cols = np.nonzero(scores >= (least - 1e-9 * np.maximum(1.0, np.where(np.isinf(least), 1.0, np.abs(least))))[:, None])
+        again = np.concatenate([(c[cols[i : i + 65536]] * q[rows[i : i + 65536]]).sum(axis=1) for i in range(0, len(rows), 65536)] or [np.zeros(0)])
+        own, best, to = np.append(own, rows), np.append(best, again), np.append(to, ids[cols])
+        order = np.lexsort((to, -best, own))
+        own, best, to = own[order], best[order], to[order]
+        first = np.flatnonzero(np.append(True, own[1:] != own[:-1])) if len(own) else np.zeros(0, int)
+        some = np.arange(len(own)) - np.repeat(first, np.diff(np.append(first, len(own)))) < limit
+        return own[some], best[some], to[some]
+
+    def task(batches):
+        cell, asked, parts, kept = None, [], [], []
+
+        def ready():
+            if asked:
+                ids, m = np.concatenate([a for a, _ in asked]), np.concatenate([b for _, b in asked])
+                for i in range(0, len(ids), block):
+                    parts.append((ids[i : i + block], m[i : i + block]))
+                    kept.append((np.zeros(0, int), np.zeros(0), np.zeros(0, np.int64)))
+                asked.clear()
+
+        def closed():
+            for (ids, _), (own, best, to) in zip(parts, kept, strict=True):
+                yield pa.RecordBatch.from_arrays([pa.array(ids[own], pa.int64()), pa.array(to, pa.int64()), pa.array(best, pa.float64())], names=["query_id", "chunk_id", "score"])
+
+        for b in batches:
+            cells, kinds = b.column("cell").to_numpy(), b.column("kind").to_numpy()
+            cuts = np.flatnonzero((np.diff(cells) != 0) | (np.diff(kinds) != 0)) + 1
+            for begin, end in zip([0, *cuts], [*cuts, len(cells)], strict=True):
+                if begin == end:
+                    continue
+                if cells[begin] != cell:
+                    yield from closed()
+                    cell = cells[begin]
+                    for held in (asked, parts, kept):
+                        held.clear()
+                part = b.slice(begin, end - begin)
+                m, ids = _rows(part, "vector"), part.column("id").to_numpy()
+                some = np.isfinite(m).all(axis=1)
+                m, ids = m[some], ids[some]
+                if kinds[begin] == 0:
+                    asked.append((ids, m))
+                    continue
+                ready()
+                for at in range(0, len(ids), 4096):
+                    for k, (_, q) in enumerate(parts):
+                        kept[k] = merged(q, kept[k], m[at : at + 4096], ids[at : at + 4096])
+        yield from closed()
+
+    return task
+
+
+def _by_grid(queries: DataFrame, vectors: DataFrame, limit: int, most: int, block: int) -> DataFrame:
+    """(query_id, chunk_id, score): the best of each query in each of the corpus's parts.
+
+    Both sides are dealt into parts of some `most` rows by their ids, and each part of queries meets each part of vectors in
+    one task, which holds the queries and no more of the vectors than a batch. Components that are no numbers have no score.
+    """
+    there = lambda df, key: df.select(F.col(key).cast("long").alias("id"), "vector").where("id IS NOT NULL AND size(vector) > 0")
+    asked, given = there(queries, "query_id"), there(vectors, "chunk_id")
+    a, b = (max(1, -(-df.count() // most)) for df in (asked, given))
+    part = lambda n: F.pmod(F.xxhash64("id"), F.lit(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = asked.select("*", part(a).alias("x")).select("id", "vector", "x", every(b).alias("y")).withColumn("kind", F.lit(0))
+    right = given.select("*", part(b).alias("y")).select("id", "vector", every(a).alias("x"), "y").withColumn("kind", F.lit(1))
+    both = left.unionByName(right).select((F.col("x") * b + F.col("y")).cast("int").alias("cell"), "kind", "id", "vector")
+    dealt = both.repartitionById(a * b, F.col("cell")).sortWithinPartitions("cell", "kind")
+    return dealt.mapInArrow(_grid_task(limit, block), "query_id long, chunk_id long, score double")
+
+
+def dense_topk(queries: DataFrame, vectors: DataFrame, limit: int, *, block: int = 2048, most_bytes: int = 2 << 20, most: int = 16_384) -> DataFrame:
     """query_id, chunk_id, score (cosine), rank: exact nearest vectors of each query.
 
     Both sides become blocks of vectors; each block of queries meets each block of the corpus in one matrix product, of
     which the best `limit` a query go on. What is shuffled is limit rows a query and block, however many vectors there are.
-    Queries of most_bytes or less, by their count, go to every task; more are dealt to the corpus's blocks by a shuffle.
+    Queries of most_bytes or less, by their count, go to every task, where a batch has a row for each two blocks; more meet
+    the corpus in parts of some `most` rows, dealt by a shuffle.
     """
     blocks = lambda df, id_col: df.select(F.col(id_col).cast("long"), "vector").mapInArrow(_block_task(pa.int64(), block), "ids array<long>, matrix binary")
     size = queries.agg(F.coalesce(F.sum(8 * F.size("vector")), F.lit(0))).first()[0]
+    if size > most_bytes:
+        return ranked(_by_grid(queries, vectors, limit, most, min(block, 1024)), ["query_id"], "score", "chunk_id", limit)
     asked = blocks(queries, "query_id").select(F.col("ids").alias("q_ids"), F.col("matrix").alias("q_matrix"))
-    pairs = blocks(vectors, "chunk_id").crossJoin(F.broadcast(asked) if size <= most_bytes else asked)
+    pairs = blocks(vectors, "chunk_id").crossJoin(F.broadcast(asked))
     found = pairs.mapInArrow(_match_task(limit), "query_id long, chunk_id long, score double")
     return ranked(found, ["query_id"], "score", "chunk_id", limit)
 

@@ -7,7 +7,7 @@ import duckdb
 import pytest
 
 from quern.operators import entities as E
-from quern.operators.retrieval import ranked
+from quern.operators.retrieval import dense_topk, ranked
 from quern.plans import catalogue
 from quern.sources.store import saved
 from test_catalogue import TABLES, rows
@@ -60,3 +60,17 @@ def test_entity_similarity_does_not_make_all_pairs(spark, data):
         assert df.count() == 300
         assert "block" in df._jdf.queryExecution().optimizedPlan().toString()
         same_as_twin(spark, data, "entity_similarity")
+
+
+def test_many_queries_meet_the_vectors_in_parts(spark):
+    """Equal rows, ties, zero vectors, parts and blocks of a few rows: as by broadcast blocks."""
+    rng = random.Random(4)
+    v = [(i, [float(rng.randrange(-2, 3)) for _ in range(4)]) for i in range(230)] + [(i, None) for i in range(230, 234)] + [(300 + i, [1.0, 1.0, 0.0, 1 / 3]) for i in range(20)]
+    df = spark.createDataFrame(v, "chunk_id long, vector array<float>")
+    q = df.withColumnRenamed("chunk_id", "query_id")
+    found = lambda r: sorted((x["query_id"], x["rank"], x["chunk_id"], round(x["score"], 12)) for x in r.collect())
+    want = found(dense_topk(q, df, 6))
+    assert found(dense_topk(q, df, 6, most_bytes=0, most=40, block=16)) == want == found(dense_topk(q, df, 6, most_bytes=0))
+    # no row holds two blocks
+    plan = dense_topk(q, df, 6, most_bytes=0, most=40)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan
