@@ -2,14 +2,17 @@
 
 import contextlib
 import random
+import uuid
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from quern.operators import entities as E
+from quern.operators import sparse as SX
 from quern.operators.retrieval import dense_topk, ranked
 from quern.plans import catalogue
-from quern.sources.store import saved
+from quern.sources.store import saved, work_dir
 from test_catalogue import TABLES, rows
 
 
@@ -74,3 +77,19 @@ def test_many_queries_meet_the_vectors_in_parts(spark):
     # no row holds two blocks
     plan = dense_topk(q, df, 6, most_bytes=0, most=40)._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan
+
+
+def test_places_take_two_bytes_and_a_merge_finds_them(spark):
+    """Places of 65,536 and more, beside others, take four."""
+    far = [(i, "x " * (65_530 if i == 3 else 3) + " ".join(["seen twice"] * 8)) for i in range(6)]
+    more = [(i, "seen twice or seen thrice") for i in range(6, 30)]
+    frame = lambda rows: spark.createDataFrame(rows, "chunk_id long, text string").coalesce(1)
+    index = SX.add(SX.create(frame(far), f"{work_dir(spark)}/sparse-{uuid.uuid4().hex}"), frame(more))
+    phrase = spark.createDataFrame([(1, "seen twice seen"), (2, "twice or"), (3, "x seen")], "query_id long, phrase string")
+    want = {*((1, i) for i in range(6)), *((2, i) for i in range(6, 30)), *((3, i) for i in range(6))}
+    bytes_of = lambda index: {r["term"]: r["n"] for r in index.postings().groupBy("term").agg(F.sum(F.length("places")).alias("n")).collect()}
+    for changed in (index, SX.merge(index)):
+        assert {tuple(r) for r in SX.phrases(changed, phrase, save=saved(spark)).collect()} == want
+        size = bytes_of(changed)
+        assert size["thrice"] == 2 * 24 and size["x"] == 2 * (65_530 + 15)
+    assert bytes_of(index)["twice"] == 4 * 48 + 2 * 24
